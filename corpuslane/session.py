@@ -23,6 +23,7 @@ def build_session(app: str = "corpuslane", master: str | None = None) -> SparkSe
             .config("spark.sql.shuffle.partitions", parts)
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
