@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
@@ -24,6 +24,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` applied to ``value`` with ``value`` computed once per row.
+
+    A column used inside a lambda is recomputed for every element; a lambda argument is not.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def sub(c: Column | str, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(col(c), F.lit(pattern), F.lit(replacement))
 
@@ -91,6 +99,15 @@ def spans(c: Column | str, pattern: str) -> Column:
     ).otherwise(seed["out"])
 
 
+def unroll(df: DataFrame, keep: list, array: Column | str, at: str, item: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form keeps the optimizer from deriving a ``size(array) > 0`` filter, which
+    would evaluate an expensive array expression a second time below the generator.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
+
+
 # --- markdown lines ---------------------------------------------------------
 
 TABLE_ROW = r"^[ \t]*\|.*\|[ \t]*$"
@@ -165,26 +182,20 @@ def tokens(key: Column | str) -> Column:
 
 
 def bigrams(toks: Column | str) -> Column:
-    t = col(toks)
-    return F.when(
-        F.size(t) >= 2,
-        F.zip_with(
-            F.slice(t, 1, F.size(t) - 1),
-            F.slice(t, 2, F.size(t)),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return shingles(toks, 2)
 
 
 def shingles(toks: Column | str, n: int) -> Column:
     """Every contiguous run of ``n`` tokens, joined by spaces."""
-    t = col(toks)
-    return F.when(
-        F.size(t) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return bind(
+        col(toks),
+        lambda t: F.when(
+            F.size(t) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def title_stem(token: Column) -> Column:

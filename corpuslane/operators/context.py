@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import chars, col, is_blank, ws_trim
+from corpuslane.functions.text import bind, chars, col, is_blank, unroll, ws_trim
 from corpuslane.operators.retrieve import section_of, strip_header
 
 
 def window_array(text: Column | str, size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> Column:
     """Overlapping windows that together cover the whole text."""
-    t = col(text)
     step = size - overlap
-    last = F.when(
-        F.char_length(t) <= size, F.lit(0)
-    ).otherwise(F.ceil((F.char_length(t) - size) / F.lit(float(step)))).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(t, k * step + 1, F.lit(size)))
+
+    def cut(t: Column) -> Column:
+        last = F.when(F.char_length(t) <= size, F.lit(0)).otherwise(
+            F.ceil((F.char_length(t) - size) / F.lit(float(step)))
+        ).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(t, k * step + 1, F.lit(size)))
+
+    return bind(col(text), cut)
 
 
 def text_windows(df: DataFrame, text: str = "text", size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(window_array(text, size, overlap)).alias("win", "window_text"))
+    return unroll(df, keep, window_array(text, size, overlap), "win", "window_text")
 
 
 def pack_context(ranked: DataFrame, hits: DataFrame, meta: DataFrame, budget: int = L.PASSAGE_CHARS, full: int = L.FULL_DOCUMENTS) -> DataFrame:

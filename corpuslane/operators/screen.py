@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import col, find_all, one_line, spans, sub, ws_trim
+from corpuslane.functions.text import bind, col, find_all, one_line, spans, sub, unroll, ws_trim
 from corpuslane.session import rows_at_most
 
 # Longest dictionary folded over each text in one expression.
@@ -24,8 +24,8 @@ def near(text: Column | str, keyword: str, target: str, gap: int) -> Column:
     and the cheap keyword test gates the span extraction.
     """
     t = col(text)
-    close = F.exists(
-        spans(t, keyword), lambda k: F.exists(spans(t, target), lambda d: _gap(k, d) <= gap)
+    close = bind(
+        spans(t, target), lambda ds: F.exists(spans(t, keyword), lambda k: F.exists(ds, lambda d: _gap(k, d) <= gap))
     )
     return F.when(t.rlike(keyword) & t.rlike(target), close).otherwise(False)
 
@@ -37,29 +37,37 @@ def contact_phone_spans(text: Column | str) -> Column:
     left out; a number written with separators always counts.
     """
     t = col(text)
-    marks = spans(t, L.RECORD_KEYWORD)
-    kept = F.filter(
-        spans(t, L.PHONE),
-        lambda p: ~p["text"].rlike("^[0-9]+$")
-        | ~F.exists(marks, lambda k: _gap(k, p) <= L.RECORD_NUMBER_GAP),
+    kept = bind(
+        spans(t, L.RECORD_KEYWORD),
+        lambda marks: F.filter(
+            spans(t, L.PHONE),
+            lambda p: ~p["text"].rlike("^[0-9]+$")
+            | ~F.exists(marks, lambda k: _gap(k, p) <= L.RECORD_NUMBER_GAP),
+        ),
     )
     return F.when(t.rlike(L.PHONE), kept).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, keyword: str, target: str, gap: int) -> DataFrame:
     """The matching (keyword, target) span pairs behind :func:`near`, one row each."""
-    k = F.explode(spans(text, keyword))
-    return (
-        df.filter(col(text).rlike(keyword) & col(text).rlike(target))
-        .select(key, text, k.alias("k"))
-        .select(key, "k", F.explode(F.filter(spans(text, target), lambda d: _gap(F.col("k"), d) <= gap)).alias("t"))
-        .select(
-            key,
-            F.col("k.start").cast("bigint").alias("keyword_start"),
-            F.col("t.start").cast("bigint").alias("target_start"),
-            F.col("k.text").alias("keyword"),
-            F.col("t.text").alias("target"),
-        )
+    pairs = bind(
+        spans(text, target),
+        lambda ds: F.flatten(
+            F.transform(
+                spans(text, keyword),
+                lambda k: F.transform(
+                    F.filter(ds, lambda d: _gap(k, d) <= gap), lambda d: F.struct(k.alias("k"), d.alias("t"))
+                ),
+            )
+        ),
+    )
+    gated = df.filter(col(text).rlike(keyword) & col(text).rlike(target))
+    return unroll(gated, [key], pairs, "_i", "p").select(
+        key,
+        F.col("p.k.start").cast("bigint").alias("keyword_start"),
+        F.col("p.t.start").cast("bigint").alias("target_start"),
+        F.col("p.k.text").alias("keyword"),
+        F.col("p.t.text").alias("target"),
     )
 
 

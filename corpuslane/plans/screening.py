@@ -103,7 +103,7 @@ def near_birth_dates(t: Tables) -> DataFrame:
     UNION ALL SELECT note_id, CAST(strpos(text, '(415)') - 1 AS BIGINT), regexp_extract(text, '\(415\) 555-[0-9]{{4}}') FROM flags WHERE phone""",
 )
 def contact_phones(t: Tables) -> DataFrame:
-    return spread(v_notes(t)).select("note_id", F.explode(S.contact_phone_spans("text")).alias("p")).select(
+    return X.unroll(spread(v_notes(t)), ["note_id"], S.contact_phone_spans("text"), "i", "p").select(
         "note_id", F.col("p.start").cast("bigint").alias("start"), F.col("p.text").alias("phone")
     )
 
