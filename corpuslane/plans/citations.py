@@ -1 +1,230 @@
-"""Registered queries."""
+"""Registered queries: quotes, titles, mentions and rebuilt citation blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslane.functions import text as X
+from corpuslane.operators import answers as A
+from corpuslane.operators import cite as Q
+from corpuslane.operators import lines as N
+from corpuslane.operators import retrieve as R
+from corpuslane.plans.conversations import sql_display, sql_key
+from corpuslane.plans.registry import query
+from corpuslane.plans.retrieval import SQL_RANKED, SQL_VECTOR, v_hits
+from corpuslane.session import Tables, materialize, spread
+
+
+def v_lines(t: Tables) -> DataFrame:
+    return N.index_lines(spread(t.documents.select(F.col("doc_id").alias("file"), "text")), "file", "text")
+
+
+def v_quotes(t: Tables) -> DataFrame:
+    """Every line of every benchmark item is a quote."""
+    q = X.unroll(t.benchmark, ["item_id"], X.lines_of("text"), "ord", "quote")
+    return Q.prepare_quotes(q.withColumn("ord", F.col("ord").cast("bigint")))
+
+
+SQL_CITE = rf"""dl AS (SELECT file, line, key, display FROM (SELECT *, {sql_key('display')} AS key FROM (SELECT *, {sql_display('raw')} AS display FROM (
+    SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))) WHERE key <> ''),
+qs AS (SELECT item_id, ord, key AS qkey, len(string_split(key, ' ')) AS qn FROM (SELECT *, {sql_key('display')} AS key FROM (SELECT *, {sql_display('raw')} AS display FROM (
+    SELECT item_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM benchmark))) WHERE key <> ''),
+exact AS (SELECT item_id, CAST(ord AS BIGINT) AS ord, qn, file, CAST(line AS BIGINT) AS line,
+            length(substr(key, 1, strpos(' ' || key || ' ', ' ' || qkey || ' ') - 1)) - length(replace(substr(key, 1, strpos(' ' || key || ' ', ' ' || qkey || ' ') - 1), ' ', '')) AS from_tok
+          FROM qs JOIN dl ON contains(' ' || key || ' ', ' ' || qkey || ' '))"""
+
+
+@query("find_exact", "J14", f"WITH {SQL_CITE} SELECT item_id, ord, file, line, from_tok, from_tok + qn - 1 AS to_tok FROM exact")
+def find_exact(t: Tables) -> DataFrame:
+    return Q.exact_hits(v_quotes(t), v_lines(t)).select("item_id", "ord", "file", "line", "from_tok", "to_tok")
+
+
+@query(
+    "bigram_overlap", "J15",
+    f"""WITH {SQL_CITE},
+    qb AS (SELECT item_id, ord, list_transform(range(1, qn), lambda i: string_split(qkey, ' ')[i] || ' ' || string_split(qkey, ' ')[i + 1]) AS b FROM qs WHERE qn >= 8),
+    qe AS (SELECT item_id, ord, len(b) AS n, unnest(b) AS bg FROM qb),
+    qc AS (SELECT item_id, ord, n, bg, count(*) AS m FROM qe GROUP BY 1, 2, 3, 4),
+    lb AS (SELECT DISTINCT file, line, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM (SELECT file, line, string_split(key, ' ') AS w FROM dl)),
+    o AS (SELECT item_id, ord, file, line, sum(m) / max(n) AS overlap FROM qc JOIN lb USING (bg) GROUP BY 1, 2, 3, 4)
+    SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM o WHERE overlap >= 0.5""",
+)
+def bigram_overlap(t: Tables) -> DataFrame:
+    return Q.fuzzy_pairs(v_quotes(t), v_lines(t)).select("item_id", "ord", "file", "line", F.round("overlap", 6).alias("overlap"))
+
+
+@query("find_fuzzy", "J15")
+def find_fuzzy(t: Tables) -> DataFrame:
+    return Q.best_fuzzy(v_quotes(t), v_lines(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("score", 6).alias("score"))
+
+
+@query(
+    "find_quotes_exact", "J16",
+    f"""WITH {SQL_CITE}, g AS (SELECT item_id, ord, file, max(qn) AS qn, count(*) AS n, min(line) AS line FROM exact GROUP BY 1, 2, 3)
+    SELECT item_id, ord, file, line FROM g WHERE n = 1 OR qn >= 8""",
+)
+def find_quotes_exact(t: Tables) -> DataFrame:
+    found = Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"])
+    return found.filter("exact").select("item_id", "ord", "file", "line")
+
+
+@query("find_quotes", "J16")
+def find_quotes(t: Tables) -> DataFrame:
+    return Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "exact", F.round("score", 6).alias("score"))
+
+
+@query("expand_quotes", "W16")
+def expand_quotes(t: Tables) -> DataFrame:
+    hits = Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"])
+    shown = v_lines(t).select("file", "line", "display", "quoted", "table")
+    return hits.join(shown, ["file", "line"]).select(
+        "item_id", "ord", "file", "line",
+        Q.expand_quote("display", "from_tok", "to_tok", "quoted", "table").alias("quote"),
+    )
+
+
+def v_titles(t: Tables) -> DataFrame:
+    """The first five words of each document stand for its title."""
+    words = F.split(F.substring_index("text", "\n", 1), " ")
+    return t.documents.select(
+        F.col("doc_id").alias("file"), F.array_join(F.slice(words, 1, 5), " ").alias("title"), F.col("doc_id").alias("rank")
+    )
+
+
+@query(
+    "resolve_titles", "J18",
+    rf"""WITH t AS (SELECT file, list_transform(list_filter(string_split({sql_key(sql_display("CASE WHEN d = '' THEN title ELSE d END"))}, ' '), lambda x: x <> ''), lambda x: CASE WHEN length(x) >= 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END) AS w
+         FROM (SELECT file, title, trim(regexp_replace(title, '^[^\p{{L}}\p{{N}}]+', '')) AS d FROM (SELECT doc_id AS file, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:5], ' ') AS title FROM documents))),
+    h AS (SELECT item_id AS head_id, ' ' || array_to_string(list_transform(list_filter(string_split({sql_key(sql_display('text'))}, ' '), lambda x: x <> ''), lambda x: CASE WHEN length(x) >= 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END), ' ') || ' ' AS h FROM benchmark),
+    p AS (SELECT file, unnest(range(CASE WHEN len(w) = 1 THEN 1 ELSE 2 END, len(w) + 1)) AS k, w FROM t WHERE len(w) > 0)
+    SELECT head_id, file, max(k) AS length FROM h JOIN p ON contains(h, ' ' || array_to_string(w[1:k], ' ') || ' ') GROUP BY 1, 2""",
+)
+def resolve_titles(t: Tables) -> DataFrame:
+    heads = t.benchmark.select(F.col("item_id").alias("head_id"), F.col("text").alias("head"))
+    return Q.resolve_titles(heads, v_titles(t)).select("head_id", "file", "length")
+
+
+def v_citations(t: Tables) -> DataFrame:
+    labels = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "label")
+    return v_hits(t).join(labels, "chunk_id").filter(F.col("label") >= 2).select(
+        "query_id", "file", F.col("pos").alias("ord"), (F.col("label") < 5).alias("verified"),
+        F.when(F.col("label") != 3, F.concat(F.lit("q"), F.col("chunk_id").cast("string"))).alias("quote"),
+    )
+
+
+@query(
+    "mark_cited", "J20",
+    f"""WITH {SQL_RANKED}, c AS (SELECT query_id, file, pos AS ord, label < 5 AS verified, CASE WHEN label <> 3 THEN 'q' || chunk_id END AS quote
+          FROM hits JOIN embeddings ON vec_id = chunk_id WHERE label >= 2),
+    f AS (SELECT query_id, file, arg_min(quote, ord) FILTER (verified AND quote IS NOT NULL) AS quote FROM c GROUP BY 1, 2)
+    SELECT query_id, file, rank, f.file IS NOT NULL AS cited, quote FROM ranked LEFT JOIN f USING (query_id, file)""",
+)
+def mark_cited(t: Tables) -> DataFrame:
+    return Q.mark_cited(R.rank_files(v_hits(t)), v_citations(t)).select("query_id", "file", "rank", "cited", "quote")
+
+
+@query(
+    "audit_quotes", "J22",
+    f"""WITH {SQL_CITE}, c AS (SELECT doc_id AS answer_id, doc_id AS file, CASE WHEN lang = 'de' THEN string_split(text, chr(10))[1] || ' x' ELSE replace({sql_display("string_split(text, chr(10))[1]")}, '"', '''') END AS quote, lang <> 'es' AS verified
+          FROM documents WHERE n_chars > 200)
+    SELECT d.doc_id AS answer_id, bool_and(c.verified AND EXISTS (SELECT 1 FROM dl WHERE dl.file = c.file AND replace(dl.display, '"', '''') = c.quote)) AS whole
+    FROM documents d LEFT JOIN c ON c.answer_id = d.doc_id GROUP BY 1, (c.answer_id IS NULL) HAVING c.answer_id IS NOT NULL OR true""".replace("SELECT d.doc_id AS answer_id, bool_and(", "SELECT answer_id, CASE WHEN n = 0 THEN NULL ELSE whole END AS whole FROM (SELECT d.doc_id AS answer_id, count(c.answer_id) AS n, bool_and(").replace(" GROUP BY 1, (c.answer_id IS NULL) HAVING c.answer_id IS NOT NULL OR true", " GROUP BY 1)"),
+)
+def audit_quotes(t: Tables) -> DataFrame:
+    """Documents over 200 characters cite their own first line; German ones altered, Spanish unverified."""
+    first = F.substring_index("text", "\n", 1)
+    cited = t.documents.filter(F.col("n_chars") > 200).select(
+        F.col("doc_id").alias("answer_id"), F.col("doc_id").alias("file"),
+        F.when(F.col("lang") == "de", F.concat(first, F.lit(" x"))).otherwise(F.replace(X.display_line(first), F.lit('"'), F.lit("'"))).alias("quote"),
+        (F.col("lang") != "es").alias("verified"),
+    )
+    return Q.audit_quotes(t.documents.select(F.col("doc_id").alias("answer_id")), cited, v_lines(t))
+
+
+def v_dictionary(t: Tables) -> DataFrame:
+    """Each benchmark item is a linked source titled by its first three words."""
+    title = F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 3), " ")
+    return Q.mention_dictionary(
+        t.benchmark.select(
+            F.concat(F.lit("** "), title, F.lit(" (DRAFT)")).alias("title"),
+            F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".md")).alias("file"),
+            F.concat(F.lit("https://hub.example.com/"), F.col("item_id").cast("string")).alias("source_url"),
+        )
+    )
+
+
+@query(
+    "mention_table", "J19",
+    rf"""WITH d AS (SELECT array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') AS short, item_id FROM benchmark),
+    m AS (SELECT short || ' (DRAFT)' AS clean, 'https://hub.example.com/' || item_id AS url, NULL AS label FROM d
+          UNION ALL SELECT short, 'https://hub.example.com/' || item_id, NULL FROM d WHERE length(short) >= 4
+          UNION ALL SELECT 'item-' || item_id || '.md', 'https://hub.example.com/' || item_id, short || ' (DRAFT)' FROM d),
+    k AS (SELECT *, trim(regexp_replace(lower(clean), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS mkey FROM m),
+    w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS padded FROM documents)
+    SELECT doc_id, clean, url, label FROM w JOIN k ON contains(padded, ' ' || mkey || ' ')""",
+)
+def mention_table(t: Tables) -> DataFrame:
+    return Q.mention_table(spread(t.documents.select("doc_id", "text")), "doc_id", "text", v_dictionary(t))
+
+
+@query("link_mentions", "J19 T6")
+def link_mentions(t: Tables) -> DataFrame:
+    return Q.link_mentions(spread(t.documents.select("doc_id", "text")), "doc_id", "text", v_dictionary(t)).select(
+        "doc_id", F.md5("linked").alias("digest"), (F.col("linked") != F.col("text")).alias("changed")
+    )
+
+
+def v_cards(t: Tables) -> DataFrame:
+    """Ranked files of each query as the answer's cards."""
+    titles = v_titles(t).select("file", "title")
+    return R.rank_files(v_hits(t)).join(titles, "file").select(F.col("query_id").alias("answer_id"), "file", "title", "rank")
+
+
+def v_cited_tails(t: Tables, cards: DataFrame) -> DataFrame:
+    """A citation tail per answer, one item per card.
+
+    The first card is quoted whole, the second with its last word cut, the third under a wrong
+    label, the fourth with a word changed, the fifth not at all.
+    """
+    firsts = t.documents.select(F.col("doc_id").alias("file"), X.display_line(F.substring_index("text", "\n", 1)).alias("said"))
+    cards = cards.join(firsts, "file")
+    said = F.replace("said", F.lit('"'), F.lit("'"))
+    quote = (
+        F.when(F.col("rank") == 2, X.sub(said, r" [^ ]*$")).when(F.col("rank") == 4, X.sub(said, r"^([^ ]+ [^ ]+ )[^ ]+", "$1altered"))
+        .when(F.col("rank") == 5, F.lit("nothing like this is written anywhere in any of the files")).otherwise(said)
+    )
+    label = F.when(F.col("rank") == 3, 1).otherwise(F.col("rank")).cast("string")
+    item = F.concat(F.col("rank").cast("string"), F.lit(". ["), label, F.lit("] "), F.col("title"), F.lit(', "'), quote, F.lit('"'))
+    block = cards.groupBy("answer_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("i")))), lambda x: x["i"]), "\n").alias("items")
+    )
+    return block.select(
+        "answer_id", F.concat(F.lit("**What the SOPs say:**\n"), "items", F.lit("\n\n**Not covered by the SOPs:**\n- nothing")).alias("held")
+    )
+
+
+def v_resolved(t: Tables) -> tuple[DataFrame, DataFrame]:
+    cards = materialize(v_cards(t), "cards")
+    tails = materialize(A.split_tail(v_cited_tails(t, cards), "held"), "tails")
+    items = A.parse_items(tails, ["answer_id"], "items")
+    labels = cards.select("answer_id", F.col("rank").alias("label"), "file")
+    # only the cards' files are indexed: documents outside them never reach the line table
+    docs = t.documents.select(F.col("doc_id").alias("file"), "text").join(cards.select("file").distinct(), "file", "left_semi")
+    lines = materialize(N.index_lines(docs, "file", "text"), "lines")
+    return Q.resolve_citations(items, labels, cards, lines), tails
+
+
+@query("resolve_citations", "J17")
+def resolve_citations(t: Tables) -> DataFrame:
+    return v_resolved(t)[0].select("answer_id", "item", "file", "section", "verified", "kind", F.get("shown", F.lit(0)).alias("quote"))
+
+
+@query("rebuild_citations", "A20")
+def rebuild_citations(t: Tables) -> DataFrame:
+    resolved, tails = v_resolved(t)
+    meta = t.documents.select(
+        F.col("doc_id").alias("file"), F.col("source").alias("title"),
+        F.concat(F.lit("https://hub.example.com/"), F.col("doc_id").cast("string")).alias("source_url"),
+    )
+    return Q.rebuild_citations(resolved, meta, tails)
