@@ -215,24 +215,32 @@ def card_title(c: Column | str) -> Column:
     return ws_trim(sub(display_title(c), L.DRAFT_TITLE))
 
 
-def owner_words(c: Column | str) -> Column:
-    """Content words of a message or responsibility line, in order, duplicates kept."""
+def _owner_pieces(c: Column | str) -> Column:
     joined = sub(c, rf"(?i){L.W0}(non|pre|co)-(?=[A-Za-z])", "$1")
-    stop = F.array(*[F.lit(w) for w in L.OWNER_STOPWORDS])
-
-    def word(raw: Column) -> Column:
-        acronym = raw.rlike("^[A-Z0-9]{2,}$") & raw.rlike("[A-Z]")
-        low = F.lower(raw)
-        stem = F.when(
-            ~acronym & (F.char_length(low) > 4) & low.endswith("s") & ~low.endswith("ss"),
-            F.left(low, F.char_length(low) - 1),
-        ).otherwise(low)
-        drop = (~acronym & (F.char_length(low) < 3)) | F.array_contains(stop, low) | F.array_contains(stop, stem)
-        return F.when(~drop, stem)
-
-    return F.filter(
-        F.transform(F.split(joined, "[^A-Za-z0-9]+", -1), word), lambda w: w.isNotNull() & (w != "")
-    )
+    return F.split(joined, "[^A-Za-z0-9]+", -1)
+
+
+def content_word(raw: Column) -> Column:
+    """The matching form of one piece of text, or null for stop words and short words."""
+    acronym = raw.rlike("^[A-Z0-9]{2,}$") & raw.rlike("[A-Z]")
+    low = F.lower(raw)
+    stem = F.when(
+        ~acronym & (F.char_length(low) > 4) & low.endswith("s") & ~low.endswith("ss"),
+        F.left(low, F.char_length(low) - 1),
+    ).otherwise(low)
+    drop = (raw == "") | (~acronym & (F.char_length(low) < 3)) | low.isin(L.OWNER_STOPWORDS) | stem.isin(L.OWNER_STOPWORDS)
+    return F.when(~drop, stem)
+
+
+def owner_words(c: Column | str) -> Column:
+    """Content words of a short text, in order, duplicates kept."""
+    return F.filter(F.transform(_owner_pieces(c), content_word), lambda w: w.isNotNull())
+
+
+def owner_word_rows(df: DataFrame, keep: list[str], text: Column | str) -> DataFrame:
+    """Distinct (keys, word) rows of long texts; the word test runs as generated code."""
+    raw = df.select(*keep, F.explode(F.array_distinct(_owner_pieces(text))).alias("raw"))
+    return raw.select(*keep, content_word(F.col("raw")).alias("word")).filter(F.col("word").isNotNull()).distinct()
 
 
 def topic_words(c: Column | str) -> Column:

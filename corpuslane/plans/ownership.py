@@ -1 +1,362 @@
-"""Registered queries."""
+"""Registered queries: directories, owner matching and routing consistency.
+
+People of the routing checks are the suppliers: their work is the part of the same key, their
+department the nation, their routing department the region. Owner matching uses one entry
+per document source, with every whole document of the source as a responsibility line.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslane.functions import lexicon as L
+from corpuslane.functions import text as X
+from corpuslane.operators import context as C
+from corpuslane.operators import owners as O
+from corpuslane.operators import routing as G
+from corpuslane.plans.conversations import owner_query_of, sql_words
+from corpuslane.plans.registry import query
+from corpuslane.session import Tables, materialize, spread
+from corpuslane.sources import directory as D
+
+# --- owner matching over document sources ------------------------------------------
+
+
+def v_entries(t: Tables) -> DataFrame:
+    """One person per source: titled by the source's languages, priority by its length mix."""
+    d = t.documents
+    return d.groupBy("source").agg(
+        F.array_join(F.array_sort(F.collect_set("lang")), " ").alias("title"), F.max("n_chars").alias("longest")
+    ).select(
+        F.regexp_extract("source", r"([0-9]+)$", 1).cast("bigint").alias("person"), F.col("source").alias("name"), "title",
+        F.when(F.col("longest") > 20000, "P0").when(F.col("longest") > 5000, "P1").otherwise("P2").alias("priority"),
+        F.regexp_extract("source", r"([0-9]+)$", 1).cast("bigint").alias("ord"),
+    )
+
+
+def v_owner_lines(t: Tables) -> DataFrame:
+    return spread(t.documents).select(
+        F.regexp_extract("source", r"([0-9]+)$", 1).cast("bigint").alias("person"), F.col("doc_id").alias("line_no"),
+        F.col("text").alias("line"), (F.col("lang") != "en").alias("route"),
+    )
+
+
+def v_systems(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("person"), F.substring_index("text", "\n", 1).alias("system"))
+
+
+def v_messages(t: Tables) -> DataFrame:
+    turns = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return owner_query_of(turns).select(F.col("conv_id").alias("msg_id"), F.col("query").alias("text"))
+
+
+SQL_OWNERS = f"""people AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS person, source AS name, string_agg(DISTINCT lang, ' ' ORDER BY lang) AS title,
+     CASE WHEN max(n_chars) > 20000 THEN 'P0' WHEN max(n_chars) > 5000 THEN 'P1' ELSE 'P2' END AS priority FROM documents GROUP BY source),
+names AS (SELECT DISTINCT unnest({sql_words('name')}) AS word FROM people),
+lw AS (SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS person, doc_id AS line_no, lang <> 'en' AS route, unnest({sql_words('text')}) AS word FROM documents),
+owned AS (SELECT DISTINCT person, word FROM lw WHERE word NOT IN (SELECT word FROM names)),
+titled AS (SELECT DISTINCT person, unnest({sql_words('title')}) AS word FROM people),
+both_ AS (SELECT * FROM owned UNION ALL SELECT * FROM titled),
+products AS (SELECT DISTINCT unnest({sql_words('token')}) AS word FROM (SELECT unnest(regexp_split_to_array(string_split(text, chr(10))[1], '\\s+')) AS token FROM benchmark) WHERE regexp_matches(token, '^[A-Z]')),
+n AS (SELECT count(*) AS n FROM people),
+weights AS (SELECT word, count(DISTINCT person) AS df, ln(1 + max(n) / (count(DISTINCT person) + 1)) / ln(1 + max(n) / 2) * CASE WHEN word IN (SELECT word FROM products) THEN 0.3 ELSE 1.0 END AS weight
+            FROM both_, n GROUP BY word),
+u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'),
+two AS (SELECT conv_id, max(CASE WHEN r = 1 THEN text END) AS latest, max(CASE WHEN r = 2 THEN text END) AS previous FROM u WHERE r <= 2 GROUP BY 1),
+msgs AS (SELECT conv_id AS msg_id, CASE WHEN previous IS NOT NULL AND len({sql_words('latest')}) < 4 THEN previous || chr(10) || latest ELSE latest END AS text FROM two),
+mw AS (SELECT DISTINCT msg_id, unnest({sql_words('text')}) AS word FROM msgs),
+base AS (SELECT msg_id, person, sum(weight) AS score FROM mw JOIN both_ USING (word) JOIN weights USING (word) GROUP BY 1, 2),
+over_ AS (SELECT b.*, p.priority, round(score, 9) AS s FROM base b JOIN people p USING (person) WHERE round(score, 9) >= 0.8),
+placed AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY s DESC, priority, person) AS place FROM over_),
+picks AS (SELECT *, max(s) OVER (PARTITION BY msg_id) AS top FROM placed WHERE place <= 2),
+picked AS (SELECT msg_id, person, score, place FROM picks WHERE place = 1 OR s >= top * 0.6)"""
+
+
+def v_index(t: Tables):
+    people = materialize(v_entries(t), "owners")
+    entries = materialize(O.entry_words(people, v_owner_lines(t)), "owner-words")
+    weights = materialize(O.word_weights(entries, v_systems(t), people.agg(F.count("*").alias("n"))), "owner-weights")
+    mwords = O.message_words(v_messages(t))
+    return people, entries, weights, mwords
+
+
+@query("word_weights", "A6", f"WITH {SQL_OWNERS} SELECT word, df, round(CAST(weight AS DOUBLE), 6) AS weight FROM weights")
+def word_weights(t: Tables) -> DataFrame:
+    return v_index(t)[2].select("word", "df", F.round("weight", 6).alias("weight"))
+
+
+@query("match_owners", "J6", f"WITH {SQL_OWNERS} SELECT msg_id, person, round(CAST(score AS DOUBLE), 6) AS score FROM base")
+def match_owners(t: Tables) -> DataFrame:
+    _, entries, weights, mwords = v_index(t)
+    return O.match_owners(mwords, entries, weights).select("msg_id", "person", F.round("score", 6).alias("score"))
+
+
+@query("pick_owners", "W14", f"WITH {SQL_OWNERS} SELECT msg_id, person, place, round(CAST(score AS DOUBLE), 6) AS score FROM picked")
+def pick_owners(t: Tables) -> DataFrame:
+    people, entries, weights, mwords = v_index(t)
+    picks = O.pick_owners(O.match_owners(mwords, entries, weights), people)
+    return picks.select("msg_id", "person", "place", F.round("score", 6).alias("score"))
+
+
+@query(
+    "best_reason", "W15",
+    f"""WITH {SQL_OWNERS}, ls AS (SELECT p.msg_id, p.person, l.line_no, l.route, round(sum(weight), 9) AS s FROM picked p JOIN mw USING (msg_id) JOIN lw l ON l.person = p.person AND l.word = mw.word JOIN weights w ON w.word = mw.word
+          WHERE mw.word NOT IN (SELECT word FROM names) GROUP BY 1, 2, 3, 4)
+    SELECT msg_id, person, line_no, route, round(CAST(s AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, person ORDER BY s DESC, route, line_no) AS r FROM ls) WHERE r = 1""",
+)
+def best_reason(t: Tables) -> DataFrame:
+    people, entries, weights, mwords = v_index(t)
+    picks = O.pick_owners(O.match_owners(mwords, entries, weights), people)
+    return O.best_reason(mwords, picks, people, v_owner_lines(t), weights).select("msg_id", "person", "line_no", "route", F.round("score", 6).alias("score"))
+
+
+@query("owner_lines", "P35",
+       """SELECT s_suppkey AS person, CAST(i AS BIGINT) AS line_no, line, i > 0 AS route FROM (SELECT s_suppkey, unnest([p_name, 'ask about ' || p_type, 'unsure ' || p_brand]) AS line, generate_subscripts([1, 2, 3], 1) - 1 AS i
+          FROM supplier JOIN part ON p_partkey = s_suppkey)""")
+def owner_lines(t: Tables) -> DataFrame:
+    p = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("person"), F.array("p_name").alias("owns"),
+        F.concat(F.lit("ask  about "), "p_type", F.lit(" ;; unsure "), "p_brand", F.lit(";")).alias("route_when"),
+    )
+    return O.owner_lines(p)
+
+
+@query(
+    "cut_to_ceiling", "W17 T4",
+    """WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority || ' order ' || o_orderkey AS line, row_number() OVER w AS place,
+        sum(length(o_orderpriority || ' order ' || o_orderkey) + 2) OVER (w ROWS UNBOUNDED PRECEDING) - 2 AS used FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey))
+    SELECT o_custkey, o_orderkey, CAST(place AS BIGINT) AS place, CAST(used AS BIGINT) AS used FROM e WHERE used <= 200""",
+)
+def cut_to_ceiling(t: Tables) -> DataFrame:
+    """Each customer's orders, most urgent first, while their lines fit 200 characters."""
+    e = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", F.concat("o_orderpriority", F.lit(" order "), "o_orderkey").alias("line"))
+    return C.cut_to_ceiling(e, ["o_custkey"], ["o_orderpriority", "o_orderkey"], "line", 200).select("o_custkey", "o_orderkey", "place", "used")
+
+
+# --- directory pages ------------------------------------------------------------------
+
+
+def v_people_base(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    total = t.supplier.agg(F.count("*").alias("total"))
+    return (
+        t.supplier.join(t.part, F.col("p_partkey") == k).join(place, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(total))
+        .select(
+            k.alias("person"),
+            F.when(F.col("s_acctbal") < 1000, F.concat(F.lit("Dr. Ng"), k.cast("string"))).otherwise(F.concat(F.lit("Ana"), k.cast("string"), F.lit(" Ruiz"), F.col("s_nationkey").cast("string"))).alias("name"),
+            F.when(F.col("s_acctbal") > 9500, "").otherwise(F.concat("p_type", F.lit(" lead"))).alias("title"),
+            F.col("n_name").alias("department"),
+            F.when(F.col("p_size") > 45, F.array().cast("array<string>")).otherwise(F.array("r_name")).alias("routing_departments"),
+            F.when(F.col("p_size") > 30, "P0").when(F.col("p_size") > 15, "p1 urgent").otherwise("later").alias("priority"),
+            F.concat(F.lit("Ana"), F.pmod(k + 1, F.col("total")).cast("string"), F.when(F.col("p_size") > 25, " (days)").otherwise("")).alias("backup"),
+            "p_name", "p_type", "p_brand", "r_name", "n_name", "n_regionkey", "p_size",
+        )
+    )
+
+
+def v_pages(t: Tables) -> DataFrame:
+    b = v_people_base(t)
+    target = F.when(F.col("p_size") > 40, F.substring_index("backup", " ", 1)).when(F.col("p_size") > 20, F.concat(F.lit("Zone "), F.pmod(F.col("n_regionkey") + 1, F.lit(5)).cast("string"))).otherwise("nobody here")
+    md = F.concat(
+        F.lit("# Profile\n## **Core Responsibilities** (v2)\n- **"), "p_name", F.lit("** orders\n* "), "p_type", F.lit(" returns\nplain line\n## Domain expertise\n- Systems: "),
+        "p_brand", F.lit(", Ledger\n## Out of Scope\n- "), "p_name", F.lit(" repair (route to "), target, F.lit(" / desk — see notes)\n- billing\n## Escalation path\n- Backup: "), "backup",
+        F.lit("\n- Escalates to: Head\n## How to reach\n- Slack: #"), "n_name", F.lit("\n## Route when\nfirst "), "p_name", F.lit("\n- second\n"),
+    )
+    return b.select(
+        "person", "name", "title", "department", "routing_departments", "priority", F.lit("").alias("backup"),
+        F.lit("Dashboard main").alias("slack_channel"), F.lit("").alias("route_when"), md.alias("markdown"),
+    )
+
+
+SQL_PEOPLE = """pb AS (SELECT s_suppkey AS person, p_name, p_type, p_brand, n_name, CASE WHEN p_size > 30 THEN 'P0' WHEN p_size > 15 THEN 'P1' ELSE 'P2' END AS priority,
+   'Ana' || ((s_suppkey + 1) % (SELECT count(*) FROM supplier)) || CASE WHEN p_size > 25 THEN ' (days)' ELSE '' END AS backup, p_size, n_regionkey
+   FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query(
+    "parse_directory", "P33",
+    f"""WITH {SQL_PEOPLE} SELECT person, priority, p_name || ' orders|' || p_type || ' returns' AS owns, p_brand || '|Ledger' AS systems, p_name || ' repair' AS topic,
+        CASE WHEN p_size > 40 THEN string_split(backup, ' ')[1] WHEN p_size > 20 THEN 'Zone ' || ((n_regionkey + 1) % 5) ELSE 'nobody here' END || '|desk' AS targets,
+        backup, 'Head' AS escalates_to, '#' || n_name AS slack, 'main' AS dashboard, 'first ' || p_name || ' second' AS route_when FROM pb""",
+)
+def parse_directory(t: Tables) -> DataFrame:
+    people = D.parse_directory(v_pages(t))
+    first = F.get("out_of_scope", F.lit(0))
+    return people.select(
+        "person", "priority", F.array_join("owns", "|").alias("owns"), F.array_join("systems", "|").alias("systems"), first["topic"].alias("topic"),
+        F.array_join(first["targets"], "|").alias("targets"), "backup", "escalates_to", "slack", "dashboard", "route_when",
+    )
+
+
+@query("reach_of", "P29", f"WITH {SQL_PEOPLE} SELECT person, CASE WHEN priority = 'P0' THEN 'Slack direct message' WHEN priority = 'P1' THEN 'Slack #' || n_name ELSE 'Dashboard ' || n_name END AS reach FROM pb")
+def reach_of(t: Tables) -> DataFrame:
+    p = D.parse_directory(v_pages(t)).select("person", "priority", "department")
+    slack = F.when(F.col("priority") == "P0", " Direct  Message (Unverified)").when(F.col("priority") == "P1", F.concat(F.lit("#"), "department")).otherwise(" (unverified) ")
+    return p.select("person", X.reach(slack, F.col("department")).alias("reach"))
+
+
+def v_department_map(t: Tables) -> DataFrame:
+    """One department map per region: the region as a department, its exclusions its nations' first parts."""
+    parts = t.nation.join(t.part, F.col("p_partkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "p_name", "n_name"))), lambda x: F.concat(F.lit("- "), x["p_name"], F.lit(" repair (Zone "), F.pmod(x["n_nationkey"] + 2, F.lit(5)).cast("string"), F.lit(")."))), "\n").alias("bullets")
+    )
+    md = F.concat(
+        F.lit("# Notes\n## Not a department\n# **Departments**\n## "), "r_name", F.lit("\nAlso called: Zone "), F.col("r_regionkey").cast("string"), F.lit(", Area "), F.col("r_regionkey").cast("string"),
+        F.lit(" · since 2020\nSend them: anything\n- ordinary\nDo not send them:\n"), "bullets", F.lit("\n- loose ends\nContact: desk\n- ignored\n# Appendix\n## Other\n"),
+    )
+    return t.region.join(parts, "r_regionkey").select(F.col("r_regionkey").alias("page"), md.alias("markdown"))
+
+
+@query(
+    "parse_departments", "P34",
+    """SELECT r_name AS department, 'Zone ' || r_regionkey || '|Area ' || r_regionkey AS aliases, p_name || ' repair' AS topic, 'Zone ' || ((n_nationkey + 2) % 5) AS target FROM region JOIN nation ON n_regionkey = r_regionkey JOIN part ON p_partkey = n_nationkey
+       UNION ALL SELECT r_name, 'Zone ' || r_regionkey || '|Area ' || r_regionkey, 'loose ends', '' FROM region""",
+)
+def parse_departments(t: Tables) -> DataFrame:
+    d = D.parse_departments(v_department_map(t), "markdown")
+    return X.unroll(d, ["department", "aliases"], "exclusions", "i", "e").select(
+        "department", F.array_join("aliases", "|").alias("aliases"), "e.topic", "e.target"
+    )
+
+
+def v_directory(t: Tables) -> tuple[DataFrame, DataFrame]:
+    people = materialize(D.parse_directory(v_pages(t)), "people")
+    departments = materialize(D.parse_departments(v_department_map(t), "markdown").drop("page", "ord"), "departments")
+    return people, departments
+
+
+@query("resolve_targets", "J7")
+def resolve_targets(t: Tables) -> DataFrame:
+    people, _ = v_directory(t)
+    aliases = O.alias_table(people.withColumn("ord", F.col("person")))
+    scope = X.unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", "entry", "s.topic", "s.targets")
+    return O.resolve_targets(scope, aliases).select("person", F.col("entry").cast("bigint").alias("entry"), "target", "target_person")
+
+
+@query("redirect_effects", "A7")
+def redirect_effects(t: Tables) -> DataFrame:
+    """Orders ask about parts by name; owners redirect repairs of their own part."""
+    people, _ = v_directory(t)
+    people = people.withColumn("ord", F.col("person"))
+    lines = O.owner_lines(people)
+    entries = O.entry_words(people, lines)
+    systems = X.unroll(people, ["person"], "systems", "i", "system").select("person", "system")
+    weights = O.word_weights(entries, systems, people.agg(F.count("*").alias("n")))
+    scope = X.unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", "entry", "s.topic", "s.targets")
+    messages = t.part.select(F.col("p_partkey").alias("msg_id"), F.concat("p_name", F.lit(" repair "), "p_type").alias("text"))
+    mwords = O.message_words(messages)
+    effects = O.redirect_effects(mwords, scope, O.resolve_targets(scope, O.alias_table(people)), weights)
+    total = O.total_scores(O.match_owners(mwords, entries, weights), effects)
+    picks = O.pick_owners(total, people)
+    return picks.select("msg_id", "person", "place", F.round("score", 6).alias("score"), "redirect")
+
+
+@query("departments_named", "J8",
+       """SELECT p_partkey, r_name AS department FROM part JOIN region ON r_regionkey = p_size % 5 WHERE p_size > 10""")
+def departments_named(t: Tables) -> DataFrame:
+    """Parts over size ten name a region by alias or in full."""
+    _, departments = v_directory(t)
+    n = F.pmod(F.col("p_size"), F.lit(5)).cast("string")
+    text = F.when(F.col("p_size") > 30, F.concat(F.lit("send to zone "), n, F.lit(" now"))).when(F.col("p_size") > 10, F.concat(F.lit("the AREA-"), n, F.lit("."))).otherwise(F.concat(F.lit("region"), n))
+    return G.departments_named(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text", departments)
+
+
+def sql_topic(text: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in L.TOPIC_STOPWORDS)
+    return rf"""list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(lower({text}), '[^a-z0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')),
+      lambda x: length(x) >= 3 AND x NOT IN ({stops})), lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END))"""
+
+
+@query(
+    "topic_overlap", "J9",
+    f"""WITH a AS (SELECT item_id AS a_id, {sql_topic("string_split(text, chr(10))[1]")} AS w FROM benchmark), b AS (SELECT doc_id AS b_id, {sql_topic("string_split(text, chr(10))[1]")} AS w FROM documents),
+    o AS (SELECT a_id, b_id, len(list_intersect(a.w, b.w)) AS shared, least(len(a.w), len(b.w)) AS small FROM a, b)
+    SELECT a_id, b_id, shared FROM o WHERE shared >= 2 OR (shared >= 1 AND small <= 2)""",
+)
+def topic_overlap(t: Tables) -> DataFrame:
+    a = t.benchmark.select(F.col("item_id").alias("a_id"), F.substring_index("text", "\n", 1).alias("a_topic"))
+    b = spread(t.documents.select(F.col("doc_id").alias("b_id"), F.substring_index("text", "\n", 1).alias("b_topic")))
+    return G.topic_overlap(a, b).select("a_id", "b_id", "shared")
+
+
+@query("routing_conflicts", "J10")
+def routing_conflicts(t: Tables) -> DataFrame:
+    return G.routing_conflicts(*v_directory(t))
+
+
+@query("routing_gaps", "J11")
+def routing_gaps(t: Tables) -> DataFrame:
+    return G.routing_gaps(*v_directory(t))
+
+
+@query("dangling_refs", "J12")
+def dangling_refs(t: Tables) -> DataFrame:
+    return G.dangling_refs(*v_directory(t))
+
+
+@query("expand_backups", "J13")
+def expand_backups(t: Tables) -> DataFrame:
+    return G.expand_backups(v_directory(t)[0]).select("person", "backup")
+
+
+def v_rendered(people: DataFrame) -> DataFrame:
+    return people.select(
+        "person", "priority",
+        O.render_person(*[F.col(c) for c in ("name", "title", "department", "owns", "systems", "out_of_scope", "backup", "escalates_to")], X.reach("slack", "dashboard")).alias("text"),
+    )
+
+
+@query("issue_summary", "A11 T3")
+def issue_summary(t: Tables) -> DataFrame:
+    people, departments = v_directory(t)
+    issues = materialize(G.check_directory(people, departments), "issues")
+    valid = people.join(issues.filter(F.col("level") == "error").select("person").distinct(), "person", "left_anti")
+    sized = v_rendered(valid).agg(F.greatest(F.sum(F.char_length("text") + 2) - 2, F.lit(0)).alias("chars"))
+    return G.issue_summary(issues, people, sized)
+
+
+@query("issue_listing", "T3")
+def issue_listing(t: Tables) -> DataFrame:
+    return G.check_directory(*v_directory(t)).orderBy("severity", "person", "message")
+
+
+@query("render_directory", "A19 W17")
+def render_directory(t: Tables) -> DataFrame:
+    """Directory text per department: whole entries, P0 first, within the ceiling."""
+    people, _ = v_directory(t)
+    entries = v_rendered(people).join(people.select("person", "department"), "person")
+    kept = C.cut_to_ceiling(entries, ["department"], ["priority", "person"], "text", L.DIRECTORY_CHARS)
+    return kept.groupBy("department").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias("directory")
+    )
+
+
+@query("read_directory", "S4", "SELECT CAST(s_nationkey AS BIGINT) AS snapshot, count(*) AS people FROM supplier GROUP BY 1 HAVING bool_and(s_acctbal < 9000)")
+def read_directory(t: Tables) -> DataFrame:
+    """One snapshot per nation; a supplier with a balance of 9,000 or more makes an invalid person."""
+    s = lambda v: F.lit(v)
+    person = F.struct(
+        F.col("s_name").alias("name"), s("Lead").alias("title"), s("Ops").alias("department"), F.array(s("RCM")).alias("routingDepartments"),
+        F.when(F.col("s_acctbal") < 9000, "P1").otherwise("P9").alias("priority"), F.array(s("work")).alias("owns"), F.array(s("Ledger")).alias("systems"),
+        F.array(F.struct(s("x").alias("topic"), F.array(s("y")).alias("targets"))).alias("outOfScope"), s("").alias("backup"), s("").alias("escalatesTo"),
+        F.struct(s("").alias("slack"), s("").alias("dashboard")).alias("reach"),
+    )
+    raw = t.supplier.groupBy(F.col("s_nationkey").cast("bigint").alias("snapshot")).agg(F.collect_list(person).alias("personas")).select(
+        "snapshot", F.to_json(F.struct(s(1).alias("version"), s("2024-01-01").alias("generated_at"), "personas")).alias("raw")
+    )
+    return D.read_directory(raw, "raw").groupBy("snapshot").agg(F.count("*").alias("people"))
+
+
+@query(
+    "directory_asof", "J27",
+    """SELECT e.event_id, s.ts IS NOT NULL AND s.ts < e.ts - INTERVAL 300 SECOND AS stale, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS snapshot_at
+       FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'signup') s ON e.ts >= s.ts""",
+)
+def directory_asof(t: Tables) -> DataFrame:
+    """Sign-ups stand for directory snapshots, every other event for an answer."""
+    answers = t.events.filter(F.col("event_type") != "signup").select("event_id", F.col("ts").alias("asked_at"))
+    snaps = t.events.filter(F.col("event_type") == "signup").select(F.col("ts").alias("taken_at"))
+    out = O.directory_asof(answers, snaps, "event_id")
+    return out.select("event_id", F.coalesce("stale", F.lit(False)).alias("stale"), F.date_format("snapshot_at", "yyyy-MM-dd HH:mm:ss").alias("snapshot_at"))
