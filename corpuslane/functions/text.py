@@ -178,11 +178,21 @@ def match_key(display: Column | str) -> Column:
 
 
 def tokens(key: Column | str) -> Column:
-    return F.filter(F.split(col(key), " ", -1), lambda t: t != "")
+    return F.array_remove(F.split(col(key), " ", -1), "")
 
 
 def bigrams(toks: Column | str) -> Column:
-    return shingles(toks, 2)
+    """Neighbouring token pairs in order; ``toks`` should be a plain column."""
+    t = col(toks)
+    return F.when(
+        F.size(t) >= 2,
+        F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b)),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def longest(toks: Column) -> Column:
+    """The longest token (the rarest, as a rule): what a phrase is looked up by."""
+    return F.array_max(F.transform(toks, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
 
 
 def shingles(toks: Column | str, n: int) -> Column:

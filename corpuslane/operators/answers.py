@@ -187,19 +187,18 @@ def repair_lists(text: Column | str) -> Column:
 def degenerate(text: Column | str) -> Column:
     """Stop-word share or repetition over the first 60 words says the text collapsed."""
     stop = F.array(*[F.lit(w) for w in L.COLLAPSE_STOPWORDS])
-    words = F.slice(
-        F.filter(
-            F.transform(F.split(F.lower(col(text)), rf"{L.WS}+", -1), lambda w: sub(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")),
-            lambda w: w != "",
-        ),
-        1,
-        L.SAMPLE_WORDS,
-    )
-    n = F.size(words)
-    stops = F.size(F.filter(words, lambda w: F.array_contains(stop, w)))
-    return F.when(n < L.SAMPLE_MIN_WORDS, False).otherwise(
-        (stops / n > L.STOP_SHARE_MAX) | (F.size(F.array_distinct(words)) / n < L.DISTINCT_SHARE_MIN)
-    )
+    # marks at word edges go in one pass over the text; only the sample is looked at word by word
+    edges = rf"(?<![^\s])[^\p{{L}}\p{{N}}\s]+|[^\p{{L}}\p{{N}}\s]+(?![^\s])"
+    words = F.slice(F.array_remove(F.split(sub(F.lower(col(text)), edges), rf"{L.WS}+", -1), ""), 1, L.SAMPLE_WORDS)
+
+    def verdict(w: Column) -> Column:
+        n = F.size(w)
+        stops = F.size(F.filter(w, lambda x: F.array_contains(stop, x)))
+        return F.when(n < L.SAMPLE_MIN_WORDS, False).otherwise(
+            (stops / n > L.STOP_SHARE_MAX) | (F.size(F.array_distinct(w)) / n < L.DISTINCT_SHARE_MIN)
+        )
+
+    return bind(words, verdict)
 
 
 # --- the follow-up question ---------------------------------------------------

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import (
-    bind, chain, col, display_line, display_title, match_key, shingles, spans, sub, title_stem, tokens, unroll, ws_trim,
+    bigrams, bind, chain, col, display_line, display_title, longest, match_key, spans, sub, title_stem, tokens, unroll, ws_trim,
 )
 from corpuslane.operators.answers import clean_head
 from corpuslane.operators.retrieve import bounded_broadcast
 from corpuslane.session import materialize
 
-ANCHOR = 3  # tokens of the phrase that an exact candidate is joined on
 TOKEN = r"[\p{L}\p{N}](?:[“”‘’\"']*[\p{L}\p{N}])*[“”‘’\"']*"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z“\"(])"
 # --- notes of unmatched and unknown citations (fixed values) ---
@@ -38,17 +37,15 @@ def _scope(quotes: DataFrame) -> list[str]:
 def exact_hits(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     """Every line holding a quote as a contiguous, token-aligned run.
 
-    A quote meets only the lines that share its first tokens (its anchor), and is verified in
-    the same join; each line lists an anchor once, so no pair appears twice. ``quotes`` may
-    carry a ``file`` column, which then scopes the join. Never a cross join, never a group.
+    A quote meets only the lines that hold its longest token, and is verified in the same
+    join; a line lists each token once, so no pair appears twice. ``quotes`` may carry a
+    ``file`` column, which then scopes the join. Never a cross join, never a group.
     """
     scope = _scope(quotes)
-    q = quotes.withColumn("anchor", F.array_join(F.slice("qtoks", 1, ANCHOR), " "))
-    toks = tokens("key")
-    # phrases shorter than the anchor are looked up by their whole run; at most ANCHOR sizes
-    sizes = [r[0] for r in q.select(F.least("qn", F.lit(ANCHOR)).alias("n")).distinct().collect()]
-    runs = F.array_distinct(F.flatten(F.array(*[shingles(toks, n) for n in sorted(sizes or [ANCHOR])])))
-    sized = unroll(lines.select("file", "line", "key"), ["file", "line", "key"], runs, "_i", "anchor").drop("_i")
+    q = quotes.withColumn("anchor", longest(F.col("qtoks")))
+    sized = unroll(
+        lines.select("file", "line", "key"), ["file", "line", "key"], F.array_distinct(tokens("key")), "_i", "anchor"
+    ).drop("_i")
     right = q if scope else bounded_broadcast(q)
     on = [*scope, "anchor"]
     inside = F.instr(F.concat(F.lit(" "), F.col("key"), F.lit(" ")), F.concat(F.lit(" "), F.col("qkey"), F.lit(" ")))
@@ -90,7 +87,7 @@ def fuzzy_pairs(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     scope = _scope(quotes)
     q = (
         quotes.filter(F.col("qn") >= L.QUOTE_MIN_TOKENS)
-        .withColumn("qbi", shingles("qtoks", 2))
+        .withColumn("qbi", bigrams("qtoks"))
         .withColumn(
             "probe",
             F.transform(
@@ -105,7 +102,11 @@ def fuzzy_pairs(quotes: DataFrame, lines: DataFrame) -> DataFrame:
         )
     )
     probes = unroll(q, q.columns, "probe", "_p", "bigram").drop("_p")
-    ltoks = lines.select("file", "line", "key", tokens("key").alias("ltoks")).withColumn("lbi", F.array_distinct(shingles("ltoks", 2)))
+    # half of at least seven bigrams is four, so shorter lines cannot match
+    ltoks = (
+        lines.select("file", "line", "key", tokens("key").alias("ltoks")).filter(F.size("ltoks") > L.QUOTE_MIN_TOKENS // 2)
+        .withColumn("lbi", F.array_distinct(bigrams("ltoks")))
+    )
     right = probes if scope else bounded_broadcast(probes)
     met = unroll(ltoks, ["file", "line", "key", "ltoks", "lbi"], "lbi", "_i", "bigram").drop("_i")
     first = F.get(F.array_intersect(F.col("probe"), F.col("lbi")), F.lit(0))
@@ -158,7 +159,7 @@ def find_quotes(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFra
     A single exact line is accepted at any length; several only for a quote long enough to be
     evidence (the first line wins); with no exact line the best fuzzy line is taken.
     """
-    exact = first_exact(quotes, lines, keys)
+    exact = materialize(first_exact(quotes, lines, keys), "exact-quotes")
     accepted = exact.filter((F.col("n_lines") == 1) | (F.col("qn") >= L.QUOTE_MIN_TOKENS)).drop("n_lines")
     fuzzy = best_fuzzy(quotes, lines, keys).join(exact.select(*keys, "file"), [*keys, "file"], "left_anti")
     return accepted.unionByName(fuzzy)
@@ -176,25 +177,25 @@ def resolve_titles(heads: DataFrame, titles: DataFrame, on: list[str] | None = N
     """Titles named by each head: the longest leading run of title words inside it.
 
     ``heads(head_id, head)``, ``titles(file, title, rank)``; ``on`` scopes both sides by shared
-    columns. Two words are the floor (one for a one-word title). Candidates meet on that
-    floor run; longer runs are then checked within the pair.
+    columns. Two words are the floor (one for a one-word title). Candidates meet on the longest
+    word of that floor run; the runs themselves are then checked within the pair.
     """
     on = on or []
     t = titles.withColumn("_t", title_tokens("title")).filter(F.size("_t") > 0).withColumn(
         "floor", F.when(F.size("_t") == 1, 1).otherwise(2)
-    ).withColumn("run", F.array_join(F.slice("_t", F.lit(1), F.col("floor")), " "))
+    ).withColumn("word", longest(F.slice("_t", F.lit(1), F.col("floor"))))
     h = heads.withColumn("_h", F.transform(tokens(match_key(display_line("head"))), title_stem))
-    runs = F.array_distinct(F.concat(F.col("_h"), shingles("_h", 2)))
-    hr = unroll(h, h.columns, runs, "_i", "run").drop("_i").withColumn(
-        "_padded", F.concat(F.lit(" "), F.array_join("_h", " "), F.lit(" "))
-    )
+    h = h.withColumn("_padded", F.concat(F.lit(" "), F.array_join("_h", " "), F.lit(" ")))
+    hr = unroll(h, h.columns, F.array_distinct("_h"), "_i", "word").drop("_i")
     right = t if on else bounded_broadcast(t)
-    pairs = hr.join(right, [*on, "run"])
+    pairs = hr.join(right, [*on, "word"])
     lengths = F.filter(
         F.sequence("floor", F.size("_t")),
         lambda k: F.contains("_padded", F.concat(F.lit(" "), F.array_join(F.slice("_t", F.lit(1), k), " "), F.lit(" "))),
     )
-    return pairs.withColumn("length", F.array_max(lengths).cast("bigint")).drop("_t", "_h", "_padded", "run", "floor")
+    return pairs.withColumn("length", F.array_max(lengths).cast("bigint")).filter(F.col("length").isNotNull()).drop(
+        "_t", "_h", "_padded", "word", "floor"
+    )
 
 
 def best_title(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -441,13 +442,12 @@ def mention_dictionary(sources: DataFrame) -> DataFrame:
 
 
 def mention_table(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """Which mentions may occur in which text, met on the first words of the mention."""
-    words = F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    d = dictionary.withColumn("anchor", F.array_join(F.slice(F.split("mkey", " "), 1, 2), " "))
-    w = texts.select(key, words.alias("_w")).withColumn("_padded", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
-    runs = F.array_distinct(F.concat(F.col("_w"), shingles("_w", 2)))
+    """Which mentions may occur in which text, met on the longest word of the mention."""
+    words = F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), "")
+    d = dictionary.withColumn("anchor", longest(F.split("mkey", " ")))
+    w = texts.select(key, words.alias("_w"))
     return (
-        unroll(w, [key, "_padded"], runs, "_i", "anchor").drop("_i")
+        w.select(key, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_padded"), F.explode(F.array_distinct("_w")).alias("anchor"))
         .join(bounded_broadcast(d), "anchor")
         .filter(F.contains("_padded", F.concat(F.lit(" "), F.col("mkey"), F.lit(" "))))
         .select(key, "clean", "url", "label")

@@ -23,6 +23,13 @@ def window_array(text: Column | str, size: int = L.SCREEN_WINDOW, overlap: int =
     return bind(col(text), cut)
 
 
+def window_at(text: Column | str, k: Column | str, size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> Column:
+    """Window number ``k`` alone, or null past the last one."""
+    t, step = col(text), size - overlap
+    inside = (col(k) == 0) | ((col(k) - 1) * step + size < F.char_length(t))
+    return F.when(inside, F.substr(t, (col(k) * step + 1).cast("int"), F.lit(size)))
+
+
 def text_windows(df: DataFrame, text: str = "text", size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     return unroll(df, keep, window_array(text, size, overlap), "win", "window_text")

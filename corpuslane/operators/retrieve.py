@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import col, find, sub, ws_trim
-from corpuslane.session import BROADCAST_ROW_BOUND, rows_at_most
+from corpuslane.session import BROADCAST_ROW_BOUND, materialize, rows_at_most
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -108,7 +108,7 @@ def top_per_query(scored: DataFrame, n: int) -> DataFrame:
 
 
 def words_of(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX_RESULTS) -> DataFrame:
@@ -123,19 +123,19 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX
         .select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     )
     terms = bounded_broadcast(terms)
-    vocabulary = terms.select("word").distinct()
+    # every chunk also lists the empty word once, so sizes come out of the same single pass
+    vocabulary = terms.select("word").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word")))
     sized = chunks.select("chunk_id", words_of("text").alias("words"))
-    stats = sized.agg(
-        F.count("*").alias("n_chunks"), F.avg(F.size("words")).alias("avg_len")
-    )
-    postings = (
-        sized.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
+    postings = materialize(
+        sized.select("chunk_id", F.size("words").alias("len"), F.explode(F.array_append("words", "")).alias("word"))
         .join(bounded_broadcast(vocabulary), "word", "left_semi")
         .groupBy("chunk_id", "len", "word")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").alias("tf")),
+        "postings",
     )
-    df = postings.groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select(
+    stats = postings.filter(F.col("word") == "").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
+    postings = postings.filter(F.col("word") != "")
+    idf = postings.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select(
         "word", "avg_len",
         F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )

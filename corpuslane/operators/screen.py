@@ -11,6 +11,9 @@ from corpuslane.session import rows_at_most
 
 # Longest dictionary folded over each text in one expression.
 NAME_BOUND = 5_000
+# Cheap tests every match must pass: they run before the costly patterns.
+PHONE_GATE = "[0-9]{4}"
+DATE_GATE = "[0-9]{2}"
 
 
 def _gap(a: Column, b: Column) -> Column:
@@ -45,7 +48,7 @@ def contact_phone_spans(text: Column | str) -> Column:
             | ~F.exists(marks, lambda k: _gap(k, p) <= L.RECORD_NUMBER_GAP),
         ),
     )
-    return F.when(t.rlike(L.PHONE), kept).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.when(t.rlike(PHONE_GATE) & t.rlike(L.PHONE), kept).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, keyword: str, target: str, gap: int) -> DataFrame:
@@ -75,9 +78,9 @@ def identifier_reason(text: Column | str) -> Column:
     """What tripped the hard screen, first match wins, or null."""
     t = col(text)
     return (
-        F.when(t.rlike(L.SSN), "a Social Security number")
-        .when(t.rlike(L.EMAIL), "an email address")
-        .when(near(t, L.BIRTH_KEYWORD, L.DATE, L.BIRTH_DATE_GAP), "a date of birth")
+        F.when(t.rlike(PHONE_GATE) & t.rlike(L.SSN), "a Social Security number")
+        .when(F.contains(t, F.lit("@")) & t.rlike(L.EMAIL), "an email address")
+        .when(t.rlike(DATE_GATE) & near(t, L.BIRTH_KEYWORD, L.DATE, L.BIRTH_DATE_GAP), "a date of birth")
         .when(F.size(contact_phone_spans(t)) > 0, "a phone number")
     )
 

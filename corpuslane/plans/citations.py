@@ -20,6 +20,11 @@ def v_lines(t: Tables) -> DataFrame:
     return N.index_lines(spread(t.documents.select(F.col("doc_id").alias("file"), "text")), "file", "text")
 
 
+def v_line_table(t: Tables) -> DataFrame:
+    """The line table, written once where a query reads it more than once."""
+    return materialize(v_lines(t), "lines")
+
+
 def v_quotes(t: Tables) -> DataFrame:
     """Every line of every benchmark item is a quote."""
     q = X.unroll(t.benchmark, ["item_id"], X.lines_of("text"), "ord", "quote")
@@ -65,19 +70,20 @@ def find_fuzzy(t: Tables) -> DataFrame:
     SELECT item_id, ord, file, line FROM g WHERE n = 1 OR qn >= 8""",
 )
 def find_quotes_exact(t: Tables) -> DataFrame:
-    found = Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"])
+    found = Q.find_quotes(v_quotes(t), v_line_table(t), ["item_id", "ord"])
     return found.filter("exact").select("item_id", "ord", "file", "line")
 
 
 @query("find_quotes", "J16")
 def find_quotes(t: Tables) -> DataFrame:
-    return Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "exact", F.round("score", 6).alias("score"))
+    return Q.find_quotes(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "exact", F.round("score", 6).alias("score"))
 
 
 @query("expand_quotes", "W16")
 def expand_quotes(t: Tables) -> DataFrame:
-    hits = Q.find_quotes(v_quotes(t), v_lines(t), ["item_id", "ord"])
-    shown = v_lines(t).select("file", "line", "display", "quoted", "table")
+    lines = v_line_table(t)
+    hits = Q.find_quotes(v_quotes(t), lines, ["item_id", "ord"])
+    shown = lines.select("file", "line", "display", "quoted", "table")
     return hits.join(shown, ["file", "line"]).select(
         "item_id", "ord", "file", "line",
         Q.expand_quote("display", "from_tok", "to_tok", "quoted", "table").alias("quote"),

@@ -14,7 +14,7 @@ from corpuslane.functions import lexicon as L
 from corpuslane.operators import context as C
 from corpuslane.operators import retrieve as R
 from corpuslane.plans.registry import query
-from corpuslane.session import Tables, spread
+from corpuslane.session import Tables, materialize, spread
 
 
 def v_queries(t: Tables) -> DataFrame:
@@ -196,15 +196,16 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY phase, ord) A
 
 
 def v_packed(t: Tables) -> DataFrame:
-    hits = v_hits(t)
+    hits = materialize(v_hits(t), "hits")
     meta = t.documents.select(
         F.col("doc_id").alias("file"), F.col("source").alias("title"), F.col("text").alias("body"),
         F.when(F.col("lang") == "de", "draft").alias("status"),
     )
-    windows = t.documents.select(F.col("doc_id").alias("file"), C.window_array("text").alias("wins"))
-    chunk_hits = hits.join(windows, "file", "left").withColumn(
-        "chunk_text", F.get("wins", F.pmod(F.col("chunk_id"), F.lit(4)).cast("int"))
-    ).drop("wins")
+    # the bounded hit list meets the documents first, so only windows that were hit are cut
+    texts = t.documents.select(F.col("doc_id").alias("file"), "text")
+    chunk_hits = R.bounded_broadcast(hits).join(texts, "file").withColumn(
+        "chunk_text", C.window_at("text", F.pmod(F.col("chunk_id"), F.lit(4)))
+    ).drop("text")
     return C.pack_context(R.rank_files(hits), chunk_hits, meta)
 
 

@@ -30,8 +30,15 @@ def v_deltas(t: Tables) -> DataFrame:
     n = F.char_length("body")
     size = F.when(F.col("conv_id") % 3 == 0, 7).when(F.col("conv_id") % 3 == 1, 64).otherwise(F.greatest(n, F.lit(1)))
     sized = collapsed.unionByName(real).withColumn("size", size)
-    cuts = F.transform(F.sequence(F.lit(0), F.ceil(n / F.col("size")).cast("int") - 1), lambda i: F.substr(F.col("body"), i * F.col("size") + 1, F.col("size")))
-    return X.unroll(sized, ["conv_id", "turn", "attempt", F.size(cuts).alias("n")], cuts, "seq", "delta").select(
+    cuts = X.bind(
+        F.struct("body", "size"),
+        lambda x: F.transform(
+            F.sequence(F.lit(0), F.ceil(F.char_length(x["body"]) / x["size"]).cast("int") - 1),
+            lambda i: F.substr(x["body"], i * x["size"] + 1, x["size"]),
+        ),
+    )
+    pieces = F.ceil(n / F.col("size"))
+    return X.unroll(sized, ["conv_id", "turn", "attempt", pieces.alias("n")], cuts, "seq", "delta").select(
         "conv_id", "turn", "attempt", F.col("seq").cast("bigint").alias("seq"), "delta",
         F.when(F.col("seq") == F.col("n") - 1, F.col("n").cast("bigint")).alias("tokens"),
     )

@@ -121,29 +121,34 @@ class GateAndHold(Gate):
     """The gate, then the hold: the body is shown at once, the citation tail only at the end."""
 
     def start(self) -> dict:
-        return {**super().start(), "line": "", "tail": None}
+        return {**super().start(), "line": "", "mid": False, "tail": None}
 
     def feed(self, s, text, final):
         shown, decided = self.gate(s, text, final)
         out = [self.emit(s, "decision", "")] if decided else []
         if not s["decision"] or s["decision"][1]:
             return out
+        ready = ""
         if s["tail"] is not None:
             s["tail"] += shown
         else:
             s["line"] += shown
-            cut = D.heading_cut(s["line"], final)
+            if s["mid"]:
+                # the rest of a line already begun cannot open a heading
+                n = s["line"].find("\n") + 1 or len(s["line"])
+                ready, s["line"] = s["line"][:n], s["line"][n:]
+                s["mid"] = not ready.endswith("\n")
+            cut = None if s["mid"] else D.heading_cut(s["line"], final)
             if cut is not None:
                 s["tail"] = s["line"][cut:]
-                ready, s["line"] = s["line"][:cut], ""
+                ready, s["line"] = ready + s["line"][:cut], ""
             elif final:
-                ready, s["line"] = s["line"], ""
-                s["tail"] = "" if D.ends_on_heading(ready) else None
-            else:
-                # only whole lines leave the buffer, so a heading is always seen from its start
+                s["tail"] = "" if not s["mid"] and D.ends_on_heading(s["line"]) else None
+                ready, s["line"] = ready + s["line"], ""
+            elif not s["mid"]:
                 n = D.safe_length(s["line"])
-                n = s["line"].rfind("\n", 0, n) + 1
-                ready, s["line"] = s["line"][:n], s["line"][n:]
+                ready, s["line"] = ready + s["line"][:n], s["line"][n:]
+                s["mid"] = bool(ready) and not ready.endswith("\n")
             if ready:
                 out.append(self.emit(s, "body", ready))
         if final and s["tail"] is not None:

@@ -51,7 +51,9 @@ def kind(t):
 
 def compare(spark, con, sf, name, fn, sql):
     df = fn(spark, sf)
+    t0 = time.time()
     got = [tuple(r) for r in df.collect()]
+    t1 = time.time()
     if sql is None:
         return f"rows-only {len(got)}", True
     cur = con.execute(sql)
@@ -68,7 +70,7 @@ def compare(spark, con, sf, name, fn, sql):
         sa, sb = set(a), set(b)
         miss, extra = [x for x in b if x not in sa][:2], [x for x in a if x not in sb][:2]
         return f"VALUES differ spark={len(a)} sql={len(b)}\n   only sql: {str(miss)[:900]}\n   only spark: {str(extra)[:900]}", False
-    return f"ok {len(a)} rows", True
+    return f"ok {len(a)} rows (collect {t1 - t0:.1f}s, sql {time.time() - t1:.1f}s)", True
 
 
 def main():
