@@ -14,7 +14,7 @@ HEADER = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n---(?:[ \t]*\r?\n|[ \t]*\z|\z)|\z)"
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """One row per markdown object under ``path``: its key and whole text."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("key"), F.col("value").alias("raw")
     )
 
