@@ -65,6 +65,7 @@ WITHHELD = "[withheld]"
 W0 = r"(?<![A-Za-z0-9_])"  # before a word
 W1 = r"(?![A-Za-z0-9_])"   # after a word
 WS = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_WS = WS.replace("[", "[^", 1)
 
 # --- identifier patterns (fixed values) ---

@@ -42,7 +42,7 @@ def chain(c: Column | str, *steps: tuple[str, str]) -> Column:
 
 def ws_trim(c: Column | str) -> Column:
     """Trim every kind of white space, newlines and no-break spaces included."""
-    return sub(c, rf"^{L.WS}+|{L.WS}+$")
+    return F.btrim(col(c), F.lit(L.WS_CHARS))
 
 
 def one_line(c: Column | str) -> Column:
@@ -102,10 +102,13 @@ def spans(c: Column | str, pattern: str) -> Column:
 def unroll(df: DataFrame, keep: list, array: Column | str, at: str, item: str) -> DataFrame:
     """One row per array element.
 
-    The outer form keeps the optimizer from deriving a ``size(array) > 0`` filter, which
-    would evaluate an expensive array expression a second time below the generator.
+    Kept expressions are computed below the generator; beside it they would be evaluated once
+    per element. The outer form keeps the optimizer from deriving a ``size(array) > 0`` filter,
+    which would evaluate an expensive array a second time.
     """
-    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
+    flat = df.select(*keep, col(array).alias("_array"))
+    names = [c for c in flat.columns if c != "_array"]
+    return flat.select(*names, F.posexplode_outer("_array").alias(at, item)).filter(F.col(at).isNotNull())
 
 
 # --- markdown lines ---------------------------------------------------------
@@ -249,7 +252,7 @@ def owner_words(c: Column | str) -> Column:
 
 def owner_word_rows(df: DataFrame, keep: list[str], text: Column | str) -> DataFrame:
     """Distinct (keys, word) rows of long texts; the word test runs as generated code."""
-    raw = df.select(*keep, F.explode(F.array_distinct(_owner_pieces(text))).alias("raw"))
+    raw = df.select(*keep, F.explode_outer(F.array_distinct(_owner_pieces(text))).alias("raw"))
     return raw.select(*keep, content_word(F.col("raw")).alias("word")).filter(F.col("word").isNotNull()).distinct()
 
 

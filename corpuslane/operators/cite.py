@@ -108,9 +108,13 @@ def fuzzy_pairs(quotes: DataFrame, lines: DataFrame) -> DataFrame:
         .withColumn("lbi", F.array_distinct(bigrams("ltoks")))
     )
     right = probes if scope else bounded_broadcast(probes)
-    met = unroll(ltoks, ["file", "line", "key", "ltoks", "lbi"], "lbi", "_i", "bigram").drop("_i")
+    met = unroll(ltoks, ["file", "line", "key"], "lbi", "_i", "bigram").drop("_i")
     first = F.get(F.array_intersect(F.col("probe"), F.col("lbi")), F.lit(0))
-    pairs = met.join(right, [*scope, "bigram"]).filter(F.col("bigram") == first)
+    # arrays are rebuilt for the few lines that met, not carried along every bigram
+    pairs = (
+        met.join(right, [*scope, "bigram"]).withColumn("ltoks", tokens("key"))
+        .withColumn("lbi", F.array_distinct(bigrams("ltoks"))).filter(F.col("bigram") == first)
+    )
     overlap = F.size(F.filter("qbi", lambda b: F.array_contains("lbi", b))) / F.size("qbi")
     return pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= 2 * L.QUOTE_THRESHOLD - 1)
 
@@ -177,24 +181,25 @@ def resolve_titles(heads: DataFrame, titles: DataFrame, on: list[str] | None = N
     """Titles named by each head: the longest leading run of title words inside it.
 
     ``heads(head_id, head)``, ``titles(file, title, rank)``; ``on`` scopes both sides by shared
-    columns. Two words are the floor (one for a one-word title). Candidates meet on the longest
-    word of that floor run; the runs themselves are then checked within the pair.
+    columns. Two words are the floor (one for a one-word title). Candidates meet on that
+    floor run; longer runs are then checked within the pair.
     """
     on = on or []
     t = titles.withColumn("_t", title_tokens("title")).filter(F.size("_t") > 0).withColumn(
         "floor", F.when(F.size("_t") == 1, 1).otherwise(2)
-    ).withColumn("word", longest(F.slice("_t", F.lit(1), F.col("floor"))))
+    ).withColumn("run", F.array_join(F.slice("_t", F.lit(1), F.col("floor")), " "))
     h = heads.withColumn("_h", F.transform(tokens(match_key(display_line("head"))), title_stem))
     h = h.withColumn("_padded", F.concat(F.lit(" "), F.array_join("_h", " "), F.lit(" ")))
-    hr = unroll(h, h.columns, F.array_distinct("_h"), "_i", "word").drop("_i")
+    h = h.withColumn("_runs", F.array_distinct(F.concat(F.col("_h"), bigrams("_h"))))
+    hr = unroll(h, [c for c in h.columns if c != "_runs"], "_runs", "_i", "run").drop("_i")
     right = t if on else bounded_broadcast(t)
-    pairs = hr.join(right, [*on, "word"])
+    pairs = hr.join(right, [*on, "run"])
     lengths = F.filter(
         F.sequence("floor", F.size("_t")),
         lambda k: F.contains("_padded", F.concat(F.lit(" "), F.array_join(F.slice("_t", F.lit(1), k), " "), F.lit(" "))),
     )
     return pairs.withColumn("length", F.array_max(lengths).cast("bigint")).filter(F.col("length").isNotNull()).drop(
-        "_t", "_h", "_padded", "word", "floor"
+        "_t", "_h", "_padded", "run", "floor"
     )
 
 
@@ -442,13 +447,17 @@ def mention_dictionary(sources: DataFrame) -> DataFrame:
 
 
 def mention_table(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """Which mentions may occur in which text, met on the longest word of the mention."""
+    """Which mentions may occur in which text, met on the first words of the mention."""
     words = F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), "")
-    d = dictionary.withColumn("anchor", longest(F.split("mkey", " ")))
-    w = texts.select(key, words.alias("_w"))
+    d = dictionary.withColumn("anchor", F.array_join(F.slice(F.split("mkey", " "), 1, 2), " "))
+    w = texts.select(key, words.alias("_w")).withColumn("_runs", F.array_distinct(F.concat(F.col("_w"), bigrams("_w"))))
+    # only ids travel with the runs; the text is read again for the few candidates
+    candidates = materialize(
+        unroll(w, [key], "_runs", "_i", "anchor").drop("_i").join(bounded_broadcast(d), "anchor").drop("anchor"), "mentions"
+    )
+    padded = texts.select(key, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("_padded"))
     return (
-        w.select(key, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_padded"), F.explode(F.array_distinct("_w")).alias("anchor"))
-        .join(bounded_broadcast(d), "anchor")
+        padded.join(bounded_broadcast(candidates), key)
         .filter(F.contains("_padded", F.concat(F.lit(" "), F.col("mkey"), F.lit(" "))))
         .select(key, "clean", "url", "label")
     )

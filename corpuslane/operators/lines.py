@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslane.functions.text import (
-    BLOCKQUOTE, FENCE, HEADING, TABLE_ROW, chain, col, display_line, is_blank, lines_of, match_key, tokens,
+    BLOCKQUOTE, FENCE, HEADING, TABLE_ROW, chain, col, display_line, is_blank, lines_of, match_key, tokens, unroll,
 )
 
 PLAIN, HEAD, FENCE_MARK = 0, 1, 2
@@ -52,12 +52,9 @@ def index_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     lined = docs.select(key, lines_of(text).alias("_lines"))
     owned = lined.withColumn("_owner", nearest_heading(line_kinds(F.col("_lines"))))
-    raw = owned.select(
-        key, "_lines", F.posexplode_outer(F.arrays_zip(F.col("_lines").alias("raw"), F.col("_owner").alias("owner"))).alias("index", "_l")
-    ).select(
-        key, "index", F.col("_l.raw").alias("raw"), F.col("_l.owner").alias("owner"),
-        F.get("_lines", F.col("_l.owner")).alias("heading"),
-    )
+    heading = F.transform("_owner", lambda o: F.get(F.col("_lines"), o)).alias("heading")
+    zipped = F.arrays_zip(F.col("_lines").alias("raw"), F.col("_owner").alias("owner"), heading)
+    raw = unroll(owned, [key], zipped, "index", "_l").select(key, "index", "_l.raw", "_l.owner", "_l.heading")
     shown = (
         raw.filter((F.col("owner") != -2) & (F.col("owner") != F.col("index")) & ~is_blank("raw"))
         .withColumn("display", display_line("raw"))

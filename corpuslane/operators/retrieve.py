@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import col, find, sub, ws_trim
+from corpuslane.functions.text import col, find, sub, unroll, ws_trim
 from corpuslane.session import BROADCAST_ROW_BOUND, materialize, rows_at_most
 
 BM25_K1 = 1.2
@@ -127,7 +127,7 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX
     vocabulary = terms.select("word").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word")))
     sized = chunks.select("chunk_id", words_of("text").alias("words"))
     postings = materialize(
-        sized.select("chunk_id", F.size("words").alias("len"), F.explode(F.array_append("words", "")).alias("word"))
+        unroll(sized, ["chunk_id", F.size("words").alias("len")], F.array_append("words", ""), "_i", "word")
         .join(bounded_broadcast(vocabulary), "word", "left_semi")
         .groupBy("chunk_id", "len", "word")
         .agg(F.count("*").alias("tf")),

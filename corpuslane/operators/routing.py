@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import chain, col, longest, sub, topic_words, unroll, ws_trim
+from corpuslane.functions.text import bigrams, chain, col, sub, topic_words, unroll, ws_trim
 from corpuslane.operators.retrieve import bounded_broadcast
 
 
@@ -26,11 +26,12 @@ def department_phrases(departments: DataFrame) -> DataFrame:
 
 
 def phrases_named(texts: DataFrame, key: str, text: str, phrases: DataFrame, name: str) -> DataFrame:
-    """Which phrases each text holds as contiguous words: met on the longest word, then verified."""
-    p = phrases.withColumn("anchor", longest(F.split("phrase", " ")))
-    t = texts.select(key, _words(text).alias("_w"))
+    """Which phrases each text holds as contiguous words: met on the first two words, then verified."""
+    p = phrases.withColumn("anchor", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
+    t = texts.select(key, _words(text).alias("_w")).withColumn("_runs", F.array_distinct(F.concat(F.col("_w"), bigrams("_w"))))
+    padded = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_padded")
     return (
-        t.select(key, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_padded"), F.explode(F.array_distinct("_w")).alias("anchor"))
+        unroll(t, [key, padded], "_runs", "_i", "anchor").drop("_i")
         .join(bounded_broadcast(p), "anchor")
         .filter(F.contains("_padded", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
         .select(key, name).distinct()
