@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import langid
+from corpuslane.llm import langid, mixing, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SHARDS = 8
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,3 +31,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs.select("doc_id", "text"), model)
     held = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = shards.interleave(shards.digest(table(spark, sf_dir, "documents")), SHARDS, by=("doc_id", "text_crc32", "size"))
+    return put.select("doc_id", "source", "size", "text_crc32", F.lit(shards.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.with_mix(docs)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
