@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import small_batches, struct_udf, without
+from corpuslane.llm.shared import ready, struct_udf, without
 from corpuslane.llm.words import pieces
 
 BUCKETS = 1 << 15
@@ -101,7 +101,7 @@ def train(rows: DataFrame, text: Column, label: Column) -> Model:
             at = np.flatnonzero(part)
             yield pa.record_batch([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(part[at])], ["label", "bucket", "n"])
 
-    small_batches(rows.sparkSession)
+    ready(rows.sparkSession)
     labelled = rows.select(text.alias("text"), label.alias("label")).where("text IS NOT NULL AND label IS NOT NULL AND label <> ''")
     counts = labelled.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     # at most MAX_LABELS x BUCKETS rows
@@ -140,7 +140,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(column: pa.Array) -> pa.Array:
         labels, sure = [], []

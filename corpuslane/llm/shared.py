@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 FILTER_BITS = 1 << 26
 SLICE_WORDS = 1 << 10
 ARROW_BYTES = 8 << 20
+_SENT: set[str] = set()
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -41,8 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts do not pile up in a Python worker."""
+def ready(spark: SparkSession) -> None:
+    """Send this package to the executors once, and bound Arrow batches by bytes, so that long
+    texts do not pile up in a Python worker."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for path in package.rglob("*.py"):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _SENT.add(context.applicationId)
     if int(spark.conf.get(_ARROW).rstrip("bB")) > ARROW_BYTES:
         spark.conf.set(_ARROW, str(ARROW_BYTES))
 
@@ -81,7 +94,7 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast
             yield pa.record_batch([pa.array([at], pa.int64()), pa.array([own.tobytes()])], ["slice", "bits"])
 
     kind = "slice long, bits binary"
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     slices = df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(gather, kind)
     slices = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(merge, kind)
     whole = np.zeros(bits // 64, np.uint64)
