@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import decontaminate, langid, mixing, neardup, shards, substrings
+from corpuslane.llm import decontaminate, langid, mixing, neardup, shards, substrings, warc
+from corpuslane.llm.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +69,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.without_repeats(docs)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = warc.as_blocks(table(spark, sf_dir, "pages"), "page_id", "url", F.col("html"))
+    legacy = stored(warc.arc_archives(blocks), "arc")
+    archives = stored(warc.convert(legacy), "warc")
+    records = stored(warc.read(archives).drop("payload"), "warc-index")
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# equal payloads hash alike, so the twin groups by the text itself
+SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+     s AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(encode(body)) AS d, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM s
+"""
