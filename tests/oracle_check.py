@@ -43,7 +43,7 @@ def rows_of(columns, rows):
 
 def kind(t):
     t = str(t).upper()
-    for a, b in (("STRING", "VARCHAR"), ("LONG", "BIGINT"), ("BIGINT", "BIGINT"), ("VARCHAR", "VARCHAR"), ("DOUBLE", "DOUBLE"), ("BOOL", "BOOLEAN")):
+    for a, b in (("STRING", "VARCHAR"), ("LONG", "BIGINT"), ("BIGINT", "BIGINT"), ("VARCHAR", "VARCHAR"), ("DOUBLE", "DOUBLE"), ("BOOL", "BOOLEAN"), ("INT", "INTEGER")):
         if t.startswith(a):
             return b
     return t
