@@ -53,7 +53,8 @@ _POW, _INV = _powers(_BASE, BLOCK + 1), _powers(_BASE_INV, BLOCK + 1)
 
 @dataclass
 class Words:
-    """Words of several texts in order: byte range in ``data``, text number and hash of each."""
+    """Words of several texts in order: byte range in ``data``, text number and hash of each; and of
+    each text its number of words, its first word and its first byte."""
 
     data: np.ndarray
     start: np.ndarray
@@ -62,6 +63,7 @@ class Words:
     hash: np.ndarray
     counts: np.ndarray
     first: np.ndarray
+    begin: np.ndarray
 
     def grams(self, n: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of ``n`` words of one text."""
@@ -119,7 +121,7 @@ def split(texts: pa.Array, table: np.ndarray, fold: bool) -> Words:
     bound = np.searchsorted(start, offsets)
     first, counts = bound[:-1], np.diff(bound)
     text = np.repeat(np.arange(n), counts)
-    return Words(data, start, end, text, _hash(data, start, end, _FOLDED if fold else _BYTES), counts, first)
+    return Words(data, start, end, text, _hash(data, start, end, _FOLDED if fold else _BYTES), counts, first, offsets[:-1])
 
 
 def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
