@@ -127,11 +127,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents have no paths. A source is read as a repository with directories for ids by
     20,000 and below by 2,000, where every third file of a source lies in the upper one; a document that
-    opens with a statement is taken for its directory's licence file."""
+    states a licence in its first three lines is taken for its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
     number = F.col("doc_id")
     lower = F.when(F.expr("doc_id DIV 20 % 3 <> 0"), F.expr("doc_id DIV 2000 % 10").cast("string"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.expr("doc_id DIV 20000").cast("string"), lower, number.cast("string"))
     docs = docs.select("doc_id", F.when(number.isNotNull(), path).alias("path"), "text")
     found = license_scan.statements(docs, license_scan.weigh(docs, F.col("text"))).drop("text")
-    return license_scan.inherited(found, speaks=F.col("line") == 0)
+    return license_scan.inherited(found, speaks=F.col("line") < 3)
