@@ -8,11 +8,13 @@ collections of one hash all tables fail with probability 3e-5.
 1. Rows with the same shingle set are one class; copies never multiply.
 2. In each bucket the classes are linked to the bucket's smallest class, if that holds on the
    full sets; components of these links follow.
-3. Pairs inside a bucket that lie in different components by then are still open. They are laid out in
-   tiles of ``TILE`` members, of which those inside the bucket's largest component do not meet each
-   other; sizes and ``SCREEN`` minhashes rule out pairs, and what remains is confirmed on the full
-   sets. So no bucket is capped, and a large group of near copies costs its size times the few
-   members that are not yet connected, not its square.
+3. Pairs inside a bucket that lie in different components by then are still open. Those of a bucket of up to
+   ``LISTED`` members are listed, screened by size and minhashes, and confirmed on the full sets.
+4. Members of larger buckets bring their sets along: those outside a bucket's largest component meet each
+   other and that component's members, in tiles of ``TILE``, and a task hands on only the links it
+   confirmed there. Buckets with the same largest component are laid out once. So no bucket is capped, no
+   pairs of a large group leave a task, and a group of near copies costs its size times the
+   members that are not connected, not its square.
 
 A pair of similarity 0.75 agrees in fewer than ``SCREEN_LEAST`` of ``SCREEN`` minhashes with
 probability 4e-6.
@@ -26,15 +28,16 @@ Empty tables give no rows. Input columns named like an output are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.llm.components import components
-from corpuslane.llm.shared import bit_filter, held, ready, row_key, stored, struct_udf, without
+from corpuslane.llm.shared import bit_filter, held, ready, row_key, row_of, stored, struct_udf
 from corpuslane.llm.words import SPACED, mix, pieces, signed, split
 
 SHINGLE = 5
@@ -42,7 +45,13 @@ PERCENT = 75
 POOL = 10
 SCREEN = 32
 SCREEN_LEAST = 13
-TILE = 512
+LISTED = 64
+TILE = 256
+#: Number of the table of each pair of collections.
+TABLES = {pair: t for t, pair in enumerate(combinations(range(POOL), 2))}
+_TABLE = np.zeros((POOL, POOL), np.int64)
+for (_i, _j), _t in TABLES.items():
+    _TABLE[_i, _j] = _t
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, SCREEN, dtype=np.uint64) | np.uint64(1)
@@ -94,15 +103,15 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SCREEN)
 
 
-def table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key for each pair of collections: (key, node)."""
+def table_keys(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One key for each pair of collections, its table in the last six bits: (key, node)."""
     for batch in batches:
         sig = signatures(batch.column(1)).astype(np.uint64)
         node = np.asarray(batch.column(0))
-        for i in range(POOL):
-            for j in range(i + 1, POOL):
-                key = mix((sig[:, i] << np.uint64(32) | sig[:, j]) + mix(np.full(1, i * POOL + j, np.uint64)))
-                yield pa.record_batch([pa.array(signed(key)), pa.array(node)], ["key", "node"])
+        for (i, j), t in TABLES.items():
+            key = mix((sig[:, i] << np.uint64(32) | sig[:, j]) + mix(np.full(1, t, np.uint64))) & ~np.uint64(63) | np.uint64(t)
+            keep = held(bitmap, mix(key)) if bitmap is not None else slice(None)
+            yield pa.record_batch([pa.array(signed(key[keep])), pa.array(node[keep])], ["key", "node"])
 
 
 def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -122,43 +131,92 @@ def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((signatures(left) == signatures(right)).sum(axis=1) >= SCREEN_LEAST)
 
 
-def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Screened pairs of different components inside each run of one ``cell``; rows come sorted by cell."""
-    rest = None
+def runs(batches: Iterator[pa.RecordBatch], column: str, use: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``use`` on tables that hold every run of equal values whole; rows come sorted by ``column``."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        cell = rows.column("cell").to_numpy()
-        cut = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
-        if cut:
-            yield from _pairs(rows.slice(0, cut))
-        tail = rows.slice(cut).combine_chunks().to_batches()
-        rest = tail[0] if tail else None
-    if rest is not None:
-        yield from _pairs(pa.Table.from_batches([rest]))
-
-
-def _pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    cell, node, comp, n = (rows.column(c).to_numpy() for c in ("cell", "node", "comp", "n"))
+        value = batch.column(column).to_numpy()
+        if not len(value):
+            continue
+        other = np.flatnonzero(value != value[-1])
+        before = len(waiting) and waiting[-1].column(column)[-1].as_py() != value[0]
+        if len(other) or before:
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from use(pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks())
+            waiting, batch = [], batch.slice(cut)
+        waiting.append(batch)
+    if waiting:
+        yield from use(pa.Table.from_batches(waiting).combine_chunks())
+
+
+def open_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Screened pairs of different components inside each run of one ``key``, each in the first of the tables that
+    both are in."""
+    key, node, comp, n = (rows.column(c).to_numpy() for c in ("key", "node", "comp", "n"))
+    if not len(key):
+        return
     sig = signatures(rows.column("sig").combine_chunks())
-    left = np.arange(len(cell))
+    left = np.arange(len(key))
     lag = 0
     while len(left):
         lag += 1
-        left = left[left + lag < len(cell)]
-        left = left[cell[left] == cell[left + lag]]
+        left = left[left + lag < len(key)]
+        left = left[key[left] == key[left + lag]]
         right = left + lag
         small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
         ok = (comp[left] != comp[right]) & (100 * small >= PERCENT * large)
         a, b = left[ok], right[ok]
         if len(a):
-            good = (sig[a] == sig[b]).sum(axis=1) >= SCREEN_LEAST
+            same = sig[a] == sig[b]
+            pool = same[:, :POOL].copy()
+            first = pool.argmax(axis=1)
+            pool[np.arange(len(pool)), first] = False
+            good = (same.sum(axis=1) >= SCREEN_LEAST) & (_TABLE[first, pool.argmax(axis=1)] == key[a] & 63)
             a, b = node[a[good]], node[b[good]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are alike enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def tile_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Confirmed links inside each run of one ``cell`` that connect different components of it.
+
+    Members outside the largest component look at all others; what is connected already is not looked at again.
+    """
+    cell = rows.column("cell").to_numpy()
+    if not len(cell):
+        return
+    heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    for a, b in zip(heads, np.r_[heads[1:], len(cell)]):
+        part = rows.slice(a, b - a).combine_chunks()
+        node, n, outside = (part.column(c).to_numpy() for c in ("node", "n", "outside"))
+        comp = np.unique(part.column("comp").to_numpy(), return_inverse=True)[1]
+        sig = signatures(part.column("sig").combine_chunks())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("grams").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        starts = np.cumsum(size) - size
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(values), bool)
+        out = []
+        for i in np.flatnonzero(outside):
+            other = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+            other = np.flatnonzero(other)
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= SCREEN_LEAST]
+            if not len(other):
+                continue
+            own = place[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            same = np.add.reduceat(mark[place], starts, dtype=np.int64)[other]
+            mark[own] = False
+            for j in other[100 * same >= PERCENT * (size[i] + size[other] - same)]:
+                if comp[j] != comp[i]:
+                    out.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
+        if out:
+            a_, b_ = (np.array(x) for x in zip(*out))
+            yield pa.record_batch([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_))], ["a", "b"])
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, grams): the whole shingle set of each given class, from its first row's text."""
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("rk").alias("_rk")), "wanted")
     bitmap = bit_filter(wanted, "_rk")
     inside = F.arrow_udf(lambda keys: pa.array(held(bitmap.value, np.asarray(keys).view(np.uint64))), returnType="boolean")
@@ -174,7 +232,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     some = docs.where(inside(F.col("rk"))).select("id", "rk", "text")
     kind = dict(docs.dtypes)["id"]
     sets = some.mapInArrow(full, f"id {kind}, rk long, grams binary")
-    sets = stored(sets.join(wanted, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "grams"), "sets")
+    sets = sets.join(wanted, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id")))
+    # a class's row may be repeated; its sets are equal
+    return stored(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are alike enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(nodes, docs, classes)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("_y")), "b")
     alike = F.arrow_udf(similar, returnType="boolean")
@@ -194,9 +260,12 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of every class that is linked and not its component's root."""
-    keys = classes.select("node", "sig").mapInArrow(table_keys, "key long, node long")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(keys.join(buckets.select("key", "rep"), "key"), "members")
+    sigs = classes.select("node", "sig")
+    keys = sigs.mapInArrow(table_keys, "key long, node long")
+    buckets = stored(keys.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    shared = bit_filter(buckets.select(_mixed(F.col("key")).alias("key")), "key")
+    some = sigs.mapInArrow(lambda batches: table_keys(batches, shared.value), "key long, node long")
+    members = stored(some.join(buckets, "key"), "members")
 
     sides = classes.select("node", "n", "sig")
     stars = members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
@@ -204,26 +273,36 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     near = F.arrow_udf(agreeing, returnType="boolean")
     stars = stars.where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).where(near("_sa", "_sb"))
     stars = stored(stars.select("a", "b"), "stars")
-    first = stored(_confirmed(stars, docs, classes), "links")
+    first = stored(confirmed(stars, docs, classes), "links")
     joined = components(first)
 
-    labelled = members.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    labelled = members.join(joined, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
     labelled = stored(labelled, "labelled")
-    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    split_up = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("inside"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
-    split_up = split_up.where("parts > 1").select("key", "main", F.ceil((F.col("all") - F.col("inside")) / TILE).alias("tu"), F.ceil(F.col("inside") / TILE).alias("tl"))
-    laid = labelled.join(split_up, "key")
+    mixed = labelled.where(f"size <= {LISTED}").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    cells = labelled.join(mixed, "key", "left_semi").join(sides, "node").select("key", "node", "comp", "n", "sig")
+    opened = cells.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lambda b: runs(b, "key", open_pairs), "a long, b long")
+    opened = stored(opened.distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    second = stored(confirmed(opened, docs, classes), "links")
+
+    large = labelled.where(f"size > {LISTED}")
+    parts = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    laid = stored(large.join(main, "key").select("main", "node", "comp").distinct(), "laid")
     out = F.col("comp") != F.col("main")
+    counts = laid.groupBy("main").agg(F.ceil(F.count(F.when(out, 1)) / TILE).alias("tu"), F.ceil(F.count(F.when(~out, 1)) / TILE).alias("tl"))
     spot = F.xxhash64("node")
-    laid = laid.withColumn("t", F.when(out, F.pmod(spot, F.col("tu"))).otherwise(F.col("tu") + F.pmod(spot, F.col("tl"))))
-    # members outside the largest component meet every tile, those inside only the tiles outside
-    laid = laid.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.when(out, F.col("tu") + F.col("tl")).otherwise(F.col("tu")) - 1)))
-    cells = laid.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), "node", "comp")
-    cells = cells.join(sides, "node").select("cell", "node", "comp", "n", "sig")
-    opened = cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(open_pairs, "a long, b long").distinct()
-    opened = stored(opened.join(stars, ["a", "b"], "left_anti"), "open-pairs")
-    second = stored(_confirmed(opened, docs, classes), "links")
-    return components(first.unionByName(second))
+    cells = laid.join(counts, "main").withColumn("t", F.when(out, F.pmod(spot, F.col("tu"))).otherwise(F.col("tu") + F.pmod(spot, F.col("tl"))))
+    cells = cells.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.when(out, F.col("tu") + F.col("tl")).otherwise(F.col("tu")) - 1)))
+    cells = cells.select(F.xxhash64("main", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), "node", "comp", out.alias("outside"))
+    sets = full_sets(laid.select("node").distinct(), docs, classes)
+    cells = cells.join(sides, "node").join(sets, "node")
+    third = cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(lambda b: runs(b, "cell", tile_links), "a long, b long")
+    return components(first.unionByName(second).unionByName(stored(third, "links")))
+
+
+def _mixed(key: Column) -> Column:
+    """Keys as the bit filter sees them: their last bits only name the table."""
+    return F.arrow_udf(lambda k: pa.array(signed(mix(np.asarray(k).view(np.uint64)))), returnType="long")(key)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,6 +317,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = named.join(roots, "component").select("d1", "d2", "component_id")
     found = rows.select("id", "rk", "n", "d1", "d2").distinct().join(named, ["d1", "d2"], "left")
     found = found.select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    base = without(docs, "n_shingles", "component_id", "kept", "_id", "_rk", "_key")
-    out = base.withColumn("_key", key).join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
-    return out.select(*[f"`{c}`" for c in base.columns], "n_shingles", "component_id", F.col(doc_id).eqNullSafe(F.col("component_id")).alias("kept"))
+    keyed = docs.select(row_of(docs, "n_shingles", "component_id", "kept"), F.col(doc_id).alias("_doc"), key.alias("_key"))
+    out = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
+    return out.select("_row.*", "n_shingles", "component_id", F.col("_doc").eqNullSafe(F.col("component_id")).alias("kept"))
