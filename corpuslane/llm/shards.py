@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import without
+from corpuslane.llm.shared import row_of
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 LAW = "rows"
 
 
@@ -36,31 +36,30 @@ def interleave(docs: DataFrame, shards: int, source: str = "source", by: tuple[s
     """
     total = docs.count()
     buckets = max(1, total // rows_per_bucket)
-    base = without(docs, "shard", "slot", "_h", "_b", "_cell", "_f", "_place", "_first", "_rows", "_rank", "_start")
-    kept = base.columns
-    hashed = base.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in by]))
+    ties = [F.col(c).alias(f"_t{k}") for k, c in enumerate(by)]
+    hashed = docs.select(row_of(docs, "shard", "slot"), F.col(source).alias("_src"), F.xxhash64(F.lit(seed), *by).alias("_h"), *ties)
     # the bucket follows the order of the hash, so that buckets stand one after the other
     hashed = hashed.withColumn("_b", F.least(F.floor((F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))) * buckets), F.lit(buckets - 1)))
     order = F.shiftrightunsigned("_h", 11)
 
-    cells = hashed.groupBy(F.col(source).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cells = hashed.groupBy(F.col("_src").alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("_s", F.col("_b").alias("_cell"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("_s")).alias("_rows"))
-    ranked = hashed.join(cells, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_cell")))
-    ranked = ranked.withColumn("_rank", place(F.col("_first"), Window.partitionBy(source, "_b").orderBy(order, *by)))
+    ranked = hashed.join(cells, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_cell")))
+    ranked = ranked.withColumn("_rank", place(F.col("_first"), Window.partitionBy("_src", "_b").orderBy(order, *[f"_t{k}" for k in range(len(by))])))
     # each source starts at its own offset, or all sources of one row would meet at the same fraction
-    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col(source)), 11) / F.lit(float(1 << 53))
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("_src")), 11) / F.lit(float(1 << 53))
     ranked = ranked.withColumn("_f", (F.col("_rank") + offset) / F.col("_rows"))
     ranked = ranked.withColumn("_place", F.least(F.floor(F.col("_f") * buckets), F.lit(buckets - 1)))
 
     places = ranked.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
     starts = places.select(F.col("_place").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     put = ranked.join(starts, F.col("_place") == F.col("_p"))
-    put = put.withColumn("_at", place(F.col("_start"), Window.partitionBy("_place").orderBy("_f", source, "_rank")))
+    put = put.withColumn("_at", place(F.col("_start"), Window.partitionBy("_place").orderBy("_f", "_src", "_rank")))
     put = put.withColumn("shard", F.expr(f"CAST(_at * {shards} DIV {max(total, 1)} AS INT)"))
     # the first place of shard k is the least p with p * shards >= k * total
     put = put.withColumn("slot", F.expr(f"_at - (CAST(shard AS BIGINT) * {total} + {shards - 1}) DIV {shards}"))
-    return put.select(*[f"`{c}`" for c in kept], "shard", "slot")
+    return put.select("_row.*", "shard", "slot")
 
 
 def digest(docs: DataFrame) -> DataFrame:
