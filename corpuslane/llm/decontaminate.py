@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import bit_filter, held, lists, ready, row_key, stored, struct_udf, without
+from corpuslane.llm.shared import bit_filter, held, lists, ready, row_key, row_of, stored, struct_udf
 from corpuslane.llm.words import ALNUM, pieces, signed, split
 
 WINDOW = 10
@@ -173,8 +173,7 @@ def union_spans(column: str) -> Column:
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``spans`` and ``items``; a clean row has none."""
     found = hits(docs, items, doc_id, text, item_id).withColumnRenamed("id", "_id").withColumnRenamed("rk", "_rk")
-    base = without(docs, "n_words", "n_hit", "spans", "items", "_id", "_rk", "_key")
-    keyed = base.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
-    out = keyed.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
+    keyed = docs.select(row_of(docs, "n_words", "n_hit", "spans", "items"), F.col(doc_id).alias("_doc"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    out = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"]), F.lit(0)).cast("long")
-    return out.select(*[f"`{c}`" for c in base.columns], "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return out.select("_row.*", "n_words", n_hit.alias("n_hit"), "spans", "items")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import ready, struct_udf, without
+from corpuslane.llm.shared import ready, row_of, struct_udf
 from corpuslane.llm.words import pieces
 
 BUCKETS = 1 << 15
@@ -151,8 +151,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(sure) if sure else [], pa.float64())], ["lang_pred", "score"])
 
     found = struct_udf(run, "lang_pred string, score double")(F.col(text))
-    out = without(docs, "lang_pred", "score", "_found")
-    return out.withColumn("_found", found).select(*[f"`{c}`" for c in out.columns], "_found.lang_pred", "_found.score")
+    return docs.select(row_of(docs, "lang_pred", "score"), found.alias("_found")).select("_row.*", "_found.*")
 
 
 def held_out(doc_id: Column) -> Column:

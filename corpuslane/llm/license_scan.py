@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import ready, stored, struct_udf, without
+from corpuslane.llm.shared import ready, row_of, stored, struct_udf
 from corpuslane.llm.words import ALNUM, pieces, split
 
 LEAST = 0.6
@@ -154,9 +154,8 @@ def statements(docs: DataFrame, scale: Scale, text: str = "text", least: float =
         return pa.concat_arrays(parts) if parts else best_lines(column, shared.value, least)
 
     ready(docs.sparkSession)
-    base = without(docs, "license", "score", "line", "_best")
-    found = base.withColumn("_best", struct_udf(run, "license string, score double, line int")(F.col(text)))
-    return found.select(*[f"`{c}`" for c in base.columns], "_best.*")
+    best = struct_udf(run, "license string, score double, line int")(F.col(text)).alias("_best")
+    return docs.select(row_of(docs, "license", "score", "line"), best).select("_row.*", "_best.*")
 
 
 def directory(path: Column) -> Column:
@@ -174,10 +173,11 @@ def inherited(found: DataFrame, path: str = "path", speaks: Column | None = None
     ``speaks`` tells which rows with a licence are licence files; by default their file name does.
     """
     speaks = file_named(F.col(path)) if speaks is None else speaks
-    base = without(found, "origin", "from_dir", "_dir", "_d", "_license", "_score", "_from")
-    base = stored(base.withColumn("_dir", directory(F.col(path))), "statements")
-    files = base.where(F.col("license").isNotNull() & F.col("_dir").isNotNull() & speaks)
-    best = F.min(F.struct((-F.col("score")).alias("less"), F.col(path), F.col("license")))
+    row = row_of(found, "license", "score", "origin", "from_dir")
+    base = found.select(row, "license", "score", F.col(path).alias("_path"), directory(F.col(path)).alias("_dir"), speaks.alias("_speaks"))
+    base = stored(base, "statements")
+    files = base.where("license IS NOT NULL AND _dir IS NOT NULL AND _speaks")
+    best = F.min(F.struct((-F.col("score")).alias("less"), "_path", "license"))
     given = files.groupBy("_dir").agg(best.alias("b")).select(F.col("_dir").alias("_from"), F.col("b")["license"].alias("_license"), (-F.col("b")["less"]).alias("_score"))
     # the directories are few beside the files; each looks at all those above it
     dirs = base.select("_dir").where("_dir IS NOT NULL").distinct()
@@ -189,6 +189,5 @@ def inherited(found: DataFrame, path: str = "path", speaks: Column | None = None
     out = base.join(nearest, F.col("_dir") == F.col("_d"), "left")
     own = F.col("license").isNotNull()
     origin = F.when(own, "own").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
-    filled = {"license": F.coalesce("license", "_license").alias("license"), "score": F.coalesce("score", "_score").alias("score")}
-    kept = [filled.get(c, F.col(f"`{c}`")) for c in base.columns if c != "_dir"]
-    return out.select(*kept, origin.alias("origin"), F.when(~own, F.col("_from")).alias("from_dir"))
+    filled = (F.coalesce("license", "_license").alias("license"), F.coalesce("score", "_score").alias("score"))
+    return out.select("_row.*", *filled, origin.alias("origin"), F.when(~own, F.col("_from")).alias("from_dir"))

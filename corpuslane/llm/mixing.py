@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import row_key, stored, without
+from corpuslane.llm.shared import row_key, row_of, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -144,14 +144,14 @@ def round_up(rows: DataFrame, seed: int, fan: int) -> DataFrame:
 def with_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``."""
     found = decide(docs, doc_id, text, source, **options).withColumnRenamed("id", "_id").withColumnRenamed("rk", "_rk")
-    base = without(docs, "size", "source_size", "target", "copies", "_id", "_rk", "_key")
-    keyed = base.withColumn("_key", row_key(F.col(doc_id), F.col(text), F.col(source)))
-    out = keyed.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
-    return out.select(*[f"`{c}`" for c in base.columns], "size", "source_size", "target", "copies")
+    row = row_of(docs, "size", "source_size", "target", "copies")
+    keyed = docs.select(row, F.col(doc_id).alias("_doc"), row_key(F.col(doc_id), F.col(text), F.col(source)).alias("_key"))
+    out = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
+    return out.select("_row.*", "size", "source_size", "target", "copies")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
     mixed = with_mix(docs, **options)
-    repeated = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return repeated.select(*[f"`{c}`" for c in mixed.columns if c not in ("size", "source_size", "target", "copies")])
+    repeated = mixed.select(row_of(mixed, "size", "source_size", "target", "copies"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return repeated.select("_row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import ready, struct_udf, without
+from corpuslane.llm.shared import ready, row_of
 from corpuslane.llm.words import pieces
 
 KINDS = ("assign", "access", "hex", "random")
@@ -167,4 +167,4 @@ def scan(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
 
     ready(docs.sparkSession)
     kind = "array<struct<kind: string, begin: long, end: long, base: boolean>>"
-    return without(docs, "found").withColumn("found", F.arrow_udf(run, returnType=kind)(F.col(text)))
+    return docs.select(row_of(docs, "found"), F.arrow_udf(run, returnType=kind)(F.col(text)).alias("found")).select("_row.*", "found")

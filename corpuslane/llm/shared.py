@@ -60,10 +60,11 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(_ARROW, str(ARROW_BYTES))
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns that an operator is about to add, in any letter case."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def row_of(df: DataFrame, *outputs: str) -> Column:
+    """All columns of ``df`` as one struct, without those that an operator is about to add, in any
+    letter case. Inside it they cannot clash with an operator's own columns; ``_row.*`` gives them back."""
+    taken = {n.lower() for n in outputs}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]).alias("_row")
 
 
 def row_key(*columns: Column) -> Column:

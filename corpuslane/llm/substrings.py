@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import FILTER_BITS, bit_filter, held, lists, ready, row_key, stored, struct_udf, without
+from corpuslane.llm.shared import FILTER_BITS, bit_filter, held, lists, ready, row_key, row_of, stored, struct_udf
 from corpuslane.llm.words import SPACED, Words, mix, pieces, signed, split
 
 WINDOW = 13
@@ -218,14 +218,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ready(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).alias("text"))
     found = removals(slim).select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), "spans")
-    base = without(docs, "n_words", "n_removed", "kept_text", "_id", "_rk", "_key", "_cut", "spans")
-    keyed = base.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
-    out = keyed.join(found, (F.col(doc_id) == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
+    row = row_of(docs, "n_words", "n_removed", "kept_text")
+    keyed = docs.select(row, F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    out = keyed.join(found, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts, spans], ["t", "s"])
         parts = [cut(p.column(0), p.column(1)) for p in pieces(batch, "t")]
         return pa.concat_arrays(parts) if parts else cut(texts, spans)
 
-    out = out.withColumn("_cut", struct_udf(run, "n_words long, n_removed long, kept_text string")(F.col(text), F.col("spans")))
-    return out.select(*[f"`{c}`" for c in base.columns], "_cut.*")
+    out = out.withColumn("_cut", struct_udf(run, "n_words long, n_removed long, kept_text string")(F.col("_text"), F.col("spans")))
+    return out.select("_row.*", "_cut.*")
