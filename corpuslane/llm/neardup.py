@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.llm.components import components
-from corpuslane.llm.shared import bit_filter, held, ready, row_key, row_of, stored, struct_udf
+from corpuslane.llm.shared import bit_filter, held, in_filter, ready, row_key, row_of, stored, struct_udf
 from corpuslane.llm.words import SPACED, mix, pieces, signed, split
 
 SHINGLE = 5
@@ -219,7 +219,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     """(node, grams): the whole shingle set of each given class, from its first row's text."""
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("rk").alias("_rk")), "wanted")
     bitmap = bit_filter(wanted, "_rk")
-    inside = F.arrow_udf(lambda keys: pa.array(held(bitmap.value, np.asarray(keys).view(np.uint64))), returnType="boolean")
+    inside = in_filter(bitmap)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

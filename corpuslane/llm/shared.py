@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,15 @@ def held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def in_filter(bitmap: Broadcast) -> Callable[..., Column]:
+    """Whether a column of hashed longs passes a bit filter; nulls do not."""
+
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(held(bitmap.value, np.asarray(pc.fill_null(keys, 0)).view(np.uint64)) & np.asarray(pc.is_valid(keys)))
+
+    return F.arrow_udf(run, returnType="boolean")
+
+
 def lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
     """A list array whose rows take ``counts`` values each, in order."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)

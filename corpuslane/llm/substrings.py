@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import FILTER_BITS, bit_filter, held, lists, ready, row_key, row_of, stored, struct_udf
+from corpuslane.llm.shared import FILTER_BITS, bit_filter, held, in_filter, lists, ready, row_key, row_of, stored, struct_udf
 from corpuslane.llm.words import SPACED, Words, mix, pieces, signed, split
 
 WINDOW = 13
@@ -164,8 +164,9 @@ def removals(docs: DataFrame) -> DataFrame:
     sent = text.mapInArrow(known, f"path long, seed long, first {kind}, last {kind}, grams array<long>")
     compact = sent.groupBy("path").agg(F.first("seed").alias("seed"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("grams").alias("grams"))
     compact = stored(compact, "paths")
-    branching = compact.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    edges = compact.join(branching, "seed", "left_semi").select("path", "first", F.posexplode("grams").alias("spot", "edge"))
+    branching = stored(compact.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "branching")
+    forks = in_filter(bit_filter(branching, "seed"))
+    edges = compact.where(forks(F.col("seed"))).join(branching, "seed", "left_semi").select("path", "first", F.posexplode("grams").alias("spot", "edge"))
     origin = edges.groupBy("edge").agg(F.min("first").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", "origin")
     earlier = edges.join(origin, "edge").where("origin < first").groupBy("path").agg(F.collect_list(F.struct("spot", "origin")).alias("earlier"))
     repeated = compact.drop("grams", "seed").join(earlier, "path", "left").where("last > first OR earlier IS NOT NULL")
@@ -217,10 +218,15 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``."""
     ready(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).alias("text"))
-    found = removals(slim).select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), "spans")
+    found = stored(removals(slim).select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), "spans"), "removals")
     row = row_of(docs, "n_words", "n_removed", "kept_text")
     keyed = docs.select(row, F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
-    out = keyed.join(found, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
+    # only texts that lose words meet their spans; the others stay where they are read
+    loses = in_filter(bit_filter(found, "_rk"))(F.col("_key"))
+    cut_ones = keyed.where(loses).join(found, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
+    columns = ("_row", "_text", "spans")
+    kind = found.schema["spans"].dataType
+    out = cut_ones.select(*columns).unionByName(keyed.where(~loses).withColumn("spans", F.lit(None).cast(kind)).select(*columns))
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts, spans], ["t", "s"])
