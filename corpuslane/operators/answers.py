@@ -501,9 +501,12 @@ def parse_items(df: DataFrame, keys: list[str], items: str) -> DataFrame:
 
 
 def reason_for(answer: Column | str, title: Column | str) -> Column:
-    """First 10-450 character quotation within 600 characters of a title mention."""
+    """First 10-450 character quotation within 600 characters of a title mention.
+
+    A title is looked for without the symbols that decorate its start.
+    """
     a = col(answer)
-    clean = F.lower(col(title))
+    clean = F.lower(sub(title, r"^[^\p{L}\p{N}]+"))
     low = F.lower(a)
     cite = F.instr(low, "what the sops say")
     at = F.call_function("locate", clean, low, F.greatest(cite, F.lit(1)))

@@ -9,8 +9,7 @@ from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import (
     bigrams, bind, chain, col, display_line, display_title, longest, match_key, spans, sub, title_stem, tokens, unroll, ws_trim,
 )
-from corpuslane.operators.answers import clean_head
-from corpuslane.operators.retrieve import bounded_broadcast
+from corpuslane.operators.answers import clean_head, drop_identity_question
 from corpuslane.session import materialize
 
 TOKEN = r"[\p{L}\p{N}](?:[“”‘’\"']*[\p{L}\p{N}])*[“”‘’\"']*"
@@ -46,7 +45,7 @@ def exact_hits(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     sized = unroll(
         lines.select("file", "line", "key"), ["file", "line", "key"], F.array_distinct(tokens("key")), "_i", "anchor"
     ).drop("_i")
-    right = q if scope else bounded_broadcast(q)
+    right = q
     on = [*scope, "anchor"]
     inside = F.instr(F.concat(F.lit(" "), F.col("key"), F.lit(" ")), F.concat(F.lit(" "), F.col("qkey"), F.lit(" ")))
     joined = sized.join(right, on).withColumn("_at", inside).filter(F.col("_at") > 0)
@@ -107,7 +106,7 @@ def fuzzy_pairs(quotes: DataFrame, lines: DataFrame) -> DataFrame:
         lines.select("file", "line", "key", tokens("key").alias("ltoks")).filter(F.size("ltoks") > L.QUOTE_MIN_TOKENS // 2)
         .withColumn("lbi", F.array_distinct(bigrams("ltoks")))
     )
-    right = probes if scope else bounded_broadcast(probes)
+    right = probes
     met = unroll(ltoks, ["file", "line", "key"], "lbi", "_i", "bigram").drop("_i")
     first = F.get(F.array_intersect(F.col("probe"), F.col("lbi")), F.lit(0))
     # arrays are rebuilt for the few lines that met, not carried along every bigram
@@ -192,7 +191,7 @@ def resolve_titles(heads: DataFrame, titles: DataFrame, on: list[str] | None = N
     h = h.withColumn("_padded", F.concat(F.lit(" "), F.array_join("_h", " "), F.lit(" ")))
     h = h.withColumn("_runs", F.array_distinct(F.concat(F.col("_h"), bigrams("_h"))))
     hr = unroll(h, [c for c in h.columns if c != "_runs"], "_runs", "_i", "run").drop("_i")
-    right = t if on else bounded_broadcast(t)
+    right = t
     pairs = hr.join(right, [*on, "run"])
     lengths = F.filter(
         F.sequence("floor", F.size("_t")),
@@ -303,9 +302,6 @@ def resolve_citations(items: DataFrame, labels: DataFrame, ranked: DataFrame, li
         .unionByName(base.select(*key).join(ranked.select("answer_id", "file", F.col("rank").alias("place")), "answer_id").select(*key, "file", "place"))
         .groupBy(*key, "file").agg(F.min("place").alias("place"))
     )
-    # an answer has a handful of ranked files, so this per-item rank is over a few rows
-    w = Window.partitionBy(*key).orderBy("place")
-    files = files.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= L.EVIDENCE_FILES).drop("_n")
     qk = [*key, "attempt", "ord"]
     scoped = quotes.join(files, key)
     scoped = materialize(scoped, "cited-quotes")
@@ -345,7 +341,7 @@ def resolve_citations(items: DataFrame, labels: DataFrame, ranked: DataFrame, li
     return (
         base.select(*key, "head", "source", "quotes", "remainder", "item_text").join(per_item, key, "left")
         .select(
-            *key, "head", "quotes", "remainder",
+            *key, "head", "item_text", "quotes", "remainder",
             F.coalesce("file", "source").alias("file"),
             F.get("hits", F.lit(0))["section"].alias("section"),
             F.transform("hits", lambda h: h["quote"]).alias("shown"),
@@ -358,15 +354,18 @@ def resolve_citations(items: DataFrame, labels: DataFrame, ranked: DataFrame, li
 def rebuild_citations(resolved: DataFrame, meta: DataFrame, tails: DataFrame) -> DataFrame:
     """Citation block per answer from resolved items, with match counts.
 
-    ``meta(file, title, source_url)``, ``tails(answer_id, heading, preamble, rest, held)``. When the
-    rebuilt text would lose the gaps section the raw tail is kept and the counts are zero.
+    ``meta(file, title, source_url)``, ``tails(answer_id, heading, preamble, rest, held)``. An item
+    whose file has no metadata is unknown, in the text and in the counts. When the rebuilt text
+    would lose the gaps section the raw tail is kept and the counts are zero. A closing question
+    that asks for an identifier is removed from whichever text is kept; ``dropped`` tells.
     """
     title = display_title("title")
     link = F.when(F.col("source_url").isNotNull(), F.concat(F.lit("["), title, F.lit("]("), F.col("source_url"), F.lit(")"))).otherwise(title)
     n = F.col("item").cast("string")
     said = F.when(F.size("quotes") > 0, display_line(sub(F.get("quotes", F.lit(0)), L.TYPED_URL))).otherwise(F.col("remainder"))
+    named = F.coalesce(F.nullif("head", F.lit("")), clean_head(F.col("item_text")), F.lit(""))
     rendered = (
-        F.when(F.col("kind") == "unknown", F.concat(n, F.lit(". "), F.col("head"), F.lit("\n   " + UNKNOWN)))
+        F.when(F.col("kind") == "unknown", F.concat(sub(F.concat(n, F.lit(". "), named), rf"{L.WS}+$"), F.lit("\n   " + UNKNOWN)))
         .when(F.col("kind") == "unmatched", F.concat(n, F.lit(". "), link, F.lit("\n   "), ws_trim(F.concat(F.lit(UNVERIFIED + " "), said))))
         .otherwise(
             F.concat(
@@ -376,7 +375,9 @@ def rebuild_citations(resolved: DataFrame, meta: DataFrame, tails: DataFrame) ->
         )
     )
     blocks = (
-        resolved.join(meta, "file", "left").withColumn("one", rendered)
+        resolved.join(meta, "file", "left")
+        .withColumn("kind", F.when(F.col("title").isNull(), "unknown").otherwise(F.col("kind")))
+        .withColumn("one", rendered)
         .groupBy("answer_id")
         .agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "one"))), lambda x: x["one"]), "\n").alias("block"),
@@ -393,10 +394,11 @@ def rebuild_citations(resolved: DataFrame, meta: DataFrame, tails: DataFrame) ->
     out = tails.join(blocks, "answer_id", "left").withColumn("full", full)
     lost = F.col("block").isNull() | (has_gap(F.col("held")) & ~has_gap(F.col("full")))
     zero = lambda c: F.when(lost, 0).otherwise(F.col(c)).cast("bigint").alias(c.removeprefix("n_"))
-    return out.select(
+    kept = out.select(
         "answer_id", F.when(lost, F.col("held")).otherwise(F.col("full")).alias("text"),
         zero("n_items"), zero("matched"), zero("unmatched"), zero("unknown"),
     )
+    return drop_identity_question(kept, "text")
 
 
 # --- cards, audits and mentions -------------------------------------------------------------
@@ -453,11 +455,11 @@ def mention_table(texts: DataFrame, key: str, text: str, dictionary: DataFrame)
     w = texts.select(key, words.alias("_w")).withColumn("_runs", F.array_distinct(F.concat(F.col("_w"), bigrams("_w"))))
     # only ids travel with the runs; the text is read again for the few candidates
     candidates = materialize(
-        unroll(w, [key], "_runs", "_i", "anchor").drop("_i").join(bounded_broadcast(d), "anchor").drop("anchor"), "mentions"
+        unroll(w, [key], "_runs", "_i", "anchor").drop("_i").join(d, "anchor").drop("anchor"), "mentions"
     )
     padded = texts.select(key, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("_padded"))
     return (
-        padded.join(bounded_broadcast(candidates), key)
+        padded.join(candidates, key)
         .filter(F.contains("_padded", F.concat(F.lit(" "), F.col("mkey"), F.lit(" "))))
         .select(key, "clean", "url", "label")
     )

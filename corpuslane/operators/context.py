@@ -141,15 +141,13 @@ def request_text(passages: DataFrame, requests: DataFrame) -> DataFrame:
 def cut_to_ceiling(entries: DataFrame, keys: list[str], order: list, text: str, ceiling: int, sep: int = 2) -> DataFrame:
     """Keep whole entries, in order, while their joined length stays within ``ceiling``.
 
-    Every kept entry costs at least its separator, so no more than ``ceiling / sep + 1`` can
-    fit; that rank limit prunes a hot key before the shuffle and loses nothing.
+    With a separator every kept entry costs at least that much, so no more than
+    ``ceiling / sep + 1`` can fit; that rank limit prunes a hot key before the shuffle and loses
+    nothing. Without one, empty entries cost nothing and no such limit holds.
     """
     order_w = Window.partitionBy(*keys).orderBy(*order)
-    most = ceiling // max(sep, 1) + 1
     used = F.sum(chars(text) + sep).over(order_w.rowsBetween(Window.unboundedPreceding, 0)) - sep
-    return (
-        entries.withColumn("place", F.row_number().over(order_w).cast("bigint"))
-        .filter(F.col("place") <= most)
-        .withColumn("used", used.cast("bigint"))
-        .filter(F.col("used") <= ceiling)
-    )
+    placed = entries.withColumn("place", F.row_number().over(order_w).cast("bigint"))
+    if sep > 0:
+        placed = placed.filter(F.col("place") <= ceiling // sep + 1)
+    return placed.withColumn("used", used.cast("bigint")).filter(F.col("used") <= ceiling)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import chain, col, one_line, owner_word_rows, owner_words, sub, unroll, ws_trim
-from corpuslane.operators.retrieve import bounded_broadcast
 
 
 def owner_lines(people: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def entry_words(people: DataFrame, lines: DataFrame) -> DataFrame:
     A word in both counts twice, as it should.
     """
     names = _words(people, [], "name")
-    owned = _words(lines, ["person"], "line").join(bounded_broadcast(names), "word", "left_anti")
+    owned = _words(lines, ["person"], "line").join(names, "word", "left_anti")
     titled = _words(people, ["person"], "title")
     return owned.withColumn("kind", F.lit("owns")).unionByName(titled.withColumn("kind", F.lit("title")))
 
@@ -66,7 +65,7 @@ def match_owners(mwords: DataFrame, entries: DataFrame, weights: DataFrame) -> D
     """
     index = entries.groupBy("word", "person").agg(F.count("*").alias("times")).join(weights, "word")
     index = index.select("word", "person", (F.col("times") * F.col("weight")).alias("w"))
-    return mwords.join(bounded_broadcast(index), "word").groupBy("msg_id", "person").agg(F.sum("w").alias("score"))
+    return mwords.join(index, "word").groupBy("msg_id", "person").agg(F.sum("w").alias("score"))
 
 
 def normalized_name(c: Column | str) -> Column:
@@ -114,7 +113,7 @@ def redirect_effects(mwords: DataFrame, scope: DataFrame, resolved: DataFrame, w
     topic = scope.select("person", "entry", "topic", F.array_distinct(owner_words("topic")).alias("_w")).withColumn("size", F.size("_w"))
     words = topic.select("person", "entry", "topic", "size", F.explode("_w").alias("word")).join(weights.select("word", "weight"), "word", "left")
     scored = (
-        mwords.join(bounded_broadcast(words), "word")
+        mwords.join(words, "word")
         .groupBy("msg_id", "person", "entry", "topic", "size")
         .agg(F.sum("weight").alias("score"), F.count("*").alias("covered"))
         .filter(F.col("score") > 0)
@@ -122,7 +121,7 @@ def redirect_effects(mwords: DataFrame, scope: DataFrame, resolved: DataFrame, w
     penalty = scored.groupBy("msg_id", "person").agg(F.max(F.col("score") * F.col("covered") / F.col("size")).alias("penalty"))
     pointed = resolved.filter(F.col("target_person") != F.col("person")).select("person", "entry", "target_person").distinct()
     gain = (
-        scored.join(bounded_broadcast(pointed), ["person", "entry"])
+        scored.join(pointed, ["person", "entry"])
         .groupBy("msg_id", F.col("target_person").alias("person"))
         .agg(F.max("score").alias("gain"), F.max_by("topic", F.struct("score", -F.col("person"), -F.col("entry"))).alias("redirect"))
     )
@@ -156,7 +155,7 @@ def pick_owners(scores: DataFrame, people: DataFrame) -> DataFrame:
 def best_reason(mwords: DataFrame, picks: DataFrame, people: DataFrame, lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Best matching line of each picked owner; a responsibility line wins a tie with a clause."""
     names = _words(people, [], "name")
-    words = _words(lines, ["person", "line_no", "route"], "line").join(bounded_broadcast(names), "word", "left_anti").join(weights, "word")
+    words = _words(lines, ["person", "line_no", "route"], "line").join(names, "word", "left_anti").join(weights, "word")
     # only words of picked messages meet lines, and only of the picked owners
     wanted = picks.select("msg_id", "person").join(mwords, "msg_id")
     return (

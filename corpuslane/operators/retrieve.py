@@ -11,21 +11,17 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import col, find, sub, unroll, ws_trim
-from corpuslane.session import BROADCAST_ROW_BOUND, materialize, rows_at_most
+from corpuslane.session import materialize
 
 BM25_K1 = 1.2
 BM25_B = 0.75
-# Query vectors held by one task at a time; beyond this the block join takes over.
-QUERY_BLOCK = 4_096
+# Query vectors and chunks that meet in one task.
+QUERY_BLOCK = 1_024
+CHUNK_CELL = 50_000
 
 _LEG = "query_id bigint, chunk_id bigint, score double"
 
 
-def bounded_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Broadcast hint only when the row count is proven small; else the optimizer decides."""
-    return F.broadcast(df) if rows_at_most(df, bound) else df
-
-
 # --- vector leg -------------------------------------------------------------
 
 
@@ -41,8 +37,11 @@ def _best_pairs(qid, qmat, cid, cmat, n: int, floor: float) -> pd.DataFrame:
     out = []
     for j in range(len(qid)):
         s = scores[:, j]
-        order = np.lexsort((cid, -s))[:n]
-        order = order[s[order] >= floor]
+        kept = np.flatnonzero(s >= floor)
+        if len(kept) > n:
+            # every score equal to the n-th stays for the tie-break
+            kept = kept[s[kept] >= np.partition(s[kept], len(kept) - n)[len(kept) - n]]
+        order = kept[np.lexsort((cid[kept], -s[kept]))[:n]]
         out.append(pd.DataFrame({"query_id": qid[j], "chunk_id": cid[order], "score": s[order]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "chunk_id", "score"])
 
@@ -52,30 +51,15 @@ def vector_leg(
 ) -> DataFrame:
     """Cosine score of every query against every chunk, best ``n`` kept per query.
 
-    ``queries(query_id, vector)``, ``chunks(chunk_id, vector)``. Chunks are scanned once in
-    Arrow batches; each batch emits at most ``n`` rows per query, so only candidates are
-    shuffled. A query set over ``QUERY_BLOCK`` rows is cut into blocks joined to chunk cells.
+    ``queries(query_id, vector)``, ``chunks(chunk_id, vector)``. Every block of queries meets
+    every cell of chunks in a task of its own, which hands on at most ``n`` rows per query.
     """
-    if rows_at_most(queries, QUERY_BLOCK):
-        rows = queries.select("query_id", "vector").orderBy("query_id").collect()
-        qid = np.array([r[0] for r in rows], dtype=np.int64)
-        qmat = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(qid):
-                    yield _best_pairs(qid, qmat, pdf["chunk_id"].to_numpy(), _unit_rows(pdf["vector"]), n, floor)
-
-        candidates = chunks.select("chunk_id", "vector").mapInPandas(score, _LEG)
-    else:
-        candidates = _block_join(queries, chunks, n, floor)
-    return top_per_query(candidates, n)
+    return top_per_query(_block_join(queries, chunks, n, floor), n)
 
 
 def _block_join(queries: DataFrame, chunks: DataFrame, n: int, floor: float) -> DataFrame:
-    """Every query block meets every chunk cell in its own bounded task."""
-    blocks = -(-queries.count() // (QUERY_BLOCK // 4))
-    cells = max(1, -(-chunks.count() // 50_000))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    cells = max(1, -(-chunks.count() // CHUNK_CELL))
     spread_q = queries.select(
         "query_id", "vector",
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
@@ -122,13 +106,13 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX
         queries.select("query_id", F.array_distinct(words_of("query")).alias("words"))
         .select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     )
-    terms = bounded_broadcast(terms)
+    terms = terms
     # every chunk also lists the empty word once, so sizes come out of the same single pass
     vocabulary = terms.select("word").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word")))
     sized = chunks.select("chunk_id", words_of("text").alias("words"))
     postings = materialize(
         unroll(sized, ["chunk_id", F.size("words").alias("len")], F.array_append("words", ""), "_i", "word")
-        .join(bounded_broadcast(vocabulary), "word", "left_semi")
+        .join(vocabulary, "word", "left_semi")
         .groupBy("chunk_id", "len", "word")
         .agg(F.count("*").alias("tf")),
         "postings",
@@ -144,7 +128,7 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX
         / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
     )
     scored = (
-        postings.join(bounded_broadcast(idf), "word")
+        postings.join(idf, "word")
         .join(terms, "word")
         .groupBy("query_id", "chunk_id", "n_words")
         .agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("hit"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import bigrams, chain, col, sub, topic_words, unroll, ws_trim
-from corpuslane.operators.retrieve import bounded_broadcast
 
 
 def _words(c: Column | str) -> Column:
@@ -32,7 +31,7 @@ def phrases_named(texts: DataFrame, key: str, text: str, phrases: DataFrame, nam
     padded = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_padded")
     return (
         unroll(t, [key, padded], "_runs", "_i", "anchor").drop("_i")
-        .join(bounded_broadcast(p), "anchor")
+        .join(p, "anchor")
         .filter(F.contains("_padded", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
         .select(key, name).distinct()
     )
@@ -64,8 +63,6 @@ def topic_overlap(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> Da
         probe = lambda s: F.slice(F.col(f"_{s}"), F.lit(1), F.size(f"_{s}") - 1) if trim else F.col(f"_{s}")
         le = unroll(left.withColumn("_pa", probe("a")), [*left.columns, "_pa"], "_pa", "_i", "word").drop("_i")
         ri = unroll(right.withColumn("_pb", probe("b")), [*right.columns, "_pb"], "_pb", "_i", "word").drop("_i")
-        if not on:
-            le = bounded_broadcast(le)
         met = le.join(ri, [*on, "word"])
         shared = F.size(F.array_intersect("_a", "_b"))
         return met.filter((F.col("word") == F.get(F.array_intersect("_pa", "_pb"), F.lit(0))) & (shared >= least)).withColumn(

@@ -249,16 +249,16 @@ def gate_coverage(t: Tables) -> DataFrame:
 
 @query(
     "coverage_report", "A4",
-    f"""WITH {SQL_GATE} SELECT coverage, blocked, count(*) AS answers, count(*) FILTER (reason = 'invalid') AS invalid, count(*) FILTER (reason = 'missing') AS missing,
-        count(*) FILTER (coverage = 'none' AND blocked IS NULL) AS contradictions, CAST(sum(length(body)) AS BIGINT) AS chars FROM gated GROUP BY 1, 2""",
+    rf"""WITH {SQL_GATE} SELECT coverage, blocked, count(*) AS answers, count(*) FILTER (reason = 'invalid') AS invalid, count(*) FILTER (reason = 'missing') AS missing,
+        count(*) FILTER (reason = 'none' AND len(list_filter(string_split(answer, chr(10)), lambda x: regexp_matches(x, '^\s*[0-9]+\.\s'))) > 0) AS contradictions, CAST(sum(length(body)) AS BIGINT) AS chars FROM gated GROUP BY 1, 2""",
 )
 def coverage_report(t: Tables) -> DataFrame:
-    gated = A.gate_coverage(v_answers(t), "answer").withColumn("steps", A.step_count("body"))
+    gated = A.gate_coverage(v_answers(t), "answer").withColumn("steps", A.step_count("answer"))
     return gated.groupBy("coverage", "blocked").agg(
         F.count("*").alias("answers"),
         F.count_if(F.col("reason") == "invalid").alias("invalid"),
         F.count_if(F.col("reason") == "missing").alias("missing"),
-        F.count_if((F.col("coverage") == "none") & (F.col("steps") > 0)).alias("contradictions"),
+        F.count_if((F.col("reason") == "none") & (F.col("steps") > 0)).alias("contradictions"),
         F.sum(F.char_length("body")).cast("bigint").alias("chars"),
     )
 
@@ -325,7 +325,7 @@ def answer_steps(t: Tables) -> DataFrame:
     f"""WITH {SQL_ANSWERS} SELECT conv_id, turn, nullif(regexp_extract(substr(answer, strpos(answer, 'What the SOPs say') - 1 + strpos(substr(lower(answer), strpos(answer, 'What the SOPs say')), 'guide'), 600), '"([^"]{{10,450}})"', 1), '') AS reason FROM ans""",
 )
 def reason_for(t: Tables) -> DataFrame:
-    return v_answers(t).select("conv_id", "turn", A.reason_for("answer", F.lit("Guide")).alias("reason"))
+    return v_answers(t).select("conv_id", "turn", A.reason_for("answer", F.lit("\u2605 Guide")).alias("reason"))
 
 
 @query(

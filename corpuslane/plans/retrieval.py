@@ -203,7 +203,7 @@ def v_packed(t: Tables) -> DataFrame:
     )
     # the bounded hit list meets the documents first, so only windows that were hit are cut
     texts = t.documents.select(F.col("doc_id").alias("file"), "text")
-    chunk_hits = R.bounded_broadcast(hits).join(texts, "file").withColumn(
+    chunk_hits = hits.join(texts, "file").withColumn(
         "chunk_text", C.window_at("text", F.pmod(F.col("chunk_id"), F.lit(4)))
     ).drop("text")
     return C.pack_context(R.rank_files(hits), chunk_hits, meta)

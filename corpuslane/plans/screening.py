@@ -112,11 +112,11 @@ def v_people_text(t: Tables) -> DataFrame:
     """One sentence per customer with names, addresses or member ids by market segment."""
     seg, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
     text = (
-        F.when(seg == "AUTOMOBILE", F.concat(F.lit("mail to "), key, F.lit(" Maple Grove Street today")))
+        F.when(seg == "AUTOMOBILE", F.concat(F.lit("mail to "), key, F.lit(" Copper Hollow Avenue today")))
         .when(seg == "BUILDING", F.concat(F.lit("Member ID: AB-"), F.lpad(key, 6, "0")))
-        .when(seg == "FURNITURE", F.concat(F.lit("the patient in Valley Radiology asked, ref "), key))
-        .when(seg == "HOUSEHOLD", F.concat(F.lit("my patient, Michael Van Havill, ref "), key))
-        .otherwise(F.concat(F.lit("Mrs. Ortega called about order "), key))
+        .when(seg == "FURNITURE", F.concat(F.lit("the patient in Lantern Imaging asked, ref "), key))
+        .when(seg == "HOUSEHOLD", F.concat(F.lit("my patient, Tobias Van Quillen, ref "), key))
+        .otherwise(F.concat(F.lit("Mrs. Pemberly called about order "), key))
     )
     return t.customer.select("c_custkey", text.alias("text"))
 
@@ -137,11 +137,11 @@ def warn_documents(t: Tables) -> DataFrame:
 
 
 @query("exempt_staff", "J29",
-       "SELECT c_custkey, 'Michael Van Havill' AS name FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
+       "SELECT c_custkey, 'Tobias Van Quillen' AS name FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
 def exempt_staff(t: Tables) -> DataFrame:
     """Names the soft screen would flag, minus directory staff (one name per region)."""
     flagged = S.candidate_names(v_people_text(t), "c_custkey", "text")
-    people = t.region.select(F.when(F.col("r_regionkey") == 0, "Ortega").otherwise(F.col("r_name")).alias("name"))
+    people = t.region.select(F.when(F.col("r_regionkey") == 0, "Pemberly").otherwise(F.col("r_name")).alias("name"))
     return S.exempt_staff(flagged, S.staff_names(people))
 
 

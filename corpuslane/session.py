@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest row count a caller may treat as broadcastable without another path.
-BROADCAST_ROW_BOUND = 100_000
-
-
 def build_session(app: str = "corpuslane", master: str | None = None) -> SparkSession:
     """A session with the settings the jobs expect; cluster settings win."""
     builder = SparkSession.builder.appName(app)
@@ -36,11 +32,14 @@ def build_session(app: str = "corpuslane", master: str | None = None) -> SparkSe
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder is whatever ``spark.checkpoint.dir`` names. Only when the setting
-    is absent (unit tests on one machine) is a local folder used.
+    The folder is whatever ``spark.checkpoint.dir`` names. A session on one machine without the
+    setting gets a local folder; a cluster without it is an error, since executors would write to
+    their own disks and later reads would miss files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ def test_identifier_reasons(spark):
     cases = {
         "ssn 123-45-6789": "a Social Security number",
         "write a.b@c.org": "an email address",
-        "DOB doesn't match what they have, it shows 04/12/1941": "a date of birth",
+        "the DOB on this form reads 04/12/1941": "a date of birth",
         "born 12th of April, 1941": "a date of birth",
         "born " + "x" * 60 + " 1941-04-12": None,
         "call 415-555-1234": "a phone number",
@@ -44,13 +44,13 @@ def test_identifier_reasons(spark):
 
 def test_warnings(spark):
     cases = {
-        "My patient, Michael Van Havill": "a patient name",
-        "the patient in Valley Radiology": None,
-        "Mrs. Ortega called": "a patient name",
-        "Dr. Musto called": None,
-        "Ana Ruiz's chart": "a patient name",
-        "12 Maple Grove Street": "a street address",
-        "123 PET CT": None,
+        "My patient, Tobias Van Quillen": "a patient name",
+        "the patient in Lantern Imaging": None,
+        "Mrs. Pemberly called": "a patient name",
+        "Dr. Quarrie called": None,
+        "Ines Falk's chart": "a patient name",
+        "12 Copper Hollow Avenue": "a street address",
+        "123 MRI XR": None,
         "member ID: AB-123456": "an insurance or member ID",
     }
     for text, want in cases.items():
