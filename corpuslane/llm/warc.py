@@ -34,14 +34,17 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import ready, stored
+from corpuslane.llm.shared import bit_filter, in_filter, ready, stored
 
 SHARED_BYTES = 1000
-FILE_BYTES = 16 << 20
-PACKING = 3
+FILE_BYTES = 4 << 20
+NAME_BITS = 1 << 20
+PACKING = 4
+STEP = 1 << 13
 NAMES = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length")}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -80,7 +83,7 @@ def arc_file(name: str, records: list[Capture], version: int = 1) -> bytes:
 
 def arc_records(content: bytes) -> Iterator[tuple[int, Capture]]:
     """(offset of the record in the unpacked file, record) of every ARC record but the description."""
-    data, at, version = members(content), 0, 1
+    data, at, version = b"".join(members(content)), 0, 1
     while at < len(data):
         if data[at : at + 1] == b"\n":
             at += 1
@@ -105,9 +108,23 @@ def arc_records(content: bytes) -> Iterator[tuple[int, Capture]]:
         at = end + 1 + size
 
 
-def members(content: bytes) -> bytes:
-    """All gzip members unpacked one after the other; a file that is not packed is itself."""
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def members(content: bytes) -> Iterator[bytes]:
+    """Each gzip member unpacked; a file that is not packed is one. Input is fed in small steps, so
+    that what follows a member is not copied again and again."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at == len(view):
+                raise ValueError("a gzip member is cut off")
+            step = view[at : at + STEP]
+            parts.append(unpack.decompress(step))
+            at += len(step)
+        at -= len(unpack.unused_data)
+        yield b"".join(parts)
 
 
 # ---- WARC
@@ -179,9 +196,7 @@ def warc_member(record: Capture) -> bytes:
 
 def warc_records(content: bytes) -> Iterator[Capture]:
     """Every record of a WARC file, unpacked member by member."""
-    while content:
-        unpack = zlib.decompressobj(31)
-        data, content = unpack.decompress(content) + unpack.flush(), unpack.unused_data
+    for data in members(content):
         head, sep, rest = data.partition(b"\r\n\r\n")
         if not sep or not head.startswith(b"WARC/1."):
             raise ValueError("no WARC header")
@@ -211,11 +226,12 @@ def arc_archives(blocks: DataFrame, version: int = 1, file_bytes: int = FILE_BYT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Capture] = []
-        size = 0
+        size = done = 0
+        part = TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
-            tag = hashlib.sha1(b"".join(hashlib.sha1(r.fields["url"].encode() + r.body).digest() for r in held)).hexdigest()
-            name = f"{tag}.arc.gz"
+            # files of equal content are files of their own, and a task that runs again names them alike
+            name = f"{part:06d}-{done:06d}.arc.gz"
             return pa.record_batch([pa.array([name]), pa.array([arc_file(name, held, version)], pa.binary())], ["name", "content"])
 
         for batch in batches:
@@ -223,7 +239,7 @@ def arc_archives(blocks: DataFrame, version: int = 1, file_bytes: int = FILE_BYT
                 raw = body.as_py()
                 if held and size + len(raw) > file_bytes:
                     yield close()
-                    held, size = [], 0
+                    held, size, done = [], 0, done + 1
                 held.append(Capture({"url": safe_url(url), "ip": "0.0.0.0", "date": "20240101000000", "type": "text/html"}, raw))
                 size += len(raw)
         if held:
@@ -270,7 +286,13 @@ def convert(archives: DataFrame, shared_bytes: int = SHARED_BYTES) -> DataFrame:
                     out.write(warc_member(revisit_of(made, to[at]) if at in to else made))
                 yield pa.record_batch([pa.array([name.removesuffix(".arc.gz") + ".warc.gz"]), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
 
-    return archives.join(refs, "name", "left").select("name", "content", "refs").mapInArrow(rewrite, "name string, content binary")
+    # only archives with a revisit meet their references; the others stay where they are read
+    refs = stored(refs, "warc-refs")
+    named = in_filter(bit_filter(refs.select(F.xxhash64("name").alias("h")), "h", NAME_BITS))(F.xxhash64("name"))
+    both = archives.where(named).join(refs, "name", "left").select("name", "content", "refs")
+    none = F.lit(None).cast(refs.schema["refs"].dataType)
+    both = both.unionByName(archives.where(~named).select("name", "content", none.alias("refs")))
+    return both.mapInArrow(rewrite, "name string, content binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
