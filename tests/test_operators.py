@@ -309,6 +309,34 @@ def test_select_rules_skips_not_stops(spark):
     assert got == [(1, "a"), (1, "c"), (2, "d")]
 
 
+def test_rule_units_reach_and_edges(spark):
+    text = "\n".join([
+        "lower start that was cut off", "", "Before you call:", "- check the plan on file today", "  and note the answer there", "- ask about:", "   - the deductible that is left",
+        "", "   - the copay for this visit", "- close the request when done", "Plain words follow the list here.", "More of the same paragraph.", "```", "- not read inside a fence at all", "```", "- [ ] tick the box after the fence", "no full stop at the very end",
+    ])
+    docs = spark.createDataFrame([(1, "full", text), (2, "chunk", text), (3, "chunk", None), (4, "full", "")], "id int, passage_kind string, text string")
+    rows = M.rule_units(docs, ["id"], "text").orderBy("id", "unit").collect()
+    full = [(r["text"], r["kind"]) for r in rows if r["id"] == 1]
+    assert full == [
+        ("lower start that was cut off", "sentence"),
+        ("Before you call: check the plan on file today and note the answer there", "item"),
+        ("Before you call: ask about: the deductible that is left", "item"),
+        ("Before you call: ask about: the copay for this visit", "item"),
+        ("Before you call: close the request when done", "item"),
+        ("Plain words follow the list here. More of the same paragraph.", "sentence"),
+        ("tick the box after the fence", "checkbox"),
+        ("no full stop at the very end", "sentence"),
+    ]
+    assert [(r["text"], r["kind"]) for r in rows if r["id"] == 2] == full[1:-1]
+    assert {r["id"] for r in rows} == {1, 2}
+
+
+def test_rule_units_of_a_long_list(spark):
+    text = "Lead in to the list:\n" + "\n".join(f"- entry number {k} with enough words" for k in range(20_000))
+    docs = spark.createDataFrame([(1, "full", text)], "id int, passage_kind string, text string")
+    assert M.rule_units(docs, ["id"], "text").count() == 20_000
+
+
 def test_summary_golden(spark):
     rows = [("c", True, 1, 100, None), ("c", True, 3, 200, None), ("c", True, None, 301, None), ("c", False, None, 100, None), ("c", True, 1, 9, "boom")]
     df = spark.createDataFrame(rows, "config string, has_expected boolean, rank int, ms int, error string")
