@@ -112,7 +112,13 @@ def stream_of(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
 
 
-@query("idle_sessions", "ST5")
+@query(
+    "idle_sessions", "ST5",
+    """WITH e AS (SELECT user_id AS conv_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+    s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 24 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e),
+    g AS (SELECT conv_id, min(ts) AS started, max(ts) + INTERVAL 24 HOUR AS idle_since, count(*) AS total FROM s GROUP BY conv_id, n)
+    SELECT * FROM g WHERE idle_since <= (SELECT max(ts) FROM events)""",
+)
 def idle_sessions(t: Tables) -> DataFrame:
     ev = stream_of(t, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("conv_id"))
     return V.drain(V.idle_sessions(ev, "conv_id", "at", "24 hours"), "idle")
@@ -146,7 +152,12 @@ def dedupe_stream(t: Tables) -> DataFrame:
     return V.drain(V.dedupe_stream(one().union(one()), "event_id", "at"), "dedupe").select("event_id")
 
 
-@query("telemetry_stream", "ST9")
+@query(
+    "telemetry_stream", "ST9",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS searches, count(*) FILTER (event_type = 'view') AS fallbacks,
+       floor(sum(CAST(round(value * 100) AS BIGINT)) * 10 / count(*) + 0.5) / 1000 AS mean_ms, count(*) FILTER (event_type = 'error') AS errors
+    FROM events GROUP BY date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
 def telemetry_stream(t: Tables) -> DataFrame:
     ev = stream_of(t, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").alias("fallback"), F.col("value").alias("ms"),
@@ -160,12 +171,12 @@ def telemetry_stream(t: Tables) -> DataFrame:
     f"WITH {SQL_MANIFEST} SELECT 'file' AS kind, key, title, NULL::VARCHAR AS since, source_id FROM kept UNION ALL SELECT 'stale', key, NULL, since, source_id FROM carried",
 )
 def sync_batch(t: Tables) -> DataFrame:
-    """The exported keys arrive as a stream and meet the manifest of the last run."""
+    """The exported keys arrive as a stream of several batches and meet the manifest of the last run."""
     path = shared_dir(t.spark, "sync")
-    v_exported(t).write.mode("overwrite").parquet(f"{path}/in")
-    arriving = t.spark.readStream.schema(v_exported(t).schema).parquet(f"{path}/in")
+    v_exported(t).repartition(3, "key").write.mode("overwrite").parquet(f"{path}/in")
+    arriving = t.spark.readStream.schema(v_exported(t).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     V.sync_batch(
-        arriving, lambda: (v_prev(t), v_stale(t)), v_failed(t),
+        arriving, f"{path}/landed", lambda: (v_prev(t), v_stale(t)), v_failed(t),
         lambda df: df.write.mode("overwrite").parquet(f"{path}/next"), NOW,
     )
     return t.spark.read.schema("kind string, key bigint, title string, since string, source_id bigint").parquet(f"{path}/next")

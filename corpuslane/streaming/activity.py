@@ -86,13 +86,18 @@ def telemetry_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def sync_batch(
-    stream: DataFrame, read_previous: Callable[[], tuple[DataFrame, DataFrame]], failed: DataFrame,
+    stream: DataFrame, landing: str, read_previous: Callable[[], tuple[DataFrame, DataFrame]], failed: DataFrame,
     write_next: Callable[[DataFrame], None], now: str,
 ) -> None:
-    """Nightly run: the newly exported keys met with the last manifest, the next one written."""
+    """Nightly run: all newly exported keys met with the last manifest, the next one written.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        prev, stale = read_previous()
-        write_next(N.reconcile_manifest(prev, stale, batch, failed, now))
-
-    drain_each(stream, "sync", write)
+    Batches land in ``landing`` under their id, so a replayed one replaces itself; the manifest is
+    reconciled once, with everything that arrived in the run.
+    """
+    spark = stream.sparkSession
+    # a run without arrivals is reconciled too
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{landing}/batch=-1")
+    drain_each(stream, "sync", lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{landing}/batch={batch_id}"))
+    exported = spark.read.schema(stream.schema).parquet(landing)
+    prev, stale = read_previous()
+    write_next(N.reconcile_manifest(prev, stale, exported, failed, now))

@@ -56,7 +56,8 @@ class Ordered(StatefulProcessor):
                 s["over"] = True
         if run:
             out = self.feed(s, "".join(run), last)
-        self._state.update((json.dumps(s),))
+        # a finished attempt keeps only a mark against replayed deltas
+        self._state.update((json.dumps({"next": s["next"], "wait": {}, "over": True} if s["over"] else s),))
         if out:
             yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
 
