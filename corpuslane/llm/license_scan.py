@@ -97,7 +97,7 @@ def weigh(docs: DataFrame, text: Column) -> Scale:
     ready(docs.sparkSession)
     sums = docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = np.zeros(len(terms) + 1)
-    for row in sums.toLocalIterator():
+    for row in sums.collect():
         found[row["term"]] = row["n"]
     weights = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
     units = []

@@ -113,7 +113,7 @@ def train(docs: DataFrame, text: Column) -> np.ndarray:
     sums = docs.select(text.alias("text")).where("text IS NOT NULL").mapInArrow(count, "kind long, pair long, n long")
     counts = np.zeros((2, STATES * STATES))
     # at most 2 x STATES x STATES rows
-    for row in sums.groupBy("kind", "pair").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in sums.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         counts[row["kind"], row["pair"]] = row["n"]
     return ratios(counts.reshape(2, STATES, STATES))
 

@@ -100,7 +100,7 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast
     slices = df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(gather, kind)
     slices = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(merge, kind)
     whole = np.zeros(bits // 64, np.uint64)
-    for row in slices.toLocalIterator():
+    for row in slices.collect():
         whole[row["slice"] * SLICE_WORDS : (row["slice"] + 1) * SLICE_WORDS] |= np.frombuffer(row["bits"], np.uint64)
     return df.sparkSession.sparkContext.broadcast(whole)
 
