@@ -23,7 +23,7 @@ HEADLINE = [
     "text_windows", "dedupe_text", "flag_degenerate", "trim_history", "owner_query", "gate_coverage", "split_sections",
     "index_lines", "reconcile_manifest", "find_exact", "find_quotes", "resolve_titles", "mention_table",
     "match_owners", "topic_overlap", "cut_to_ceiling", "ordered_assembly", "summarise", "rank_grid",
-    "directory_asof", "allowed_messages",
+    "directory_asof", "allowed_messages", "resolve_citations", "best_reason", "redact_names", "assign_keys", "answer_stream", "rule_units",
 ]
 
 

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import bind, col, find_all, one_line, spans, sub, unroll, ws_trim
-from corpuslane.session import rows_at_most
 
-# Longest dictionary folded over each text in one expression.
-NAME_BOUND = 5_000
 # Cheap tests every match must pass: they run before the costly patterns.
 PHONE_GATE = "[0-9]{4}"
 DATE_GATE = "[0-9]{2}"
@@ -114,28 +111,15 @@ def redact_blocked(df: DataFrame, text: str, role: str) -> DataFrame:
 def redact_names(df: DataFrame, names: DataFrame, text: str) -> DataFrame:
     """Replace every directory name, longest first, case-sensitive.
 
-    The dictionary is one sorted array when it is provably small. A larger one is applied
-    in consecutive slices of the same longest-first order, which gives the same text.
+    The names of a directory are one sorted array, folded over each text in one expression.
     """
-    ordered = names.filter(F.col("name") != "").select("name").distinct()
-    # every replacement result must see all longer names first, so slices follow the length
-    if rows_at_most(ordered, NAME_BOUND):
-        slices = [ordered]
-    else:
-        edges = ordered.select(F.char_length("name").alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect()
-        slices = [ordered.filter(F.char_length("name") == r["n"]) for r in edges]
-    out = df
-    for part in slices:
-        dictionary = part.agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.char_length("name")).alias("n"), "name"))), lambda x: x["name"]
-            ).alias("_names")
-        )
-        out = out.join(F.broadcast(dictionary)).withColumn(
-            text,
-            F.aggregate("_names", F.col(text), lambda acc, n: F.replace(acc, n, F.lit("<person>"))),
-        ).drop("_names")
-    return out
+    dictionary = names.filter(F.col("name") != "").select("name").distinct().agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.char_length("name")).alias("n"), "name"))), lambda x: x["name"]
+        ).alias("_names")
+    )
+    redacted = F.aggregate("_names", F.col(text), lambda acc, n: F.replace(acc, n, F.lit("<person>")))
+    return df.join(dictionary).withColumn(text, redacted).drop("_names")
 
 
 def staff_names(people: DataFrame) -> DataFrame:

@@ -54,11 +54,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has no more than ``bound`` rows; reads at most bound + 1."""
-    return df.limit(bound + 1).count() <= bound
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan with fewer splits than cores before CPU-heavy text work.
 
