@@ -36,7 +36,6 @@ RULES_HEADING = "Rules stated in these passages"
 QUOTE_MAX_CHARS = 420
 QUOTE_THRESHOLD = 0.75
 QUOTE_MIN_TOKENS = 8
-EVIDENCE_FILES = 8
 OWNER_MIN_SCORE = 0.8
 OWNER_SECOND_RATIO = 0.6
 OWNER_PICKS = 2
