@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corpuslane.llm.shared import bit_filter, in_filter, ready, stored
 
 SHARED_BYTES = 1000
-FILE_BYTES = 4 << 20
+FILE_BYTES = 1 << 20
 NAME_BITS = 1 << 20
 PACKING = 4
 STEP = 1 << 13
