@@ -2,7 +2,7 @@
 
 The base patterns give labelled spans (assigned values, access keys, hex strings). Two first-order models over the
 characters of a token are then trained on all rows: one on the strings that a pattern matched, smoothed towards
-uniform choice, the other on every other token. Only transition counts leave a task, a table of fixed size. A token of
+uniform choice, the other on every other token that is not a candidate itself. Only transition counts leave a task, a table of fixed size. A token of
 at least ``TOKEN`` characters outside the base spans is reported as ``random`` if its log-likelihood ratio is at least
 ``BITS`` per character, and it mixes letters and digits.
 
@@ -34,6 +34,7 @@ LEAST_VALUE = 6
 TOKEN = 20
 BITS = 1.5
 PRIOR = 200.0
+BACKOFF = 20.0
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(_ALPHABET)
@@ -84,16 +85,31 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
+def candidates(at: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of every token of at least ``TOKEN`` characters with both letters and digits."""
+    inside = at != EDGE
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    long = end - start >= TOKEN
+    return [(int(a), int(b)) for a, b in zip(start[long], end[long]) if _DIGIT[at[a + 1 : b + 1]].any() and _LETTER[at[a + 1 : b + 1]].any()]
+
+
 def transitions(text: str, spans: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of character pairs inside tokens: outside all base spans, and inside."""
+    """Counts of character pairs inside ordinary tokens, and inside secrets.
+
+    Candidates are neither: what is to be judged does not teach the models.
+    """
     at = symbols(text)
     pairs = at[:-1] * STATES + at[1:]
+    judged = np.zeros(len(at), bool)
+    for a, b in candidates(at):
+        judged[a + 1 : b + 1] = True
     secret = np.zeros(len(at), bool)
     for start, end, kind in spans:
         begin = start if kind != "assign" else ASSIGN.match(text, start).start(2)
         secret[begin + 1 : end + 1] = True
     both = secret[:-1] & secret[1:]
-    none = ~(secret[:-1] | secret[1:])
+    none = ~(secret[:-1] | secret[1:] | judged[:-1] | judged[1:])
     return tuple(np.bincount(pairs[x], minlength=STATES * STATES) for x in (none, both))
 
 
@@ -121,7 +137,9 @@ def train(docs: DataFrame, text: Column) -> np.ndarray:
 def ratios(counts: np.ndarray) -> np.ndarray:
     """Transitions between two characters of a token only; edges carry no evidence."""
     inner = counts[:, :SYMBOLS, :SYMBOLS]
-    ordinary = inner[0] + 0.5
+    # a transition that was not seen is as likely as its second character is anywhere
+    anywhere = inner[0].sum(axis=0) + 0.5
+    ordinary = inner[0] + BACKOFF * anywhere / anywhere.sum()
     ordinary /= ordinary.sum(axis=1, keepdims=True)
     # secrets are few, and mostly of one kind: smoothed towards a uniform choice of letters and digits
     drawn = np.where(_DIGIT[:SYMBOLS] | _LETTER[:SYMBOLS], 1.0, 0.1)
@@ -137,16 +155,11 @@ def random_spans(text: str, base: list[tuple[int, int, str]], weights: np.ndarra
     at = symbols(text)
     for start, end, _ in base:
         at[start + 1 : end + 1] = EDGE
-    inside = at != EDGE
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    long = end - start >= TOKEN
     out = []
-    for a, b in zip(start[long], end[long]):
+    for a, b in candidates(at):
         token = at[a + 1 : b + 1]
-        bits = weights[token[:-1], token[1:]].sum() / 1024
-        if _DIGIT[token].any() and _LETTER[token].any() and bits >= BITS * (len(token) - 1):
-            out.append((int(a), int(b), "random"))
+        if weights[token[:-1], token[1:]].sum() / 1024 >= BITS * (len(token) - 1):
+            out.append((a, b, "random"))
     return out
 
 

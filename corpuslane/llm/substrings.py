@@ -82,7 +82,7 @@ def packed_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             own, place = own[order], place[order]
             heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(own) else np.empty(0, np.int64)
             parts = [own[a:b].tobytes() for a, b in zip(heads, np.r_[heads[1:], len(own)])]
-            yield pa.record_batch([pa.array(signed(place[heads])), pa.array([many] * len(heads)), pa.array(parts, pa.binary())], ["bucket", "many", "seeds"])
+            yield pa.record_batch([pa.array(signed(place[heads])), pa.array([many] * len(heads), pa.bool_()), pa.array(parts, pa.binary())], ["bucket", "many", "seeds"])
 
 
 def seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def removals(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((ids, path))
                 path, ids, seed = path[order], ids[order], seed[order]
                 first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]) if len(path) else np.empty(0, np.int64)
-                last = np.r_[first[1:], len(path)] - 1
+                last = (np.r_[first[1:], len(path)] - 1)[: len(first)]
                 size, start = np.diff(upto)[order][first], upto[:-1][order][first]
                 take = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(first) else np.empty(0, np.int64)
                 yield pa.record_batch([pa.array(signed(path[first])), pa.array(signed(seed[first])), pa.array(ids[first]), pa.array(ids[last]), lists(size, pa.array(signed(gram[take])))], ["path", "seed", "first", "last", "grams"])
