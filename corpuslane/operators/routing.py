@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import bigrams, chain, col, sub, topic_words, unroll, ws_trim
+from corpuslane.operators.screen import redact_names, staff_names
 
 
 def _words(c: Column | str) -> Column:
@@ -245,12 +246,15 @@ def routing_notes(people: DataFrame) -> DataFrame:
 
 
 def check_directory(people: DataFrame, departments: DataFrame) -> DataFrame:
-    """All issues, by severity."""
+    """All issues, by severity, each with its ``row`` named by title and department; no message holds a name."""
     issues = (
         missing_fields(people).unionByName(dangling_refs(people, departments)).unionByName(routing_conflicts(people, departments))
         .unionByName(routing_gaps(people, departments)).unionByName(routing_notes(people))
     )
-    return issues.withColumn("severity", level_rank("level"))
+    named = lambda c, none: F.coalesce(F.nullif(ws_trim(c), F.lit("")), F.lit(none))
+    row = F.concat(named("title", "untitled row"), F.lit(" ("), named("department", "no department"), F.lit(")"))
+    placed = issues.join(people.select("person", row.alias("row")), "person")
+    return redact_names(placed, staff_names(people), "message").withColumn("severity", level_rank("level"))
 
 
 def level_rank(level: Column | str) -> Column:
