@@ -237,10 +237,12 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return stored(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are alike enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = full_sets(nodes, docs, classes)
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets (node, grams) are alike enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("_y")), "b")
     alike = F.arrow_udf(similar, returnType="boolean")
@@ -273,7 +275,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     near = F.arrow_udf(agreeing, returnType="boolean")
     stars = stars.where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).where(near("_sa", "_sb"))
     stars = stored(stars.select("a", "b"), "stars")
-    first = stored(confirmed(stars, docs, classes), "links")
+    first = stored(confirmed(stars, full_sets(ends(stars).distinct(), docs, classes)), "links")
     joined = components(first)
 
     labelled = members.join(joined, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
@@ -282,8 +284,6 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     cells = labelled.join(mixed, "key", "left_semi").join(sides, "node").select("key", "node", "comp", "n", "sig")
     opened = cells.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lambda b: runs(b, "key", open_pairs), "a long, b long")
     opened = stored(opened.distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
-    second = stored(confirmed(opened, docs, classes), "links")
-
     large = labelled.where(f"size > {LISTED}")
     parts = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
@@ -294,10 +294,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     cells = laid.join(counts, "main").withColumn("t", F.when(out, F.pmod(spot, F.col("tu"))).otherwise(F.col("tu") + F.pmod(spot, F.col("tl"))))
     cells = cells.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.when(out, F.col("tu") + F.col("tl")).otherwise(F.col("tu")) - 1)))
     cells = cells.select(F.xxhash64("main", F.least("s", "t"), F.greatest("s", "t")).alias("cell"), "node", "comp", out.alias("outside"))
-    sets = full_sets(laid.select("node").distinct(), docs, classes)
+    sets = full_sets(ends(opened).unionByName(laid.select("node")).distinct(), docs, classes)
+    second = confirmed(opened, sets)
     cells = cells.join(sides, "node").join(sets, "node")
     third = cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(lambda b: runs(b, "cell", tile_links), "a long, b long")
-    return components(first.unionByName(second).unionByName(stored(third, "links")))
+    return components(first.unionByName(second).unionByName(third))
 
 
 def _mixed(key: Column) -> Column:
