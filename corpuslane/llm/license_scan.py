@@ -1,12 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of header lines to templates, then inheritance by directory.
 
-Each line of a text is a bag of words, compared with the statements by which licences are declared. A term
-of the templates weighs by the number of documents that hold it, counted over all of them; any other word weighs like
-one that a single document holds. So a line that says more than the statement scores less. The best line of at least
-``LEAST`` decides.
+Each line of a text is a bag of words, compared with the statements by which licences are declared. Every word
+weighs by the number of documents that hold it, counted over all of them. The best line of at least ``LEAST`` decides.
 
-Lines are screened in numpy by a bound that no qualifying line misses: the part of the line's weight that
-lies in template terms. The few that pass are scored term by term.
+Lines are screened in numpy by a bound that no qualifying line misses, since no word weighs less than 1. The few that pass are
+scored term by term; the document counts of their words outside the templates come by a join on word hashes.
 
 A file without a statement of its own takes the licence of the nearest directory above it that has a licence file.
 That is decided for each directory, not for each file, and then joined to the files by their own directory.
@@ -25,13 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.llm.shared import ready, row_of, stored, struct_udf
-from corpuslane.llm.words import ALNUM, pieces, split
+from corpuslane.llm.shared import bit_filter, held, ready, row_of, stored
+from corpuslane.llm.words import ALNUM, Words, mix, pieces, signed, split
 
 LEAST = 0.6
+SALTS = 16
+UNITS_DDL = "array<struct<license string, dot double, near double, line int, span int, digest long, terms array<long>, counts array<long>>>"
+UNITS = pa.list_(
+    pa.struct(
+        {"license": pa.string(), "dot": pa.float64(), "near": pa.float64(), "line": pa.int32(), "span": pa.int32(), "digest": pa.int64(), "terms": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+    )
+)
 
 #: Statements by which each licence is declared, by SPDX name.
 TEMPLATES = {
@@ -55,13 +61,23 @@ FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 @dataclass(frozen=True)
 class Scale:
-    """Template terms as sorted word hashes with their weights, the weight of any other word, and the
-    unit vectors of the templates (name, weight by term)."""
+    """Template terms as sorted word hashes with their weights, the number of documents, and the
+    unit vectors of the templates, by name, as columns over the terms."""
 
     terms: np.ndarray
     weights: np.ndarray
-    other: float
-    units: tuple[tuple[str, dict[int, float]], ...]
+    rows: int
+    names: tuple[str, ...]
+    units: np.ndarray
+
+
+@dataclass(frozen=True)
+class Weighed:
+    """A scale, and the documents that it was counted over."""
+
+    scale: Scale
+    docs: DataFrame
+    text: Column
 
 
 def template_terms() -> tuple[np.ndarray, list[tuple[str, Counter]]]:
@@ -78,7 +94,12 @@ def term_of(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(terms[at] == hashes, at, -1)
 
 
-def weigh(docs: DataFrame, text: Column) -> Scale:
+def weight(rows, n):
+    """Weight of a term that ``n`` of ``rows`` documents hold."""
+    return np.log((1 + rows) / (1 + n)) + 1
+
+
+def weigh(docs: DataFrame, text: Column) -> Weighed:
     """Document counts of every template term over all rows; one row a term reaches the driver."""
     terms, templates = template_terms()
 
@@ -99,63 +120,123 @@ def weigh(docs: DataFrame, text: Column) -> Scale:
     found = np.zeros(len(terms) + 1)
     for row in sums.collect():
         found[row["term"]] = row["n"]
-    weights = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
-    units = []
-    for name, counts in templates:
-        norm = float(np.sqrt(sum((n * weights[t]) ** 2 for t, n in sorted(counts.items()))))
-        units.append((name, {t: n * float(weights[t]) / norm for t, n in counts.items()}))
-    return Scale(terms, weights, float(np.log((1 + found[-1]) / 2) + 1), tuple(units))
+    weights = weight(found[-1], found[:-1])
+    units = np.zeros((len(terms), len(templates)))
+    for k, (_, counts) in enumerate(templates):
+        at = np.array(sorted(counts))
+        units[at, k] = np.array([counts[t] for t in sorted(counts)]) * weights[at]
+    return Weighed(Scale(terms, weights, int(found[-1]), tuple(n for n, _ in templates), units / np.linalg.norm(units, axis=0)), docs, text)
 
 
-def score_line(hashes: np.ndarray, place: np.ndarray, scale: Scale) -> tuple[str, float]:
-    """The template nearest to a line, and the cosine."""
+def document_counts(docs: DataFrame, text: Column, kept: Broadcast) -> DataFrame:
+    """``term`` and ``n``, the number of rows that hold it, of every word that passes the bit filter, over all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words = split(piece.column("text"), ALNUM, fold=True)
+                inside = held(kept.value, words.hash)
+                texts, hashes = words.text[inside], words.hash[inside]
+                order = np.lexsort((texts, hashes))
+                texts, hashes = texts[order], hashes[order]
+                first = np.r_[True, (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])][: len(hashes)]
+                terms, n = np.unique(hashes[first], return_counts=True)
+                yield pa.record_batch([pa.array(signed(terms)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    return docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def units_of(words: Words, line: np.ndarray, place: np.ndarray, scale: Scale, least: float) -> Iterator[tuple[int, int]]:
+    """First and end word of every unit that may score ``least``: each line.
+
+    A unit's product with a template is the sum over its words, and its length is no less than if no word repeated and
+    all other words weighed 1, the least there is.
+    """
+    heads = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])])
+    ends = np.r_[heads[1:], len(line)]
+    inside = np.flatnonzero(place >= 0)
+    term, of = place[inside], np.repeat(np.arange(len(heads)), ends - heads)[inside]
+    length = np.add.reduceat(np.where(place >= 0, scale.weights[place] ** 2, 1.0), heads)
+    dots = np.stack([np.bincount(of, weights=(scale.weights * unit)[term], minlength=len(heads)) for unit in scale.units.T])
+    for i in np.flatnonzero(dots.max(axis=0) ** 2 >= least**2 * length * (1 - 1e-9)):
+        yield int(heads[i]), int(ends[i])
+
+
+def score_unit(hashes: np.ndarray, place: np.ndarray, scale: Scale) -> tuple[str, float, float, np.ndarray, np.ndarray]:
+    """The template nearest to a unit, their product, the squared length in template terms, and the other words with their counts."""
     terms, counts = np.unique(place[place >= 0], return_counts=True)
-    _, others = np.unique(hashes[place < 0], return_counts=True)
-    own = {int(t): int(n) * float(scale.weights[t]) for t, n in zip(terms, counts)}
-    norm = float(np.sqrt(sum(w * w for w in own.values()) + float((others.astype(np.float64) ** 2).sum()) * scale.other**2))
-    best = ("", -1.0)
-    for name, unit in scale.units:
-        cosine = sum(w * unit[t] for t, w in own.items() if t in unit) / norm
-        if cosine > best[1]:
-            best = (name, cosine)
-    return best
-
-
-def best_lines(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
-    """The licence, score and line number (from 0) of the best line of each text; null where none reaches ``least``."""
+    others, n = np.unique(hashes[place < 0], return_counts=True)
+    own = counts * scale.weights[terms]
+    dots = np.round(own @ scale.units[terms], 12)
+    k = int(np.argmax(dots))
+    return scale.names[k], float(dots[k]), float(own @ own), others, n
+
+
+def candidates(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
+    """Of each text the units that may be its best: those whose words all belong to templates have a digest of null."""
     words = split(texts, ALNUM, fold=True)
-    out: list[tuple[str, float, int] | None] = [None] * len(texts)
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
     if len(words.hash):
         breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
         line = breaks[words.start] - breaks[words.begin[words.text]]
-        heads = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])])
-        ends = np.r_[heads[1:], len(line)]
         place = term_of(scale.terms, words.hash)
-        near = np.add.reduceat(np.where(place >= 0, scale.weights[place], 0.0), heads)
-        rest = np.add.reduceat((place < 0).astype(np.int64), heads)
-        # the cosine is at most near / sqrt(near^2 + rest * other^2): a sum is no less than its terms' length,
-        # and the squares of the other words' counts add up to their number or more
-        passed = (near > 0) & (near**2 >= least**2 * (near**2 + rest * scale.other**2) * (1 - 1e-9))
-        for a, b in zip(heads[passed], ends[passed]):
-            name, cosine = score_line(words.hash[a:b], place[a:b], scale)
-            t = words.text[a]
-            if cosine >= least and (out[t] is None or cosine > out[t][1]):
-                out[t] = (name, cosine, int(line[a]))
-    names, scores, lines = ([o and o[i] for o in out] for i in range(3))
-    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lines, pa.int32())], ["license", "score", "line"])
-
-
-def statements(docs: DataFrame, scale: Scale, text: str = "text", least: float = LEAST) -> DataFrame:
-    """``docs`` with ``license``, ``score`` and ``line`` of the best statement, or nulls."""
-    shared = docs.sparkSession.sparkContext.broadcast(scale)
+        rarest = weight(scale.rows, 1)
+        for a, b in units_of(words, line, place, scale, least):
+            name, dot, near, others, n = score_unit(words.hash[a:b], place[a:b], scale)
+            rest = float(n @ n)
+            # other words weigh from 1, held by all documents, to what one document's words weigh
+            most, low = dot / np.sqrt(near + rest), dot / np.sqrt(near + rest * rarest**2)
+            if most >= least * (1 - 1e-9):
+                with np.errstate(over="ignore"):
+                    digest = int(signed(mix(mix(others + n.astype(np.uint64)).sum(keepdims=True)))[0]) if len(others) else None
+                out[words.text[a]].append({"license": name, "dot": dot, "near": near, "line": int(line[a]), "span": b - a, "digest": digest, "terms": signed(others).tolist(), "counts": n.tolist(), "most": most, "low": low})
+    for t, units in enumerate(out):
+        sure = max((u["low"] for u in units), default=0.0)
+        out[t] = [u for u in units if u["most"] >= sure * (1 - 1e-9)]
+    return pa.array(out, UNITS)
+
+
+def statements(docs: DataFrame, weighed: Weighed, text: str = "text", least: float = LEAST, texts: bool = True) -> DataFrame:
+    """``docs`` with ``license``, ``score`` and ``line`` of the best statement, or nulls; without its text if ``texts`` is false.
+
+    The scan leaves what may be a text's best unit. Where that has words of no template, their document counts
+    are joined to it.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(weighed.scale)
+    rows = weighed.scale.rows
 
     def run(column: pa.Array) -> pa.Array:
-        parts = [best_lines(p.column(0), shared.value, least) for p in pieces(pa.record_batch([column], ["t"]), "t")]
-        return pa.concat_arrays(parts) if parts else best_lines(column, shared.value, least)
-
-    ready(docs.sparkSession)
-    best = struct_udf(run, "license string, score double, line int")(F.col(text)).alias("_best")
-    return docs.select(row_of(docs, "license", "score", "line"), best).select("_row.*", "_best.*")
+        parts = [candidates(p.column(0), shared.value, least) for p in pieces(pa.record_batch([column], ["t"]), "t")]
+        return pa.concat_arrays(parts) if parts else candidates(column, shared.value, least)
+
+    ready(spark)
+    units = F.arrow_udf(run, returnType=UNITS_DDL)(F.col(text)).alias("_units")
+    outputs = ("license", "score", "line") + (() if texts else (text,))
+    found = stored(docs.select(row_of(docs, *outputs), F.monotonically_increasing_id().alias("_at"), units), "units")
+    open_units = found.select("_at", F.explode("_units").alias("u")).where("u.digest IS NOT NULL").select("_at", "u.*")
+    bags = open_units.select("digest", "terms", "counts").dropDuplicates(["digest"])
+    bags = stored(bags.select("digest", F.explode(F.arrays_zip("terms", "counts")).alias("w")).select("digest", F.col("w.terms").alias("term"), F.col("w.counts").alias("count")), "bags")
+    counts = document_counts(weighed.docs, weighed.text, bit_filter(bags, "term"))
+    # a word of many units and a bag of many texts are met at salted goals
+    salt, salts = F.pmod(F.xxhash64("digest"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    counts = counts.select("term", "n", salts.alias("_salt"))
+    heavy = F.col("count") * (F.log((1 + F.lit(rows)) / (1 + F.col("n"))) + 1)
+    rest = bags.withColumn("_salt", salt).join(counts, ["term", "_salt"]).groupBy("digest").agg(F.sum(heavy * heavy).alias("rest"))
+    rest = rest.select("digest", "rest", salts.alias("_salt"))
+    scored = open_units.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS))).join(rest, ["digest", "_salt"])
+
+    def choice(u, other: Column) -> Column:
+        """Orders by score, then first line, then length, then name."""
+        score = F.least(F.lit(1.0), u["dot"] / F.sqrt(u["near"] + other))
+        return F.struct((-F.round(score, 12)).alias("less"), u["line"].alias("line"), u["span"].alias("span"), u["license"].alias("license"))
+
+    scored = scored.select("_at", choice({c: F.col(c) for c in ("dot", "near", "line", "span", "license")}, F.col("rest")).alias("c"))
+    scored = scored.groupBy("_at").agg(F.min("c").alias("_open"))
+    closed = F.array_min(F.transform(F.filter("_units", lambda u: u["digest"].isNull()), lambda u: choice(u, F.lit(0.0))))
+    best = found.select("_row", "_at", closed.alias("_closed")).join(scored, "_at", "left").select("_row", F.least("_closed", "_open").alias("b"))
+    best = best.select("_row", F.when(-F.col("b.less") >= least, F.col("b")).alias("b"))
+    return best.select("_row.*", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score"), F.col("b.line").alias("line"))
 
 
 def directory(path: Column) -> Column:

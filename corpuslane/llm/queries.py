@@ -133,5 +133,5 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.when(F.expr("doc_id DIV 20 % 3 <> 0"), F.expr("doc_id DIV 2000 % 10").cast("string"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.expr("doc_id DIV 20000").cast("string"), lower, number.cast("string"))
     docs = docs.select("doc_id", F.when(number.isNotNull(), path).alias("path"), "text")
-    found = license_scan.statements(docs, license_scan.weigh(docs, F.col("text"))).drop("text")
+    found = license_scan.statements(docs, license_scan.weigh(docs, F.col("text")), texts=False)
     return license_scan.inherited(found, speaks=F.col("line") < 3)

@@ -137,3 +137,20 @@ def line_score(line, templates, df, n):
             if cosine > best[1] + 1e-12:
                 best = (name, cosine)
     return best
+
+
+def unit_score(unit, templates, df, n):
+    """TF-IDF cosine of a unit to each template, by definition; every word weighs by its documents."""
+    import math
+
+    words = lambda t: Counter(PLAIN.findall(fold(t)))
+    vec = lambda t: {w: c * (math.log((1 + n) / (1 + df.get(w, 0))) + 1) for w, c in words(t).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own, best = vec(unit), ("", 0.0)
+    for name in sorted(templates):
+        for t in templates[name]:
+            other = vec(t)
+            cosine = sum(x * other.get(w, 0) for w, x in own.items()) / length(own) / length(other)
+            if cosine > best[1] + 1e-12:
+                best = (name, cosine)
+    return best

@@ -328,3 +328,26 @@ def test_warc_pages(spark):
         assert (1, "revisit", 9) in kinds and (2, "revisit", 9) in kinds and (9, "response", None) in kinds and (3, "response", None) in kinds and (8, "response", None) in kinds
         assert {r.payload_bytes for r in got if r.page_id == 7} == {80_000}
     assert warc.read(warc.convert(warc.arc_archives(warc.as_blocks(pages.where("page_id < 0"), "page_id", "url", F.col("html"))))).count() == 0
+
+
+def test_licence_weights_of_common_words(spark):
+    """Words that many documents hold weigh little, so they do not sink a statement that stands among them."""
+    common = "this project is distributed under the terms of the you may not use file except in compliance with see txt in root for information"
+    lines = {
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "mit": "Licensed under the MIT License. See License.txt in the project root for license information.",
+        "terms": "This project is distributed under the terms of the MIT license",
+        "other": "This project is distributed under the terms of the zorblax agreement",
+    }
+    rows = [(k, f"{prose(7, 9)}\n{v}\nend") for k, v in lines.items()] + [(f"d{i}", f"{common} {prose(i, 20)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in license_scan.statements(df, license_scan.weigh(df, F.col("text"))).collect()}
+    assert {k: (got[k].license, got[k].line) for k in lines} == {"apache": ("Apache-2.0", 1), "mit": ("MIT", 1), "terms": ("MIT", 1), "other": (None, None)}
+    assert all(got[f"d{i}"].license is None for i in range(400))
+
+    counts = {}
+    for _, text in rows:
+        for w in set(brute.PLAIN.findall(brute.fold(text))):
+            counts[w] = counts.get(w, 0) + 1
+    for key in ("apache", "mit", "terms"):
+        assert got[key].score == pytest.approx(brute.unit_score(lines[key], license_scan.TEMPLATES, counts, len(rows))[1])
