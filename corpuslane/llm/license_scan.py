@@ -1,9 +1,11 @@
-"""Licence scans: sparse TF-IDF cosine of header lines to templates, then inheritance by directory.
+"""Licence scans: sparse TF-IDF cosine of lines, headers and whole files to templates, then inheritance by directory.
 
-Each line of a text is a bag of words, compared with the statements by which licences are declared. Every word
-weighs by the number of documents that hold it, counted over all of them. The best line of at least ``LEAST`` decides.
+Each line of a text, each run of neighbouring blocks of lines (a header with or without its copyright line, say) and
+the whole text is a bag of words, compared with the statements, notices and whole texts of the licences. Every word
+weighs by the number of documents that hold it, counted over all of them. The best unit of at least ``LEAST`` decides, and
+``line`` is its first. An SPDX tag names its licence itself, with score 1; an unknown name says nothing.
 
-Lines are screened in numpy by a bound that no qualifying line misses, since no word weighs less than 1. The few that pass are
+Units are screened in numpy by a bound that no qualifying unit misses, since no word weighs less than 1. The few that pass are
 scored term by term; the document counts of their words outside the templates come by a join on word hashes.
 
 A file without a statement of its own takes the licence of the nearest directory above it that has a licence file.
@@ -11,27 +13,39 @@ That is decided for each directory, not for each file, and then joined to the fi
 
 Defined results: null and empty texts, and null paths, have no licence of their own; a null path inherits
 none. Between licence files of one directory the higher score wins, then the smaller path, then the name. Ties between templates go
-to the name that sorts first, between lines to the first line. Repeated rows get equal results. Empty
+to the name that sorts first, between units to the first line, then to the shorter unit. Repeated rows get equal results. Empty
 tables give no rows. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslane.llm.license_texts import NOTICES, whole_texts
 from corpuslane.llm.shared import bit_filter, held, ready, row_of, stored
 from corpuslane.llm.words import ALNUM, Words, mix, pieces, signed, split
 
 LEAST = 0.6
 SALTS = 16
+#: Neighbouring blocks that make one unit at most; the longest notice or short licence text has fewer.
+RUN = 10
+#: Bytes before a comment's mark at most.
+MARGIN = 64
+BLANK, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[[*b" \t\r\"'"]] = True
+MARKS[[*b"/*#;%-!<"]] = True
+#: A tag names its licence itself.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)")
 UNITS_DDL = "array<struct<license string, dot double, near double, line int, span int, digest long, terms array<long>, counts array<long>>>"
 UNITS = pa.list_(
     pa.struct(
@@ -80,9 +94,16 @@ class Weighed:
     text: Column
 
 
+def all_templates() -> dict[str, list[str]]:
+    """Statements, notices and whole texts of each licence."""
+    whole = {name: [text] for name, text in whole_texts().items()}
+    return {name: [t for kind in (TEMPLATES, NOTICES, whole) for t in kind.get(name, [])] for name in TEMPLATES.keys() | NOTICES.keys() | whole.keys()}
+
+
 def template_terms() -> tuple[np.ndarray, list[tuple[str, Counter]]]:
     """All term hashes, sorted, and each template's term counts by position in them."""
-    named = [(name, text) for name in sorted(TEMPLATES) for text in TEMPLATES[name]]
+    templates = all_templates()
+    named = [(name, text) for name in sorted(templates) for text in templates[name]]
     words = split(pa.array([t for _, t in named]), ALNUM, fold=True)
     terms, place = np.unique(words.hash, return_inverse=True)
     return terms, [(name, Counter(place[words.text == i].tolist())) for i, (name, _) in enumerate(named)]
@@ -146,11 +167,22 @@ def document_counts(docs: DataFrame, text: Column, kept: Broadcast) -> DataFrame
     return docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def marked(words: Words, heads: np.ndarray) -> np.ndarray:
+    """Whether the line of each head word begins like a comment: its first byte but for blanks and quotes is a comment's mark."""
+    newline = np.concatenate([[-1], np.flatnonzero(words.data == 10)])
+    begin = np.maximum(newline[np.searchsorted(newline, words.start[heads]) - 1] + 1, words.begin[words.text[heads]])
+    first = begin.copy()
+    for _ in range(MARGIN):
+        first += (first < words.start[heads]) & BLANK[words.data[first]]
+    return MARKS[words.data[first]]
+
+
 def units_of(words: Words, line: np.ndarray, place: np.ndarray, scale: Scale, least: float) -> Iterator[tuple[int, int]]:
-    """First and end word of every unit that may score ``least``: each line.
+    """First and end word of every unit that may score ``least``: each line, each run of up to ``RUN`` neighbouring
+    blocks, and each whole text.
 
-    A unit's product with a template is the sum over its words, and its length is no less than if no word repeated and
-    all other words weighed 1, the least there is.
+    A block is a run of lines with words that are all comments or all not. A unit's product with a template is the sum over its
+    words, and its length is no less than if no word repeated and all other words weighed 1, the least there is.
     """
     heads = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])])
     ends = np.r_[heads[1:], len(line)]
@@ -160,6 +192,25 @@ def units_of(words: Words, line: np.ndarray, place: np.ndarray, scale: Scale, le
     dots = np.stack([np.bincount(of, weights=(scale.weights * unit)[term], minlength=len(heads)) for unit in scale.units.T])
     for i in np.flatnonzero(dots.max(axis=0) ** 2 >= least**2 * length * (1 - 1e-9)):
         yield int(heads[i]), int(ends[i])
+    mark, text = marked(words, heads), words.text[heads]
+    top = np.flatnonzero(np.r_[True, (np.diff(line[heads]) != 1) | (text[1:] != text[:-1]) | (mark[1:] != mark[:-1])])
+    # sums before each block, so that those of a run are differences
+    length = np.r_[0.0, np.cumsum(np.add.reduceat(length, top))]
+    dots = np.concatenate([np.zeros((len(dots), 1)), np.cumsum(np.add.reduceat(dots, top, axis=1), axis=1)], axis=1)
+    lines, text = np.diff(np.r_[top, len(heads)]), text[top]
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    size = np.diff(np.r_[first, len(text)])
+
+    def runs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        product = (dots[:, b] - dots[:, a]).max(axis=0, initial=0.0)
+        for i in np.flatnonzero(product**2 >= least**2 * (length[b] - length[a]) * (1 - 1e-9)):
+            yield int(heads[top[a[i]]]), int(ends[top[b[i]] - 1] if b[i] < len(top) else ends[-1])
+
+    for n in range(1, RUN + 1):
+        a = np.arange(len(top) - n + 1)
+        a = a[(text[a] == text[a + n - 1]) & ((lines[a] > 1) | (n > 1))]
+        yield from runs(a, a + n)
+    yield from runs(first[size > RUN], (first + size)[size > RUN])
 
 
 def score_unit(hashes: np.ndarray, place: np.ndarray, scale: Scale) -> tuple[str, float, float, np.ndarray, np.ndarray]:
@@ -172,6 +223,18 @@ def score_unit(hashes: np.ndarray, place: np.ndarray, scale: Scale) -> tuple[str
     return scale.names[k], float(dots[k]), float(own @ own), others, n
 
 
+def tagged(text: str, names: tuple[str, ...]) -> list[dict]:
+    """A unit of score 1 for each tag with a known name; of an expression, for its first known name."""
+    known, out = {n.lower(): n for n in names}, []
+    for tag in TAG.finditer(text):
+        named = (known.get(re.sub(r"(-only|-or-later|\+)$", "", w.lower())) for w in re.findall(r"[A-Za-z0-9.+-]+", tag[1]))
+        name = next((n for n in named if n), None)
+        if name:
+            line = text.count("\n", 0, tag.start())
+            out.append({"license": name, "dot": 1.0, "near": 1.0, "line": line, "span": 0, "digest": None, "terms": [], "counts": [], "most": 1.0, "low": 1.0})
+    return out
+
+
 def candidates(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
     """Of each text the units that may be its best: those whose words all belong to templates have a digest of null."""
     words = split(texts, ALNUM, fold=True)
@@ -190,6 +253,8 @@ def candidates(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
                 with np.errstate(over="ignore"):
                     digest = int(signed(mix(mix(others + n.astype(np.uint64)).sum(keepdims=True)))[0]) if len(others) else None
                 out[words.text[a]].append({"license": name, "dot": dot, "near": near, "line": int(line[a]), "span": b - a, "digest": digest, "terms": signed(others).tolist(), "counts": n.tolist(), "most": most, "low": low})
+    for t in np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring(texts, "SPDX-License-Identifier:"), False))):
+        out[t] += tagged(texts[int(t)].as_py(), scale.names)
     for t, units in enumerate(out):
         sure = max((u["low"] for u in units), default=0.0)
         out[t] = [u for u in units if u["most"] >= sure * (1 - 1e-9)]

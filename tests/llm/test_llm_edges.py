@@ -350,4 +350,33 @@ def test_licence_weights_of_common_words(spark):
         for w in set(brute.PLAIN.findall(brute.fold(text))):
             counts[w] = counts.get(w, 0) + 1
     for key in ("apache", "mit", "terms"):
-        assert got[key].score == pytest.approx(brute.unit_score(lines[key], license_scan.TEMPLATES, counts, len(rows))[1])
+        assert got[key].score == pytest.approx(brute.unit_score(lines[key], license_scan.all_templates(), counts, len(rows))[1])
+
+
+def test_licence_headers_and_bodies(spark):
+    """Headers, whole licence files without a title and SPDX tags, among documents of other words."""
+    whole, notices = license_scan.whole_texts(), license_scan.NOTICES
+
+    def comment(text, mark):
+        w = text.split()
+        return "\n".join(f"{mark} {' '.join(w[i : i + 11])}" for i in range(0, len(w), 11))
+
+    mit = whole["MIT"].split("\n\n", 1)[1]
+    texts = {
+        "mit": ("MIT", f"Copyright (c) 2021 Quibble Authors\n\n{mit}", 2),
+        "bsd2": ("BSD-2-Clause", f"Copyright (c) 2020, Some One\nAll rights reserved.\n\n{whole['BSD-2-Clause']}", 3),
+        "bsd3": ("BSD-3-Clause", f"Copyright (c) 2020, Some One\nAll rights reserved.\n\n{whole['BSD-3-Clause']}", 3),
+        "apache": ("Apache-2.0", f"// Copyright 2019 The Blorb Authors\n//\n{comment(notices['Apache-2.0'][0], '//')}\npackage blorb\n{prose(3, 90)}", 2),
+        "gpl": ("GPL-3.0", f"#!/bin/sh\n{comment(notices['GPL-3.0'][0], '#')}\n{prose(4, 60)}", None),
+        "body": ("GPL-2.0", whole["GPL-2.0"], 0),
+        "mpl": ("MPL-2.0", f"/* {notices['MPL-2.0'][0]} */\n\n{prose(5, 60)}", 0),
+        "tag": ("GPL-2.0", f"{prose(6, 8)}\n# SPDX-License-Identifier: GPL-2.0-or-later\n{prose(8, 8)}", 1),
+        "either": ("MIT", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint main;", 0),
+        "unknown": (None, f"// SPDX-License-Identifier: Zorblax-9.1\n{prose(9, 20)}", None),
+    }
+    rows = [(k, v[1]) for k, v in texts.items()] + [(f"d{i}", f"the of to and in is a for this that {prose(i, 40)}") for i in range(300)] + [("null", None), ("empty", "")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in license_scan.statements(df, license_scan.weigh(df, F.col("text"))).collect()}
+    assert {k: got[k].license for k in texts} == {k: v[0] for k, v in texts.items()}
+    assert {k: got[k].line for k, v in texts.items() if v[2] is not None} == {k: v[2] for k, v in texts.items() if v[2] is not None}
+    assert all(r.license is None for k, r in got.items() if k not in texts) and len(got) == len(rows)
