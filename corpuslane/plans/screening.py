@@ -263,6 +263,20 @@ def any_flagged(t: Tables) -> DataFrame:
     )
 
 
+@query("any_identifier", "A16")
+def any_identifier(t: Tables) -> DataFrame:
+    """Any window that trips any rule of the hard screen, where ``any_flagged`` and its twin test emails only."""
+    return spread(t.documents.select("doc_id", "text")).select(
+        "doc_id", F.coalesce(F.exists(C.window_array("text"), lambda w: S.identifier_reason(w).isNotNull()), F.lit(False)).alias("flagged")
+    )
+
+
+@query("document_warnings", "P7")
+def document_warnings(t: Tables) -> DataFrame:
+    """The soft warning of each whole document, where ``warn_documents`` and its twin test street addresses only."""
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", S.warning_noun("text").alias("warning"))
+
+
 @query("dedupe_text", "X6", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(text)")
 def dedupe_text(t: Tables) -> DataFrame:
     return S.first_text_rows(t.documents.select("doc_id", "text"), "text", "doc_id").select("doc_id")
