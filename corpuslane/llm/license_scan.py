@@ -243,11 +243,11 @@ def candidates(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
         breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
         line = breaks[words.start] - breaks[words.begin[words.text]]
         place = term_of(scale.terms, words.hash)
-        rarest = weight(scale.rows, 1)
+        rarest = weight(scale.rows, 0)
         for a, b in units_of(words, line, place, scale, least):
             name, dot, near, others, n = score_unit(words.hash[a:b], place[a:b], scale)
             rest = float(n @ n)
-            # other words weigh from 1, held by all documents, to what one document's words weigh
+            # other words weigh from 1, held by all documents, to that of a word that the counted documents lack
             most, low = dot / np.sqrt(near + rest), dot / np.sqrt(near + rest * rarest**2)
             if most >= least * (1 - 1e-9):
                 with np.errstate(over="ignore"):
@@ -286,8 +286,8 @@ def statements(docs: DataFrame, weighed: Weighed, text: str = "text", least: flo
     # a word of many units and a bag of many texts are met at salted goals
     salt, salts = F.pmod(F.xxhash64("digest"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     counts = counts.select("term", "n", salts.alias("_salt"))
-    heavy = F.col("count") * (F.log((1 + F.lit(rows)) / (1 + F.col("n"))) + 1)
-    rest = bags.withColumn("_salt", salt).join(counts, ["term", "_salt"]).groupBy("digest").agg(F.sum(heavy * heavy).alias("rest"))
+    heavy = F.col("count") * (F.log((1 + F.lit(rows)) / (1 + F.coalesce("n", F.lit(0)))) + 1)
+    rest = bags.withColumn("_salt", salt).join(counts, ["term", "_salt"], "left").groupBy("digest").agg(F.sum(heavy * heavy).alias("rest"))
     rest = rest.select("digest", "rest", salts.alias("_salt"))
     scored = open_units.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS))).join(rest, ["digest", "_salt"])
 

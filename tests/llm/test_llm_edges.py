@@ -380,3 +380,17 @@ def test_licence_headers_and_bodies(spark):
     assert {k: got[k].license for k in texts} == {k: v[0] for k, v in texts.items()}
     assert {k: got[k].line for k, v in texts.items() if v[2] is not None} == {k: v[2] for k, v in texts.items() if v[2] is not None}
     assert all(r.license is None for k, r in got.items() if k not in texts) and len(got) == len(rows)
+
+
+def test_licence_weights_of_unknown_words(spark):
+    """Words that the counted documents lack weigh most; they do not drop out."""
+    known = spark.createDataFrame([(f"d{i}", f"the terms of this {prose(i, 20)}") for i in range(50)], "path string, text string")
+    weighed = license_scan.weigh(known, F.col("text"))
+    df = spark.createDataFrame([("one", "Zorblax Released under the MIT License"), ("many", "Released under the MIT License " + " ".join(f"zorblax{i}" for i in range(20)))], "path string, text string")
+    got = {r.path: r for r in license_scan.statements(df, weighed).collect()}
+    counts = {}
+    for r in known.collect():
+        for w in set(brute.PLAIN.findall(brute.fold(r.text))):
+            counts[w] = counts.get(w, 0) + 1
+    name, score = brute.unit_score("Zorblax Released under the MIT License", license_scan.all_templates(), counts, 50)
+    assert (got["one"].license, got["many"].license) == (name, None) and got["one"].score == pytest.approx(score)
