@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import decontaminate, langid, license_scan, mixing, neardup, secret_scan, shards, substrings, topk, warc
-from corpuslane.llm.shared import stored
+from corpuslane.llm import (
+    alignment, decontaminate, langid, license_scan, mixing, neardup, secret_scan, shards, substrings, topk, toxicity, trie, warc,
+)
+from corpuslane.llm.shared import bit_filter, in_filter, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +137,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", F.when(number.isNotNull(), path).alias("path"), "text")
     found = license_scan.statements(docs, license_scan.weigh(docs, F.col("text")), texts=False)
     return license_scan.inherited(found, speaks=F.col("line") < 3)
+
+
+@register
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows are picked by a bit filter of their ids, so only their texts are moved to the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"))).select("doc_id", "toxic", F.xxhash64("doc_id").alias("key"))
+    known = in_filter(bit_filter(labels, "key"))
+    taught = docs.where(~langid.held_out(F.col("doc_id"))).where(known(F.xxhash64("doc_id"))).join(labels, "doc_id")
+    found = toxicity.locate(docs, toxicity.train(taught, F.col("text"), F.col("toxic")))
+    held = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted", "n_evidence", F.size("offending").cast("long").alias("n_offending"))
+
+
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
