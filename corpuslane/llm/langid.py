@@ -29,7 +29,10 @@ SIZES = (1, 2, 3)
 SMOOTH = 0.5
 SCALE = 1 << 12
 MAX_LABELS = 512
-CELLS = 1 << 23
+#: Gathered weights at once, 8 bytes each.
+CELLS = 1 << 20
+PIECE = 1 << 18
+CHARS = 1 << 17
 UNKNOWN = "und"
 
 _LETTER = np.frompyfunc(lambda c: chr(c).isalpha(), 1, 1)(np.arange(1 << 16)).astype(bool)
@@ -52,31 +55,37 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Text number of each character, whether it is a letter, and per size (start, bucket).
+def blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Text number of each character, characters, which are letters, and how many may start an n-gram.
 
-    Characters are lower-cased, everything but letters reads as a blank, and only n-grams
-    with a letter in their first two places count, so runs of symbols add nothing.
+    Texts are lower-cased, everything but letters reads as a blank. Several texts make one block; one long text comes in
+    blocks that overlap by what the longest n-gram needs.
     """
     lower = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(lower)), [len(t) for t in lower])
-    letter = letters(codes)
-    codes = np.where(letter, codes, np.uint32(32))
-    out = []
+    step = max(CHARS, sum(map(len, lower)) if len(lower) != 1 else 0)
+    text = "".join(lower)
+    for a in range(0, len(text), step):
+        codes = np.frombuffer(text[a : a + step + SIZES[-1] - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.zeros(len(codes), np.int32) if len(lower) == 1 else np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) for t in lower])
+        letter = letters(codes)
+        yield owner, np.where(letter, codes, np.uint32(32)), letter, min(step, len(codes))
+
+
+def ngrams(owner: np.ndarray, codes: np.ndarray, letter: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and bucket of each n-gram of a block, one size at a time.
+
+    Only n-grams with a letter in their first two places count, so runs of symbols add nothing.
+    """
     for n in SIZES:
-        size = len(codes) - n + 1
+        size = min(len(codes) - n + 1, most)
         if size <= 0:
-            out.append((np.empty(0, np.int64), np.empty(0, np.int64)))
             continue
         h = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
         for j in range(n):
             h = (h ^ codes[j : j + size]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(15)
-        valid = letter[:size] if n == 1 else (letter[:size] | letter[1 : size + 1]) & (owner[:size] == owner[n - 1 :])
-        at = np.flatnonzero(valid)
-        out.append((at, (h[at] & np.uint32(BUCKETS - 1)).astype(np.int64)))
-    return owner, letter, out
+        valid = letter[:size] if n == 1 else (letter[:size] | letter[1 : size + 1]) & (owner[:size] == owner[n - 1 : n - 1 + size])
+        yield owner[:size][valid], (h[valid] & np.uint32(BUCKETS - 1)).view(np.int32)
 
 
 def train(rows: DataFrame, text: Column, label: Column) -> Model:
@@ -85,14 +94,14 @@ def train(rows: DataFrame, text: Column, label: Column) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 names = piece.column("label").to_pylist()
-                owner, _, grams = ngrams(piece.column("text").to_pylist())
                 own = sorted(set(names))
-                number = np.array([own.index(x) for x in names])
+                number = np.array([own.index(x) for x in names], np.int32)
                 total = np.zeros(len(own) * BUCKETS, np.int64)
-                for at, bucket in grams:
-                    total += np.bincount(number[owner[at]] * BUCKETS + bucket, minlength=len(total))
+                for block in blocks(piece.column("text").to_pylist()):
+                    for owner, bucket in ngrams(*block):
+                        total += np.bincount(number[owner] * BUCKETS + bucket, minlength=len(total))
                 for x, part in zip(own, total.reshape(-1, BUCKETS)):
                     sums[x] = sums[x] + part if x in sums else part
                 if len(sums) > MAX_LABELS:
@@ -119,18 +128,19 @@ def train(rows: DataFrame, text: Column, label: Column) -> Model:
 
 def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Label and posterior probability of each text."""
-    owner, letter, grams = ngrams(texts)
     width = len(model.labels)
-    some = np.bincount(owner[letter], minlength=len(texts)) > 0
     if not width or not len(texts):
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    some = np.zeros(len(texts), bool)
     total = np.zeros((len(texts), width), np.int64)
     step = max(1, CELLS // width)
-    for at, bucket in grams:
-        for a in range(0, len(at), step):
-            who = owner[at[a : a + step]]
-            heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            total[who[heads]] += np.add.reduceat(model.weights[bucket[a : a + step]], heads, axis=0, dtype=np.int64)
+    for block in blocks(texts):
+        some[block[0][block[2]]] = True
+        for owner, bucket in ngrams(*block):
+            for a in range(0, len(owner), step):
+                who = owner[a : a + step]
+                heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                total[who[heads]] += np.add.reduceat(model.weights[bucket[a : a + step]], heads, axis=0, dtype=np.int64)
     best = total.argmax(axis=1)
     far = (total - total.max(axis=1, keepdims=True)) / SCALE
     sure = 1 / np.exp(far).sum(axis=1)
@@ -144,7 +154,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(column: pa.Array) -> pa.Array:
         labels, sure = [], []
-        for piece in pieces(pa.record_batch([column], ["text"]), "text"):
+        for piece in pieces(pa.record_batch([column], ["text"]), "text", PIECE):
             a, b = score(piece.column(0).to_pylist(), shared.value)
             labels += a
             sure.append(b)
