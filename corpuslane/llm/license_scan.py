@@ -5,8 +5,9 @@ the whole text is a bag of words, compared with the statements, notices and whol
 weighs by the number of documents that hold it, counted over all of them. The best unit of at least ``LEAST`` decides, and
 ``line`` is its first. An SPDX tag names its licence itself, with score 1; an unknown name says nothing.
 
-Units are screened in numpy by a bound that no qualifying unit misses, since no word weighs less than 1. The few that pass are
-scored term by term; the document counts of their words outside the templates come by a join on word hashes.
+Units are screened in numpy by a bound that no qualifying unit misses: a word weighs at least as much as its hashed cell of
+document counts allows. The few that pass are scored term by term; the document counts of their words outside the templates come
+by a join on word hashes.
 
 A file without a statement of its own takes the licence of the nearest directory above it that has a licence file.
 That is decided for each directory, not for each file, and then joined to the files by their own directory.
@@ -39,8 +40,10 @@ LEAST = 0.6
 SALTS = 16
 #: Neighbouring blocks that make one unit at most; the longest notice or short licence text has fewer.
 RUN = 10
-#: Bytes before a comment's mark at most.
-MARGIN = 64
+#: Hashed cells of document counts, a bound for each word from above.
+CELLS = 1 << 20
+#: Distinct words that a task counts before it sends them on.
+HELD = 1 << 20
 BLANK, MARKS = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[*b" \t\r\"'"]] = True
 MARKS[[*b"/*#;%-!<"]] = True
@@ -76,10 +79,12 @@ FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 @dataclass(frozen=True)
 class Scale:
     """Template terms as sorted word hashes with their weights, the number of documents, and the
-    unit vectors of the templates, by name, as columns over the terms."""
+    unit vectors of the templates, by name, as columns over the terms. ``least`` is, by hashed cell, what
+    a word weighs at least: a cell's count is the sum over its words."""
 
     terms: np.ndarray
     weights: np.ndarray
+    least: np.ndarray
     rows: int
     names: tuple[str, ...]
     units: np.ndarray
@@ -120,12 +125,17 @@ def weight(rows, n):
     return np.log((1 + rows) / (1 + n)) + 1
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def weigh(docs: DataFrame, text: Column) -> Weighed:
-    """Document counts of every template term over all rows; one row a term reaches the driver."""
+    """Document counts of every template term and of every cell of words over all rows; the driver receives one row a term
+    and a cell."""
     terms, templates = template_terms()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(terms), np.int64), 0
+        total, cells, rows = np.zeros(len(terms), np.int64), np.zeros(CELLS, np.int64), 0
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = split(piece.column("text"), ALNUM, fold=True)
@@ -133,26 +143,38 @@ def weigh(docs: DataFrame, text: Column) -> Weighed:
                 inside = at >= 0
                 pairs = np.unique(words.text[inside] * len(terms) + at[inside])
                 total += np.bincount(pairs % len(terms), minlength=len(terms))
+                pairs = np.unique(words.text * CELLS + cell_of(words.hash))
+                cells += np.bincount(pairs % CELLS, minlength=CELLS)
                 rows += piece.num_rows
-        yield pa.record_batch([pa.array(np.arange(len(terms) + 1)), pa.array(np.append(total, rows))], ["term", "n"])
+        sums = np.concatenate([total, [rows], cells])
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at), pa.array(sums[at])], ["term", "n"])
 
     ready(docs.sparkSession)
-    sums = docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = np.zeros(len(terms) + 1)
-    for row in sums.collect():
-        found[row["term"]] = row["n"]
+    sums = docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(len(terms) + 1 + CELLS)
+    found[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    cells, found = found[len(terms) + 1 :], found[: len(terms) + 1]
     weights = weight(found[-1], found[:-1])
+    # a document with several words of a cell counts once, so a count never exceeds the number of documents
+    least = weight(found[-1], cells).astype(np.float32) * (1 - 1e-6)
     units = np.zeros((len(terms), len(templates)))
     for k, (_, counts) in enumerate(templates):
         at = np.array(sorted(counts))
         units[at, k] = np.array([counts[t] for t in sorted(counts)]) * weights[at]
-    return Weighed(Scale(terms, weights, int(found[-1]), tuple(n for n, _ in templates), units / np.linalg.norm(units, axis=0)), docs, text)
+    return Weighed(Scale(terms, weights, least.astype(np.float32), int(found[-1]), tuple(n for n, _ in templates), units / np.linalg.norm(units, axis=0)), docs, text)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    terms, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    return terms, np.bincount(at, np.concatenate([n for _, n in parts]), len(terms)).astype(np.int64)
 
 
 def document_counts(docs: DataFrame, text: Column, kept: Broadcast) -> DataFrame:
     """``term`` and ``n``, the number of rows that hold it, of every word that passes the bit filter, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = split(piece.column("text"), ALNUM, fold=True)
@@ -161,8 +183,20 @@ def document_counts(docs: DataFrame, text: Column, kept: Broadcast) -> DataFrame
                 order = np.lexsort((texts, hashes))
                 texts, hashes = texts[order], hashes[order]
                 first = np.r_[True, (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])][: len(hashes)]
-                terms, n = np.unique(hashes[first], return_counts=True)
-                yield pa.record_batch([pa.array(signed(terms)), pa.array(n.astype(np.int64))], ["term", "n"])
+                own.append(np.unique(hashes[first], return_counts=True))
+                size += len(own[-1][0])
+                if size > HELD:
+                    own = [summed(own)]
+                    size = len(own[0][0])
+                if size > HELD // 2 and len(own) == 1:
+                    yield counted(own)
+                    own, size = [], 0
+        if own:
+            yield counted(own)
+
+    def counted(own: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        terms, n = summed(own)
+        return pa.record_batch([pa.array(signed(terms)), pa.array(n)], ["term", "n"])
 
     return docs.select(text.alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -171,10 +205,8 @@ def marked(words: Words, heads: np.ndarray) -> np.ndarray:
     """Whether the line of each head word begins like a comment: its first byte but for blanks and quotes is a comment's mark."""
     newline = np.concatenate([[-1], np.flatnonzero(words.data == 10)])
     begin = np.maximum(newline[np.searchsorted(newline, words.start[heads]) - 1] + 1, words.begin[words.text[heads]])
-    first = begin.copy()
-    for _ in range(MARGIN):
-        first += (first < words.start[heads]) & BLANK[words.data[first]]
-    return MARKS[words.data[first]]
+    seen = np.flatnonzero(~BLANK[words.data])
+    return MARKS[words.data[seen[np.searchsorted(seen, begin)]]]
 
 
 def units_of(words: Words, line: np.ndarray, place: np.ndarray, scale: Scale, least: float) -> Iterator[tuple[int, int]]:
@@ -182,13 +214,13 @@ def units_of(words: Words, line: np.ndarray, place: np.ndarray, scale: Scale, le
     blocks, and each whole text.
 
     A block is a run of lines with words that are all comments or all not. A unit's product with a template is the sum over its
-    words, and its length is no less than if no word repeated and all other words weighed 1, the least there is.
+    words, and its length is no less than if no word repeated and all other words weighed as little as their cells allow.
     """
     heads = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])])
     ends = np.r_[heads[1:], len(line)]
     inside = np.flatnonzero(place >= 0)
     term, of = place[inside], np.repeat(np.arange(len(heads)), ends - heads)[inside]
-    length = np.add.reduceat(np.where(place >= 0, scale.weights[place] ** 2, 1.0), heads)
+    length = np.add.reduceat(np.where(place >= 0, scale.weights[place], scale.least[cell_of(words.hash)]).astype(np.float64) ** 2, heads)
     dots = np.stack([np.bincount(of, weights=(scale.weights * unit)[term], minlength=len(heads)) for unit in scale.units.T])
     for i in np.flatnonzero(dots.max(axis=0) ** 2 >= least**2 * length * (1 - 1e-9)):
         yield int(heads[i]), int(ends[i])
@@ -246,9 +278,9 @@ def candidates(texts: pa.Array, scale: Scale, least: float) -> pa.Array:
         rarest = weight(scale.rows, 0)
         for a, b in units_of(words, line, place, scale, least):
             name, dot, near, others, n = score_unit(words.hash[a:b], place[a:b], scale)
-            rest = float(n @ n)
-            # other words weigh from 1, held by all documents, to that of a word that the counted documents lack
-            most, low = dot / np.sqrt(near + rest), dot / np.sqrt(near + rest * rarest**2)
+            # other words weigh from what their cells allow to that of a word that the counted documents lack
+            rest = float(((n * scale.least[cell_of(others)]) ** 2).sum())
+            most, low = dot / np.sqrt(near + rest), dot / np.sqrt(near + float(n @ n) * rarest**2)
             if most >= least * (1 - 1e-9):
                 with np.errstate(over="ignore"):
                     digest = int(signed(mix(mix(others + n.astype(np.uint64)).sum(keepdims=True)))[0]) if len(others) else None
