@@ -8,7 +8,8 @@ equal (depth, hash); a node is named by its smallest member and its depth. Total
 ``contraction.subtree_sums``. Texts do not move: only hashes and lengths do.
 
 Defined results: a null conv_id is no conversation. Null role or text reads as empty; a null turn comes first.
-Equal turns are ordered by a hash of role and text, so repeated rows are turns of their own. An empty table gives no row.
+Equal turns are ordered by a hash of role and text, so repeated rows are turns of their own. The hundreds of negative ids
+are counted downward (-3 belongs to -100). An empty table gives no row.
 Only the four columns are read, so others cannot clash. The text of ends is streamed in
 sorted runs through the digest of its node, and never gathered.
 """
@@ -167,7 +168,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     convs = stored(convs.withColumn("h", opening_length(F.col("c"))), "conversations")
     bases = convs.select(F.col("c").alias("b"), F.col("early").alias("opening"))
     empty = F.filter("early", lambda x: F.lit(False))
-    plan = convs.withColumn("b", F.expr("c - c % 100")).join(bases, "b", "left")
+    plan = convs.withColumn("b", F.expr("c - pmod(c, 100)")).join(bases, "b", "left")
     plan = plan.withColumn("opening", F.filter(F.coalesce("opening", empty), lambda x: x["i"] <= F.col("h")))
     plan = plan.withColumn("m", F.size("opening").cast("long"))
     own, base = F.get("early", F.least("h", "n").cast("int") - 1), F.get("opening", F.col("m").cast("int") - 1)
