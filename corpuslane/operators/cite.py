@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import (
-    bigrams, bind, chain, col, display_line, display_title, longest, match_key, spans, sub, title_stem, tokens, unroll, ws_trim,
+    bigrams, bind, chain, col, display_line, display_title, match_key, spans, sub, title_stem, tokens, unroll, ws_trim,
 )
 from corpuslane.operators.answers import clean_head, drop_identity_question
 from corpuslane.session import materialize
@@ -33,139 +38,147 @@ def _scope(quotes: DataFrame) -> list[str]:
     return ["file"] if "file" in quotes.columns else []
 
 
-def exact_hits(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every line holding a quote as a contiguous, token-aligned run.
+def handles(toks: Column, repeats: bool) -> Column:
+    """64-bit hashes of a text's neighbouring token pairs, in order."""
+    pairs = F.zip_with(F.slice(toks, F.lit(1), F.size(toks) - 1), F.slice(toks, F.lit(2), F.size(toks) - 1), lambda a, b: F.xxhash64(a, b))
+    return pairs if repeats else F.array_distinct(pairs)
+
+
+def postings(lines: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``file, line, handle`` of every token pair and token of the lines that ``wanted`` holds.
 
-    A quote meets only the lines that hold its longest token, and is verified in the same
-    join; a line lists each token once, so no pair appears twice. ``quotes`` may carry a
-    ``file`` column, which then scopes the join. Never a cross join, never a group.
+    Only ids and hashes are unrolled, and what no quote asks for leaves before the first shuffle that follows.
     """
-    scope = _scope(quotes)
-    q = quotes.withColumn("anchor", longest(F.col("qtoks")))
-    sized = unroll(
-        lines.select("file", "line", "key"), ["file", "line", "key"], F.array_distinct(tokens("key")), "_i", "anchor"
-    ).drop("_i")
-    right = q
-    on = [*scope, "anchor"]
-    inside = F.instr(F.concat(F.lit(" "), F.col("key"), F.lit(" ")), F.concat(F.lit(" "), F.col("qkey"), F.lit(" ")))
-    joined = sized.join(right, on).withColumn("_at", inside).filter(F.col("_at") > 0)
-    before = F.substr(F.col("key"), F.lit(1), F.col("_at") - 1)
-    start = F.char_length(before) - F.char_length(F.replace(before, F.lit(" "), F.lit("")))
-    return joined.withColumns(
-        {"from_tok": start.cast("bigint"), "to_tok": (start + F.col("qn") - 1).cast("bigint"), "score": F.lit(1.0)}
-    ).drop("_at", "anchor")
-
-
-def coverage_fold(quote: Column, line: Column) -> Column:
-    """Greedy in-order coverage: how many quote tokens appear in the line, in order, and where."""
-    seed = F.struct(
-        F.lit(0).alias("cursor"), F.lit(0).alias("covered"), F.lit(-1).alias("from"), F.lit(-1).alias("to")
+    words = lines.select("file", "line", tokens("key").alias("_w"))
+    held = F.concat(
+        F.when(F.size("_w") > 1, handles(F.col("_w"), False)).otherwise(F.array().cast("array<bigint>")),
+        F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w))),
     )
+    return unroll(words, ["file", "line"], held, "_i", "handle").drop("_i").join(wanted, on, "left_semi")
 
-    def step(acc, tok):
-        rel = F.array_position(F.slice(line, acc["cursor"] + 1, F.greatest(F.size(line) - acc["cursor"], F.lit(0))), tok).cast("int")
-        at = acc["cursor"] + rel - 1
-        return F.when(rel == 0, acc).otherwise(
-            F.struct(
-                (at + 1).alias("cursor"), (acc["covered"] + 1).alias("covered"),
-                F.when(acc["from"] == -1, at).otherwise(acc["from"]).alias("from"), at.alias("to"),
-            )
-        )
 
-    return F.aggregate(quote, seed, step)
+def candidates(quotes: DataFrame, lines: DataFrame, keys: list[str], near: Column) -> DataFrame:
+    """``keys, file, line`` of every line that may hold a quote, or resemble it where ``near`` says so.
 
+    Quotes meet lines on their rarest handles by count over the lines: a quote inside a line needs its rarest
+    pair only (a one-word quote its word). For a likeness of 0.75 half of the pairs must be shared, so a line must hold
+    one of any ``n - ceil(n/2) + 1`` of a quote's ``n`` pairs: the rarest ones lose nothing and meet the fewest.
+    """
+    scope = _scope(quotes)
+    own = F.when(F.size("qtoks") > 1, handles(F.col("qtoks"), True)).otherwise(F.transform("qtoks", lambda w: F.xxhash64(w)))
+    n = F.greatest(F.col("qn") - 1, F.lit(1))
+    take = F.when(near, n - F.ceil(n / 2).cast("int") + 1).otherwise(1)
+    seen = unroll(quotes, [*keys, *scope, take.alias("_take")], own, "_place", "handle")
+    on = ["handle", *scope]
+    found = materialize(postings(lines, seen.select(*on).distinct(), on), "postings")
+    counts = found.groupBy("handle").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys, *scope).orderBy(F.coalesce("_n", F.lit(0)), "handle", "_place")
+    rarest = seen.join(counts, "handle", "left").withColumn("_rank", F.row_number().over(order)).filter("_rank <= _take AND _n IS NOT NULL")
+    return rarest.select(*keys, *on).join(found, on).select(*keys, "file", "line").distinct()
+
+
+_COMPARED = T.StructType(
+    [T.StructField(n, T.DoubleType() if n == "overlap" else T.IntegerType()) for n in ("at", "overlap", "covered", "from_tok", "to_tok")]
+)
 
-def fuzzy_pairs(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Quote and line pairs sharing at least half of the quote's bigrams.
 
-    The score is half in-order token coverage, half bigram overlap, so 0.75 needs an overlap of
-    one half and a matching line must hold one of any ``n - ceil(n/2) + 1`` of the quote's
-    ``n`` bigrams: only the longest (rarest) ones are used to meet lines, which loses nothing.
-    A pair is kept only at the first such bigram it shares, so it appears once.
+@F.arrow_udf(_COMPARED)
+def compare(quotes: pa.Array, lines: pa.Array) -> pa.Array:
+    """Each quote against a line, in time linear in both: where it stands as a whole (or -1), the share of its
+    neighbouring pairs in the line, and how many of its words follow each other there, in order, from where to where."""
+    out, last = [], None
+    for quote, line in zip(quotes.to_pylist(), lines.to_pylist()):
+        if line != last:
+            last, words = line, line.split(" ")
+            pairs, places = set(zip(words, words[1:])), defaultdict(list)
+            for i, w in enumerate(words):
+                places[w].append(i)
+        at = f" {line} ".find(f" {quote} ")
+        wanted = quote.split(" ")
+        shared = sum(p in pairs for p in zip(wanted, wanted[1:])) / max(len(wanted) - 1, 1)
+        cursor, covered, first, end = 0, 0, -1, -1
+        for w in wanted:
+            own = places.get(w, ())
+            k = bisect_left(own, cursor)
+            if k < len(own):
+                end = own[k]
+                first, covered, cursor = (end if first < 0 else first), covered + 1, end + 1
+        out.append((line.count(" ", 0, at) if at > 0 else at, shared, covered, first, end))
+    columns = list(zip(*out)) if out else [()] * 5
+    kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["at", "overlap", "covered", "from_tok", "to_tok"])
+
+
+def matches(quotes: DataFrame, lines: DataFrame, keys: list[str], near: Column | None = None) -> DataFrame:
+    """Quote and line pairs that were compared: ``quotes`` columns, ``file``, ``line`` and the fields of ``compare``.
+
+    ``keys`` name a quote; a ``file`` column of ``quotes`` scopes it to that file. Texts are read back
+    for candidates only.
     """
     scope = _scope(quotes)
-    q = (
-        quotes.filter(F.col("qn") >= L.QUOTE_MIN_TOKENS)
-        .withColumn("qbi", bigrams("qtoks"))
-        .withColumn(
-            "probe",
-            F.transform(
-                F.slice(
-                    F.array_sort(F.transform(F.array_distinct("qbi"), lambda b: F.struct((-F.char_length(b)).alias("n"), b.alias("b")))),
-                    F.lit(1),
-                    # repeated bigrams count towards the overlap, so distinct ones may all be needed
-                    F.greatest(F.size("qbi") - F.ceil(F.size("qbi") / 2).cast("int") + 1, F.lit(1)),
-                ),
-                lambda s: s["b"],
-            ),
-        )
-    )
-    probes = unroll(q, q.columns, "probe", "_p", "bigram").drop("_p")
-    # half of at least seven bigrams is four, so shorter lines cannot match
-    ltoks = (
-        lines.select("file", "line", "key", tokens("key").alias("ltoks")).filter(F.size("ltoks") > L.QUOTE_MIN_TOKENS // 2)
-        .withColumn("lbi", F.array_distinct(bigrams("ltoks")))
-    )
-    right = probes
-    met = unroll(ltoks, ["file", "line", "key"], "lbi", "_i", "bigram").drop("_i")
-    first = F.get(F.array_intersect(F.col("probe"), F.col("lbi")), F.lit(0))
-    # arrays are rebuilt for the few lines that met, not carried along every bigram
-    pairs = (
-        met.join(right, [*scope, "bigram"]).withColumn("ltoks", tokens("key"))
-        .withColumn("lbi", F.array_distinct(bigrams("ltoks"))).filter(F.col("bigram") == first)
-    )
-    overlap = F.size(F.filter("qbi", lambda b: F.array_contains("lbi", b))) / F.size("qbi")
-    return pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= 2 * L.QUOTE_THRESHOLD - 1)
+    near = F.lit(False) if near is None else near
+    pairs = candidates(quotes, lines, keys, near & (F.col("qn") >= L.QUOTE_MIN_TOKENS))
+    met = pairs.join(quotes.drop("qtoks"), [*keys, *scope]).join(lines.select("file", "line", "key"), ["file", "line"])
+    return met.withColumn("_c", compare("qkey", "key")).select(*[c for c in met.columns if c != "key"], "_c.*")
 
 
-def fuzzy_hits(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines scoring at least the threshold for quotes long enough to be evidence."""
-    scope = _scope(quotes)
-    scored = (
-        fuzzy_pairs(quotes, lines)
-        .withColumn("cov", coverage_fold(F.col("qtoks"), F.col("ltoks")))
-        .withColumn("score", 0.5 * F.col("cov.covered") / F.col("qn") + 0.5 * F.col("overlap"))
-        .filter((F.col("score") >= L.QUOTE_THRESHOLD) & (F.col("cov.to") - F.col("cov.from") + 1 <= 2 * F.col("qn")))
-    )
-    return scored.select(
-        *quotes.columns, *[c for c in ["file"] if not scope], "line", "key",
-        F.col("cov.from").cast("bigint").alias("from_tok"), F.col("cov.to").cast("bigint").alias("to_tok"),
-        F.col("score"), "overlap",
-    )
+def likeness() -> Column:
+    """Half in-order token coverage, half pair overlap."""
+    return 0.5 * F.col("covered") / F.col("qn") + 0.5 * F.col("overlap")
 
 
-def best_fuzzy(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Best fuzzy line per quote and file; the earlier line wins a tie."""
-    return (
-        fuzzy_hits(quotes, lines)
-        .groupBy(*keys, "file", "qn")
-        .agg(F.max_by(F.struct("line", "from_tok", "to_tok", "score"), F.struct("score", -F.col("line"))).alias("_b"))
-        .select(*keys, "file", "qn", "_b.*")
-        .withColumn("exact", F.lit(False))
-    )
+def resembles() -> Column:
+    """A line like a quote that is long enough to be evidence, without being scattered over it."""
+    dense = F.col("to_tok") - F.col("from_tok") + 1 <= 2 * F.col("qn")
+    return (F.col("qn") >= L.QUOTE_MIN_TOKENS) & (F.col("from_tok") >= 0) & dense & (likeness() >= L.QUOTE_THRESHOLD)
 
 
-def first_exact(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """First exact line per quote and file, with how many lines of the file hold it."""
-    return (
-        exact_hits(quotes, lines)
-        .groupBy(*keys, "file", "qn")
-        .agg(F.count("*").alias("n_lines"), F.min_by(F.struct("line", "from_tok", "to_tok", "score"), F.col("line")).alias("_b"))
-        .select(*keys, "file", "qn", "n_lines", "_b.*")
-        .withColumn("exact", F.lit(True))
+def exact_hits(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Every line holding a quote as a contiguous, token-aligned run."""
+    held = matches(quotes, lines, keys).filter("at >= 0")
+    end = F.col("at") + F.col("qn") - 1
+    return held.withColumns({"from_tok": F.col("at").cast("bigint"), "to_tok": end.cast("bigint"), "score": F.lit(1.0)}).drop("at", "overlap", "covered")
+
+
+def fuzzy_pairs(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Quote and line pairs sharing at least half of the quote's neighbouring pairs."""
+    return matches(quotes.filter(F.col("qn") >= L.QUOTE_MIN_TOKENS), lines, keys, F.lit(True)).filter(F.col("overlap") >= 2 * L.QUOTE_THRESHOLD - 1)
+
+
+def best_lines(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per quote and file: ``n_lines`` that hold the quote, the first of them (``held``), and the most alike line (``alike``, the
+    earlier one wins a tie)."""
+    whole = F.struct("line", F.col("at").cast("bigint").alias("from_tok"), (F.col("at") + F.col("qn") - 1).cast("bigint").alias("to_tok"), F.lit(1.0).alias("score"))
+    near = F.struct("line", F.col("from_tok").cast("bigint").alias("from_tok"), F.col("to_tok").cast("bigint").alias("to_tok"), likeness().alias("score"))
+    exact, like = F.col("at") >= 0, resembles()
+    return found.groupBy(*keys, "file", "qn").agg(
+        F.count_if(exact).alias("n_lines"),
+        F.min_by(F.when(exact, whole), F.when(exact, F.col("line"))).alias("held"),
+        F.max_by(F.when(like, near), F.when(like, F.struct(likeness().alias("score"), (-F.col("line")).alias("line")))).alias("alike"),
     )
 
 
+def fuzzy_hits(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines scoring at least the threshold for quotes long enough to be evidence."""
+    return fuzzy_pairs(quotes, lines, keys).filter(resembles()).withColumn("score", likeness())
+
+
+def best_fuzzy(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Best fuzzy line per quote and file."""
+    found = best_lines(fuzzy_pairs(quotes, lines, keys), keys).filter(F.col("alike").isNotNull())
+    return found.select(*keys, "file", "qn", "alike.*").withColumn("exact", F.lit(False))
+
+
 def find_quotes(quotes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """One accepted line per quote and file.
 
     A single exact line is accepted at any length; several only for a quote long enough to be
     evidence (the first line wins); with no exact line the best fuzzy line is taken.
     """
-    exact = materialize(first_exact(quotes, lines, keys), "exact-quotes")
-    accepted = exact.filter((F.col("n_lines") == 1) | (F.col("qn") >= L.QUOTE_MIN_TOKENS)).drop("n_lines")
-    fuzzy = best_fuzzy(quotes, lines, keys).join(exact.select(*keys, "file"), [*keys, "file"], "left_anti")
-    return accepted.unionByName(fuzzy)
+    found = best_lines(matches(quotes, lines, keys, F.lit(True)), keys)
+    sure = (F.col("n_lines") == 1) | (F.col("qn") >= L.QUOTE_MIN_TOKENS)
+    taken = F.when(F.col("n_lines") == 0, F.col("alike")).when(sure, F.col("held"))
+    return found.withColumn("_t", taken).filter(F.col("_t").isNotNull()).select(*keys, "file", "qn", "_t.*", (F.col("n_lines") > 0).alias("exact"))
 
 
 # --- titles ------------------------------------------------------------------------
@@ -261,6 +274,36 @@ def head_remainder(head: Column, title: Column) -> Column:
     )
 
 
+def settled(quotes: DataFrame, files: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """``key, file, line, ord, from_tok, to_tok, exact`` of the lowest tier that finds any of an item's quotes.
+
+    Tier 0 is the labelled file, 1 an exact sweep over the item's ``files`` in order, 2 likeness inside the titled file
+    of an item without a label. Only the labelled or titled file is compared for likeness.
+    """
+    qk = [*key, "ord"]
+    known = F.coalesce("label_file", "title_file")
+    scoped = quotes.join(files, key).withColumn("likely", F.coalesce(F.col("file") == known, F.lit(False)))
+    found = matches(scoped.drop("quote"), lines, qk, F.col("likely"))
+    sides = ["label_file", "title_file", "place", "likely"]
+    per_file = best_lines(found, [*qk, *sides])
+    long = F.col("qn") >= L.QUOTE_MIN_TOKENS
+    total = F.sum("n_lines").over(Window.partitionBy(*qk))
+    labelled = F.coalesce(F.col("file") == F.col("label_file"), F.lit(False))
+    alike = (F.col("n_lines") == 0) & F.col("likely") & F.col("alike").isNotNull()
+    held = F.col("n_lines") > 0
+    tier = (
+        F.when(labelled & held & ((F.col("n_lines") == 1) | long), 0).when(labelled & alike, 0)
+        .when(held & ((F.col("total") == 1) | long), 1).when(alike & F.col("label_file").isNull(), 2)
+    )
+    rows = per_file.withColumn("total", total).withColumn("tier", tier).filter(F.col("tier").isNotNull())
+    rows = rows.withColumn("hit", F.when(F.col("n_lines") > 0, F.col("held")).otherwise(F.col("alike"))).withColumn("exact", held)
+    best = rows.groupBy(*key).agg(F.min(F.struct("tier", "place", "file")).alias("_w")).select(*key, "_w.tier", "_w.file")
+    return (
+        rows.join(best, [*key, "tier", "file"]).groupBy(*key, "file", "hit.line")
+        .agg(F.min_by(F.struct("ord", "hit.from_tok", "hit.to_tok", "exact"), "ord").alias("_h")).select(*key, "file", "line", "_h.*")
+    )
+
+
 def resolve_citations(items: DataFrame, labels: DataFrame, ranked: DataFrame, lines: DataFrame) -> DataFrame:
     """Which file and lines each cited item really points to.
 
@@ -286,51 +329,21 @@ def resolve_citations(items: DataFrame, labels: DataFrame, ranked: DataFrame, li
         "remainder", head_remainder(clean_head(F.col("item_text")), F.col("source_title"))
     )
     base = materialize(base, "cited-items")
-    # attempts: 0 = quotations, 1 = the whole item read as one quote
-    said = F.concat(
-        F.transform("quotes", lambda q, i: F.struct(F.lit(0).alias("attempt"), i.alias("ord"), q.alias("quote"))),
-        F.array(F.struct(F.lit(1).alias("attempt"), F.lit(0).alias("ord"), F.col("remainder").alias("quote"))),
-    )
-    quotes = prepare_quotes(
-        unroll(base, [*key, "label_file", "title_file"], said, "_i", "_q").select(*key, "label_file", "title_file", "_q.*")
-    )
     files = (
-        base.select(*key, "answer_id", F.explode(F.array_compact(F.array(
+        base.select(*key, F.explode(F.array_compact(F.array(
             F.when(F.col("label_file").isNotNull(), F.struct(F.col("label_file").alias("file"), F.lit(-2).cast("bigint").alias("place"))),
             F.when(F.col("title_file").isNotNull(), F.struct(F.col("title_file").alias("file"), F.lit(-1).cast("bigint").alias("place"))),
         ))).alias("_f")).select(*key, "_f.*")
         .unionByName(base.select(*key).join(ranked.select("answer_id", "file", F.col("rank").alias("place")), "answer_id").select(*key, "file", "place"))
         .groupBy(*key, "file").agg(F.min("place").alias("place"))
     )
-    qk = [*key, "attempt", "ord"]
-    scoped = quotes.join(files, key)
-    scoped = materialize(scoped, "cited-quotes")
-    exact = materialize(first_exact(scoped, lines, [*qk, "label_file", "title_file", "place"]), "cited-exact")
-    known = F.coalesce("label_file", "title_file")
-    fuzzy = best_fuzzy(scoped.filter(F.col("file") == known), lines, [*qk, "label_file", "title_file", "place"])
-    unmatched = fuzzy.join(exact.select(*qk, "file"), [*qk, "file"], "left_anti")
-    long = F.col("qn") >= L.QUOTE_MIN_TOKENS
-    total = F.sum("n_lines").over(Window.partitionBy(*qk))
-    swept = exact.withColumn("total", total)
-    in_label = F.col("file") == F.col("label_file")
-    cols = [*qk, "file", "line", "from_tok", "to_tok", "exact", "place", "tier"]
-    found = (
-        swept.filter(in_label & ((F.col("n_lines") == 1) | long)).withColumn("tier", F.lit(0)).select(*cols)
-        .unionByName(unmatched.filter(in_label).withColumn("tier", F.lit(0)).select(*cols))
-        .unionByName(swept.filter((F.col("total") == 1) | long).withColumn("tier", F.lit(1)).select(*cols))
-        .unionByName(
-            unmatched.filter(F.col("label_file").isNull() & (F.col("file") == F.col("title_file")))
-            .withColumn("tier", F.lit(2)).select(*cols)
-        )
-    )
-    best = found.groupBy(*key).agg(F.min(F.struct("attempt", "tier", "place", "file")).alias("_w")).select(
-        *key, "_w.attempt", "_w.tier", "_w.file"
-    )
-    chosen = (
-        found.join(best, [*key, "attempt", "tier", "file"])
-        .groupBy(*key, "file", "line").agg(F.min_by(F.struct("ord", "from_tok", "to_tok", "exact"), "ord").alias("_h"))
-        .select(*key, "file", "line", "_h.*")
-    )
+    sides = ["label_file", "title_file"]
+    # first the quotations; items that they settle are not tried again as a whole
+    said = F.transform("quotes", lambda q, i: F.struct(i.alias("ord"), q.alias("quote")))
+    first = settled(prepare_quotes(unroll(base, [*key, *sides], said, "_i", "_q").select(*key, *sides, "_q.*")), files, lines, key)
+    first = materialize(first, "settled")
+    rest = base.join(first.select(*key).distinct(), key, "left_anti").select(*key, *sides, F.lit(0).alias("ord"), F.col("remainder").alias("quote"))
+    chosen = first.unionByName(settled(prepare_quotes(rest), files, lines, key))
     text = lines.select("file", "line", "display", "section", "quoted", "table")
     hits = chosen.join(text, ["file", "line"]).withColumn(
         "quote", expand_quote("display", "from_tok", "to_tok", "quoted", "table")

@@ -42,7 +42,7 @@ exact AS (SELECT item_id, CAST(ord AS BIGINT) AS ord, qn, file, CAST(line AS BIG
 
 @query("find_exact", "J14", f"WITH {SQL_CITE} SELECT item_id, ord, file, line, from_tok, from_tok + qn - 1 AS to_tok FROM exact")
 def find_exact(t: Tables) -> DataFrame:
-    return Q.exact_hits(v_quotes(t), v_lines(t)).select("item_id", "ord", "file", "line", "from_tok", "to_tok")
+    return Q.exact_hits(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "from_tok", "to_tok")
 
 
 @query(
@@ -56,12 +56,12 @@ def find_exact(t: Tables) -> DataFrame:
     SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM o WHERE overlap >= 0.5""",
 )
 def bigram_overlap(t: Tables) -> DataFrame:
-    return Q.fuzzy_pairs(v_quotes(t), v_lines(t)).select("item_id", "ord", "file", "line", F.round("overlap", 6).alias("overlap"))
+    return Q.fuzzy_pairs(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("overlap", 6).alias("overlap"))
 
 
 @query("find_fuzzy", "J15")
 def find_fuzzy(t: Tables) -> DataFrame:
-    return Q.best_fuzzy(v_quotes(t), v_lines(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("score", 6).alias("score"))
+    return Q.best_fuzzy(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -5,9 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: Python workers import it by name,
+    wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}-core.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in package.rglob("*.py"):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def build_session(app: str = "corpuslane", master: str | None = None) -> SparkSession:
     """A session with the settings the jobs expect; cluster settings win."""
     builder = SparkSession.builder.appName(app)
@@ -70,6 +90,7 @@ class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 

@@ -94,8 +94,8 @@ def test_fuzzy_and_exact_equal_brute_force(spark):
         quotes.append((i, " ".join(cut)))
     qdf = Q.prepare_quotes(spark.createDataFrame(quotes, "qid int, quote string"))
     ldf = spark.createDataFrame(lines, "file string, line int, key string")
-    exact = {(r["qid"], r["file"], r["line"], r["from_tok"]) for r in Q.exact_hits(qdf, ldf).collect()}
-    fuzzy = {(r["qid"], r["line"]): (round(r["score"], 6), r["from_tok"], r["to_tok"]) for r in Q.fuzzy_hits(qdf, ldf).collect()}
+    exact = {(r["qid"], r["file"], r["line"], r["from_tok"]) for r in Q.exact_hits(qdf, ldf, ["qid"]).collect()}
+    fuzzy = {(r["qid"], r["line"]): (round(r["score"], 6), r["from_tok"], r["to_tok"]) for r in Q.fuzzy_hits(qdf, ldf, ["qid"]).collect()}
     want_exact, want_fuzzy = set(), {}
     for qid, q in quotes:
         qt = q.split()
