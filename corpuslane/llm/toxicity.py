@@ -9,8 +9,9 @@ then locate what offends.
 
 Evidence is found over all labelled rows in two passes: document counts of 2^20 hashed buckets by label
 leave the buckets that go with label 1, and features of those buckets are counted again by their 64-bit
-hashes. A feature is kept when the likelihood ratio of its counts reaches ``RATIO``; the model holds the
-``FEATURES`` strongest. Each step of the fit sums the gradient over all bags in Spark.
+hashes. A feature is kept when the likelihood ratio of its counts reaches ``RATIO`` and it multiplies the odds of label 1 by
+``ODDS`` (``BUCKET_ODDS`` for a bucket, where others share the count), so that common words of long documents are no
+evidence; the model holds the ``FEATURES`` strongest. Each step of the fit sums the gradient over all bags in Spark.
 
 Defined results: null and empty texts have no sentence and score ``leak``, as does every text without
 evidence. Sentences end at ``.``, ``!``, ``?`` or a line end; words are runs of letters, lower-cased. Rows whose
@@ -35,6 +36,7 @@ from corpuslane.llm.words import mix, pieces, signed
 BUCKETS = 1 << 20
 FEATURES = 1 << 16
 RATIO = 20.0
+ODDS, BUCKET_ODDS = 4.0, 2.0
 BEGINS = (3, 4, 5, 6)
 STEPS = 24
 RATE = 0.5
@@ -126,10 +128,11 @@ def _lower(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def likelihood_ratio(n: np.ndarray, ones: np.ndarray, total: int, total_ones: int) -> np.ndarray:
-    """G statistic of holding a feature against label 1, zero where it goes with label 0."""
+def evidence_of(n: np.ndarray, ones: np.ndarray, total: int, total_ones: int, odds: float) -> np.ndarray:
+    """Likelihood ratio (G) of holding a feature and label 1, from documents with it (``n``, of label 1 ``ones``) and all; zero
+    where holding it does not multiply the odds of label 1 by ``odds``."""
 
-    def term(seen: np.ndarray, among: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    def term(seen: np.ndarray, among: np.ndarray, rate: float) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(seen > 0, seen * np.log(seen / (among * rate)), 0.0)
 
@@ -137,7 +140,7 @@ def likelihood_ratio(n: np.ndarray, ones: np.ndarray, total: int, total_ones: in
     rate = total_ones / total
     rest, rest_ones = total - n, total_ones - ones
     g = 2 * (term(ones, n, rate) + term(n - ones, n, 1 - rate) + term(rest_ones, rest, rate) + term(rest - rest_ones, rest, 1 - rate))
-    return np.where(ones > n * rate, g, 0.0)
+    return np.where(ones * (total - total_ones) >= odds * (n - ones) * total_ones, g, 0.0)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -232,12 +235,12 @@ def train(rows: DataFrame, text: Column, label: Column) -> Model:
     if not total or total_ones in (0, total):
         return empty
     n, ones = _bucket_counts(labelled)
-    bags = stored(_bags(labelled, likelihood_ratio(n, ones, total, total_ones) >= RATIO), "bags")
+    bags = stored(_bags(labelled, evidence_of(n, ones, total, total_ones, BUCKET_ODDS) >= RATIO), "bags")
     counted = (
         bags.select("label", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("hash")
         .agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("ones"))
     )
-    ratio = F.arrow_udf(lambda n, k: pa.array(likelihood_ratio(np.asarray(n), np.asarray(k), total, total_ones)), returnType="double")
+    ratio = F.arrow_udf(lambda n, k: pa.array(evidence_of(np.asarray(n), np.asarray(k), total, total_ones, ODDS)), returnType="double")
     # at most FEATURES rows
     best = counted.select("hash", ratio("n", "ones").alias("g")).where(F.col("g") >= RATIO).orderBy(F.desc("g"), "hash").limit(FEATURES).toArrow()
     hashes = np.sort(best.column("hash").to_numpy())
