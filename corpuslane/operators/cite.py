@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 
@@ -189,30 +190,45 @@ def title_tokens(title: Column | str) -> Column:
     return F.transform(tokens(match_key(display_line(bare))), title_stem)
 
 
+def _leading(title: list[str], words: list[str]) -> tuple[int, int]:
+    """Length of the longest leading run of title words inside ``words``, and where it first stands; (0, -1) below the floor
+    of two words (one for a one-word title)."""
+    best, where = 0, -1
+    for at in [i for i, w in enumerate(words) if title and w == title[0]]:
+        k = 1
+        while k < len(title) and at + k < len(words) and words[at + k] == title[k]:
+            k += 1
+        if k > best:
+            best, where = k, at
+    return (best, where) if best >= min(2, len(title)) else (0, -1)
+
+
+@F.arrow_udf(T.LongType())
+def leading_run(titles: pa.Array, heads: pa.Array) -> pa.Array:
+    return pa.array([_leading(t, h)[0] or None for t, h in zip(titles.to_pylist(), heads.to_pylist())], pa.int64())
+
+
 def resolve_titles(heads: DataFrame, titles: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Titles named by each head: the longest leading run of title words inside it.
 
     ``heads(head_id, head)``, ``titles(file, title, rank)``; ``on`` scopes both sides by shared
-    columns. Two words are the floor (one for a one-word title). Candidates meet on that
-    floor run; longer runs are then checked within the pair.
+    columns. Two words are the floor (one for a one-word title). Candidates meet on the hash of
+    that floor run; words are read back for them only, and longer runs checked then.
     """
     on = on or []
-    t = titles.withColumn("_t", title_tokens("title")).filter(F.size("_t") > 0).withColumn(
-        "floor", F.when(F.size("_t") == 1, 1).otherwise(2)
-    ).withColumn("run", F.array_join(F.slice("_t", F.lit(1), F.col("floor")), " "))
-    h = heads.withColumn("_h", F.transform(tokens(match_key(display_line("head"))), title_stem))
-    h = h.withColumn("_padded", F.concat(F.lit(" "), F.array_join("_h", " "), F.lit(" ")))
-    h = h.withColumn("_runs", F.array_distinct(F.concat(F.col("_h"), bigrams("_h"))))
-    hr = unroll(h, [c for c in h.columns if c != "_runs"], "_runs", "_i", "run").drop("_i")
-    right = t
-    pairs = hr.join(right, [*on, "run"])
-    lengths = F.filter(
-        F.sequence("floor", F.size("_t")),
-        lambda k: F.contains("_padded", F.concat(F.lit(" "), F.array_join(F.slice("_t", F.lit(1), k), " "), F.lit(" "))),
-    )
-    return pairs.withColumn("length", F.array_max(lengths).cast("bigint")).filter(F.col("length").isNotNull()).drop(
-        "_t", "_h", "_padded", "run", "floor"
+    ids = [c for c in heads.columns if c != "head"]
+    own = [c for c in titles.columns if c not in on]
+    floor = F.when(F.size("_t") == 1, F.xxhash64(F.get("_t", F.lit(0)))).otherwise(F.xxhash64(F.get("_t", F.lit(0)), F.get("_t", F.lit(1))))
+    t = titles.withColumn("_t", title_tokens("title")).filter(F.size("_t") > 0).withColumn("handle", floor)
+    words = heads.select(*ids, F.transform(tokens(match_key(display_line("head"))), title_stem).alias("_h"))
+    words = materialize(words, "head-words")
+    held = F.concat(
+        F.when(F.size("_h") > 1, handles(F.col("_h"), False)).otherwise(F.array().cast("array<bigint>")),
+        F.array_distinct(F.transform("_h", lambda w: F.xxhash64(w))),
     )
+    met = unroll(words, ids, held, "_i", "handle").drop("_i").join(t, [*on, "handle"]).select(*ids, *own, "_t")
+    pairs = met.join(words, ids).withColumn("length", leading_run("_t", "_h"))
+    return pairs.filter(F.col("length").isNotNull()).drop("_t", "_h")
 
 
 def best_title(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -247,28 +263,29 @@ def expand_quote(display: Column | str, from_tok: Column | str, to_tok: Column |
 # --- resolution -------------------------------------------------------------------------
 
 
+_WORD = re.compile("[^\\W_](?:[“”‘’\"']*[^\\W_])*[“”‘’\"']*")
+_QUOTATION = str.maketrans("", "", "“”‘’\"'")
+
+
+@F.arrow_udf(T.StringType())
+def after_title(heads: pa.Array, titles: pa.Array) -> pa.Array:
+    """What stands behind the longest leading run of a title's words in each head, or the whole head."""
+    out = []
+    for head, title in zip(heads.to_pylist(), titles.to_pylist()):
+        if head is not None and title:
+            found = list(_WORD.finditer(head))
+            words = [m[0].lower().translate(_QUOTATION) for m in found]
+            words = [w[:-1] if len(w) >= 4 and w.endswith("s") else w for w in words]
+            size, at = _leading(title, words)
+            head = head[found[at + size - 1].end() :] if size else head
+        out.append(head)
+    return pa.array(out, pa.string())
+
+
 def head_remainder(head: Column, title: Column) -> Column:
     """What is left of an item head after the title words it names."""
     rest = sub(head, rf"^{L.WS}*[0-9]{{1,2}}[.)]{L.WS}*")
-
-    def cut(x: Column) -> Column:
-        toks, t = spans(x["rest"], TOKEN), x["title"]
-        words = F.transform(toks, lambda s: title_stem(match_key(s["text"])))
-        padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        floor = F.when(F.size(t) == 1, 1).otherwise(2)
-        best = F.array_max(
-            F.filter(
-                F.when(F.size(t) >= floor, F.sequence(floor, F.size(t))).otherwise(F.array().cast("array<int>")),
-                lambda k: F.contains(padded, F.concat(F.lit(" "), F.array_join(F.slice(t, F.lit(1), k), " "), F.lit(" "))),
-            )
-        )
-        run = F.concat(F.lit(" "), F.array_join(F.slice(t, F.lit(1), best), " "), F.lit(" "))
-        before = F.substr(padded, F.lit(1), F.instr(padded, run))
-        first = F.char_length(before) - F.char_length(F.replace(before, F.lit(" "), F.lit(""))) - 1
-        last = F.get(toks, first + best - 1)
-        return F.when(best.isNull(), x["rest"]).otherwise(F.substr(x["rest"], last["end"] + 1))
-
-    kept = bind(F.struct(rest.alias("rest"), F.coalesce(title, F.array().cast("array<string>")).alias("title")), cut)
+    kept = after_title(rest, title)
     return ws_trim(
         chain(kept, (r"[\s,;:—–-]+$", ""), (r"^[\s,;:—–.-]+", ""), (rf"^{L.WS}*[0-9]{{1,2}}[.)]{L.WS}*", ""))
     )
