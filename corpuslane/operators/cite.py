@@ -241,14 +241,20 @@ def best_title(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 def expand_quote(display: Column | str, from_tok: Column | str, to_tok: Column | str, quoted: Column | str, table: Column | str) -> Column:
     """The quotation shown for a hit: the whole line, or the sentences it covers, capped at a word."""
+    def covered(d: Column) -> Column:
+        """First and last character of the tokens."""
+        return bind(spans(d, TOKEN), lambda toks: F.struct(
+            F.coalesce(F.get(toks, col(from_tok).cast("int"))["start"], F.lit(0)).alias("start"),
+            F.greatest(F.coalesce(F.get(toks, col(to_tok).cast("int"))["end"], F.char_length(d)) - 1, F.lit(0)).alias("end"),
+        ))
+
+    def sentences(x: Column) -> Column:
+        open_at = F.coalesce(F.array_max(F.transform(F.filter(x["breaks"], lambda b: b["end"] <= x["at"]["start"]), lambda b: b["end"])), F.lit(0))
+        close_at = F.coalesce(F.array_min(F.transform(F.filter(x["breaks"], lambda b: b["start"] > x["at"]["end"]), lambda b: b["start"])), F.char_length(x["d"]))
+        return bind(F.struct(open_at.alias("a"), close_at.alias("b")), lambda y: ws_trim(F.substr(x["d"], y["a"] + 1, y["b"] - y["a"])))
+
     def run(d: Column) -> Column:
-        toks = spans(d, TOKEN)
-        start = F.coalesce(F.get(toks, col(from_tok).cast("int"))["start"], F.lit(0))
-        end = F.greatest(F.coalesce(F.get(toks, col(to_tok).cast("int"))["end"], F.char_length(d)) - 1, F.lit(0))
-        breaks = spans(d, SENTENCE_BREAK)
-        open_at = F.coalesce(F.array_max(F.transform(F.filter(breaks, lambda b: b["end"] <= start), lambda b: b["end"])), F.lit(0))
-        close_at = F.coalesce(F.array_min(F.transform(F.filter(breaks, lambda b: b["start"] > end), lambda b: b["start"])), F.char_length(d))
-        return ws_trim(F.substr(d, open_at + 1, close_at - open_at))
+        return bind(F.struct(d.alias("d"), covered(d).alias("at"), spans(d, SENTENCE_BREAK).alias("breaks")), sentences)
 
     def cap(s: Column) -> Column:
         cut = F.left(s, F.lit(L.QUOTE_MAX_CHARS - 1))

@@ -31,7 +31,7 @@ def v_quotes(t: Tables) -> DataFrame:
     return Q.prepare_quotes(q.withColumn("ord", F.col("ord").cast("bigint")))
 
 
-SQL_CITE = rf"""dl AS (SELECT file, line, key, display FROM (SELECT *, {sql_key('display')} AS key FROM (SELECT *, {sql_display('raw')} AS display FROM (
+SQL_CITE = rf"""dl AS (SELECT file, line, key, display, raw FROM (SELECT *, {sql_key('display')} AS key FROM (SELECT *, {sql_display('raw')} AS display FROM (
     SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))) WHERE key <> ''),
 qs AS (SELECT item_id, ord, key AS qkey, len(string_split(key, ' ')) AS qn FROM (SELECT *, {sql_key('display')} AS key FROM (SELECT *, {sql_display('raw')} AS display FROM (
     SELECT item_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM benchmark))) WHERE key <> ''),
@@ -40,6 +40,45 @@ exact AS (SELECT item_id, CAST(ord AS BIGINT) AS ord, qn, file, CAST(line AS BIG
           FROM qs JOIN dl ON contains(' ' || key || ' ', ' ' || qkey || ' '))"""
 
 
+SQL_PAIRS = rf"""{SQL_CITE},
+    qb AS (SELECT item_id, ord, qn, qkey, list_transform(range(1, qn), lambda i: string_split(qkey, ' ')[i] || ' ' || string_split(qkey, ' ')[i + 1]) AS b FROM qs WHERE qn >= 8),
+    qe AS (SELECT item_id, ord, len(b) AS n, unnest(b) AS bg FROM qb),
+    qc AS (SELECT item_id, ord, n, bg, count(*) AS m FROM qe GROUP BY 1, 2, 3, 4),
+    lb AS (SELECT DISTINCT file, line, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM (SELECT file, line, string_split(key, ' ') AS w FROM dl)),
+    o AS (SELECT item_id, ord, file, line, sum(m) / max(n) AS overlap FROM qc JOIN lb USING (bg) GROUP BY 1, 2, 3, 4 HAVING sum(m) / max(n) >= 0.5)"""
+
+# the greedy coverage of a quote, one of its words a step
+SQL_FUZZY = rf"""{SQL_PAIRS},
+    fold AS (SELECT item_id, ord, file, line, overlap, string_split(qkey, ' ') AS q, string_split(key, ' ') AS l, 0 AS i, 0 AS cur, 0 AS cov, -1 AS frm, -1 AS til
+             FROM o JOIN qb USING (item_id, ord) JOIN dl USING (file, line)
+             UNION ALL
+             SELECT item_id, ord, file, line, overlap, q, l, i + 1, cur + p, cov + CASE WHEN p > 0 THEN 1 ELSE 0 END,
+                    CASE WHEN p > 0 AND frm < 0 THEN cur + p - 1 ELSE frm END, CASE WHEN p > 0 THEN cur + p - 1 ELSE til END
+             FROM (SELECT *, coalesce(list_position(l[cur + 1:], q[i + 1]), 0) AS p FROM fold WHERE i < len(q))),
+    fz AS (SELECT * FROM (SELECT item_id, ord, file, line, frm, til, 0.5 * cov / len(q) + 0.5 * overlap AS score, len(q) AS qn FROM fold WHERE i = len(q))
+           WHERE frm >= 0 AND til - frm + 1 <= 2 * qn AND score >= 0.75),
+    bz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, ord, file ORDER BY score DESC, line) AS r FROM fz) WHERE r = 1),
+    g AS (SELECT item_id, ord, file, max(qn) AS qn, count(*) AS n, min(line) AS line, arg_min(from_tok, line) AS frm FROM exact GROUP BY 1, 2, 3),
+    found AS (SELECT item_id, ord, file, line, frm, frm + qn - 1 AS til, true AS exact, 1.0 AS score FROM g WHERE n = 1 OR qn >= 8
+              UNION ALL SELECT item_id, ord, file, line, frm, til, false, score FROM bz WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.item_id = bz.item_id AND g.ord = bz.ord AND g.file = bz.file))"""
+
+
+def sql_shown(line: str) -> str:
+    """DuckDB CTEs ``shown(<columns of line>, quote)``: the quotation of tokens ``frm`` to ``til`` of each row of ``line``,
+    which has ``display`` and ``raw``."""
+    token, stop = """[\\p{L}\\p{N}](?:[“”‘’"'']*[\\p{L}\\p{N}])*[“”‘’"'']*""", """[.!?]\\s+[A-Z“"(]"""
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+    return f"""cut AS (SELECT *, regexp_split_to_array(display, '{token}') AS gaps, regexp_extract_all(display, '{token}') AS toks,
+        regexp_split_to_array(display, '{stop}') AS parts, regexp_extract_all(display, '{stop}') AS stops FROM {line}),
+    spot AS (SELECT *, {size('gaps[:frm + 1]')} + {size('toks[:frm]')} AS b, {size('gaps[:til + 1]')} + {size('toks[:til + 1]')} - 1 AS l,
+        list_transform(range(1, len(stops) + 1), lambda i: [{size('parts[:i]')} + {size('stops[:i - 1]')} + 1, {size('parts[:i]')} + {size('stops[:i]')} - 1]) AS k FROM cut),
+    said AS (SELECT *, CASE WHEN NOT regexp_matches(raw, '^[ \\t]*>') AND NOT regexp_matches(raw, '^[ \\t]*\\|.*\\|[ \\t]*$') AND length(display) <= 420 THEN display
+        ELSE trim(display[CAST(coalesce(list_max(list_transform(list_filter(k, lambda x: x[2] <= b), lambda x: x[2])), 0) + 1 AS BIGINT) :
+                          CAST(coalesce(list_min(list_transform(list_filter(k, lambda x: x[1] > l), lambda x: x[1])), length(display)) AS BIGINT)]) END AS s FROM spot),
+    shown AS (SELECT * EXCLUDE (gaps, toks, parts, stops, b, l, k, s), regexp_replace(CASE WHEN length(s) <= 420 THEN s
+        ELSE rtrim(CASE WHEN contains(left(s, 419), ' ') THEN regexp_replace(left(s, 419), ' [^ ]*$', '') ELSE left(s, 419) END) || '…' END, '["“”]', '''', 'g') AS quote FROM said)"""
+
+
 @query("find_exact", "J14", f"WITH {SQL_CITE} SELECT item_id, ord, file, line, from_tok, from_tok + qn - 1 AS to_tok FROM exact")
 def find_exact(t: Tables) -> DataFrame:
     return Q.exact_hits(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "from_tok", "to_tok")
@@ -47,19 +86,14 @@ def find_exact(t: Tables) -> DataFrame:
 
 @query(
     "bigram_overlap", "J15",
-    f"""WITH {SQL_CITE},
-    qb AS (SELECT item_id, ord, list_transform(range(1, qn), lambda i: string_split(qkey, ' ')[i] || ' ' || string_split(qkey, ' ')[i + 1]) AS b FROM qs WHERE qn >= 8),
-    qe AS (SELECT item_id, ord, len(b) AS n, unnest(b) AS bg FROM qb),
-    qc AS (SELECT item_id, ord, n, bg, count(*) AS m FROM qe GROUP BY 1, 2, 3, 4),
-    lb AS (SELECT DISTINCT file, line, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM (SELECT file, line, string_split(key, ' ') AS w FROM dl)),
-    o AS (SELECT item_id, ord, file, line, sum(m) / max(n) AS overlap FROM qc JOIN lb USING (bg) GROUP BY 1, 2, 3, 4)
-    SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM o WHERE overlap >= 0.5""",
+    f"""WITH {SQL_PAIRS}
+    SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, round(CAST(overlap AS DOUBLE), 6) AS overlap FROM o""",
 )
 def bigram_overlap(t: Tables) -> DataFrame:
     return Q.fuzzy_pairs(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("overlap", 6).alias("overlap"))
 
 
-@query("find_fuzzy", "J15")
+@query("find_fuzzy", "J15", f"WITH RECURSIVE {SQL_FUZZY} SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, round(CAST(score AS DOUBLE), 6) AS score FROM bz")
 def find_fuzzy(t: Tables) -> DataFrame:
     return Q.best_fuzzy(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", F.round("score", 6).alias("score"))
 
@@ -74,12 +108,19 @@ def find_quotes_exact(t: Tables) -> DataFrame:
     return found.filter("exact").select("item_id", "ord", "file", "line")
 
 
-@query("find_quotes", "J16")
+@query(
+    "find_quotes", "J16",
+    f"WITH RECURSIVE {SQL_FUZZY} SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, exact, round(CAST(score AS DOUBLE), 6) AS score FROM found",
+)
 def find_quotes(t: Tables) -> DataFrame:
     return Q.find_quotes(v_quotes(t), v_line_table(t), ["item_id", "ord"]).select("item_id", "ord", "file", "line", "exact", F.round("score", 6).alias("score"))
 
 
-@query("expand_quotes", "W16")
+@query(
+    "expand_quotes", "W16",
+    f"""WITH RECURSIVE {SQL_FUZZY}, hit AS (SELECT * FROM found JOIN dl USING (file, line)), {sql_shown('hit')}
+    SELECT item_id, CAST(ord AS BIGINT) AS ord, file, CAST(line AS BIGINT) AS line, quote FROM shown""",
+)
 def expand_quotes(t: Tables) -> DataFrame:
     lines = v_line_table(t)
     hits = Q.find_quotes(v_quotes(t), lines, ["item_id", "ord"])
