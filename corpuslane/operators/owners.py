@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import chain, col, one_line, owner_word_rows, owner_words, sub, unroll, ws_trim
+from corpuslane.session import materialize
 
 
 def owner_lines(people: DataFrame) -> DataFrame:
@@ -57,15 +58,25 @@ def message_words(messages: DataFrame) -> DataFrame:
     return _words(messages, ["msg_id"], "text")
 
 
-def match_owners(mwords: DataFrame, entries: DataFrame, weights: DataFrame) -> DataFrame:
-    """Summed weight of the words a message shares with each entry.
+def match_owners(mwords: DataFrame, entries: DataFrame, weights: DataFrame, floor: float | None = None) -> DataFrame:
+    """Summed weight of the words a message shares with each entry; with a ``floor``, only sums that reach it.
 
-    The directory side is the small one and is broadcast behind a size check; a message word
-    held by many messages then never meets in one task.
+    With a floor, a pair is opened at a message's heavy words only: its words fall by the most that any entry can
+    give for them, and a word opens pairs as long as it and all lighter ones together reach the floor. Opened pairs
+    are then summed over all words. Redirects add to sums below the floor, so they need all of them (no floor).
     """
     index = entries.groupBy("word", "person").agg(F.count("*").alias("times")).join(weights, "word")
     index = index.select("word", "person", (F.col("times") * F.col("weight")).alias("w"))
-    return mwords.join(index, "word").groupBy("msg_id", "person").agg(F.sum("w").alias("score"))
+    if floor is None:
+        return mwords.join(index, "word").groupBy("msg_id", "person").agg(F.sum("w").alias("score"))
+    index = materialize(index, "owner-index")
+    most = index.groupBy("word").agg(F.max("w").alias("most"))
+    lightest = Window.partitionBy("msg_id").orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0)
+    heard = materialize(mwords.join(most, "word").withColumn("reach", F.sum("most").over(lightest)), "heard")
+    opened = heard.filter(F.col("reach") >= floor - 1e-6).select("msg_id", "word").join(index.select("word", "person"), "word")
+    opened = opened.select("msg_id", "person").distinct()
+    summed = opened.join(heard.select("msg_id", "word"), "msg_id").join(index, ["word", "person"])
+    return summed.groupBy("msg_id", "person").agg(F.sum("w").alias("score")).filter(F.round("score", 9) >= floor)
 
 
 def normalized_name(c: Column | str) -> Column:
@@ -153,18 +164,32 @@ def pick_owners(scores: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def best_reason(mwords: DataFrame, picks: DataFrame, people: DataFrame, lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """Best matching line of each picked owner; a responsibility line wins a tie with a clause."""
+    """Best matching line of each picked owner; a responsibility line wins a tie with a clause.
+
+    The owner's line with most words gives a score that the best line must reach. Words are then taken from the
+    owner's rarest on, and open lines as long as they and all commoner ones together can still reach it; only
+    opened lines are summed over all words. So a common word, which is in most lines, opens none.
+    """
     names = _words(people, [], "name")
-    words = _words(lines, ["person", "line_no", "route"], "line").join(names, "word", "left_anti").join(weights, "word")
-    # only words of picked messages meet lines, and only of the picked owners
-    wanted = picks.select("msg_id", "person").join(mwords, "msg_id")
+    heard = picks.select("msg_id", "person").join(mwords, "msg_id").join(names, "word", "left_anti").join(weights.select("word", "weight"), "word")
+    heard = materialize(heard.select("msg_id", "person", "word", "weight"), "heard")
+    asked = heard.select("person", "word").distinct()
+    held = materialize(_words(lines, ["person", "line_no", "route"], "line").join(asked, ["person", "word"], "left_semi"), "held")
+    longest = held.groupBy("person", "line_no").agg(F.count("*").alias("n")).groupBy("person").agg(F.max_by("line_no", F.struct("n", "line_no")).alias("line_no"))
+    first = held.join(longest, ["person", "line_no"]).select("person", "word").distinct()
+    least = heard.join(first, ["person", "word"]).groupBy("msg_id", "person").agg(F.sum("weight").alias("least"))
+    rare = held.groupBy("person", "word").agg(F.count("*").alias("n"))
+    commoner = Window.partitionBy("msg_id", "person").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = heard.join(rare, ["person", "word"]).withColumn("reach", F.sum("weight").over(commoner))
+    opening = ranked.join(least, ["msg_id", "person"], "left").filter(F.col("reach") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
+    opened = opening.select("msg_id", "person", "word").join(held, ["person", "word"]).select("msg_id", "person", "line_no", "route").distinct()
+    summed = opened.join(heard, ["msg_id", "person"]).join(held.select("person", "line_no", "route", "word"), ["person", "line_no", "route", "word"])
     return (
-        wanted.join(words, ["person", "word"])
-        .groupBy("msg_id", "person", "line_no", "route").agg(F.round(F.sum("weight"), 9).alias("score"))
+        summed.groupBy("msg_id", "person", "line_no", "route").agg(F.round(F.sum("weight"), 9).alias("score"))
         .groupBy("msg_id", "person")
         .agg(F.max_by(F.struct("line_no", "route", "score"), F.struct("score", ~F.col("route"), -F.col("line_no"))).alias("b"))
         .select("msg_id", "person", "b.line_no", "b.route", "b.score")
-    )
+    )
 
 
 def render_person(name: Column, title: Column, department: Column, owns: Column, systems: Column, scope: Column, backup: Column, escalates: Column, reach: Column) -> Column:

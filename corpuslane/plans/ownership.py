@@ -86,16 +86,16 @@ def word_weights(t: Tables) -> DataFrame:
     return v_index(t)[2].select("word", "df", F.round("weight", 6).alias("weight"))
 
 
-@query("match_owners", "J6", f"WITH {SQL_OWNERS} SELECT msg_id, person, round(CAST(score AS DOUBLE), 6) AS score FROM base")
+@query("match_owners", "J6", f"WITH {SQL_OWNERS} SELECT msg_id, person, round(CAST(score AS DOUBLE), 6) AS score FROM base WHERE round(score, 9) >= 0.8")
 def match_owners(t: Tables) -> DataFrame:
     _, entries, weights, mwords = v_index(t)
-    return O.match_owners(mwords, entries, weights).select("msg_id", "person", F.round("score", 6).alias("score"))
+    return O.match_owners(mwords, entries, weights, L.OWNER_MIN_SCORE).select("msg_id", "person", F.round("score", 6).alias("score"))
 
 
 @query("pick_owners", "W14", f"WITH {SQL_OWNERS} SELECT msg_id, person, place, round(CAST(score AS DOUBLE), 6) AS score FROM picked")
 def pick_owners(t: Tables) -> DataFrame:
     people, entries, weights, mwords = v_index(t)
-    picks = O.pick_owners(O.match_owners(mwords, entries, weights), people)
+    picks = O.pick_owners(O.match_owners(mwords, entries, weights, L.OWNER_MIN_SCORE), people)
     return picks.select("msg_id", "person", "place", F.round("score", 6).alias("score"))
 
 
@@ -107,7 +107,7 @@ def pick_owners(t: Tables) -> DataFrame:
 )
 def best_reason(t: Tables) -> DataFrame:
     people, entries, weights, mwords = v_index(t)
-    picks = O.pick_owners(O.match_owners(mwords, entries, weights), people)
+    picks = O.pick_owners(O.match_owners(mwords, entries, weights, L.OWNER_MIN_SCORE), people)
     return O.best_reason(mwords, picks, people, v_owner_lines(t), weights).select("msg_id", "person", "line_no", "route", F.round("score", 6).alias("score"))
 
 
