@@ -214,24 +214,33 @@ def render_person(name: Column, title: Column, department: Column, owns: Column,
 def directory_asof(answers: DataFrame, snapshots: DataFrame, key: str, ttl_seconds: int = L.DIRECTORY_TTL_SECONDS) -> DataFrame:
     """Latest good snapshot at or before each answer, and whether it had gone stale.
 
-    Both sides are cut into minutes. Within a minute the last snapshot so far comes from a
-    window over that minute's rows; before the first one, the carry from earlier minutes
-    applies. The carry is computed on one row per minute, never on the events themselves.
+    Snapshots are cut into days of at most 1,440 minutes, minutes of at most 60 seconds, and seconds of distinct times.
+    An answer looks for the last time at or before it in the row of its second, else the last second before it in
+    its minute, else the last minute in its day, else the last day before. Answers are never ordered and meet
+    unique rows only, so a busy minute may be split over tasks.
     """
-    rows = answers.select(key, F.col("asked_at").alias("at"), F.lit(None).cast("timestamp_ntz").alias("taken")).unionByName(
-        snapshots.select(F.lit(None).cast(answers.schema[key].dataType).alias(key), F.col("taken_at").alias("at"), F.col("taken_at").alias("taken"))
-    ).withColumn("minute", F.date_trunc("minute", "at"))
-    within = Window.partitionBy("minute").orderBy("at", F.col("taken").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("here", F.last("taken", ignorenulls=True).over(within))
-    minutes = rows.groupBy("minute").agg(F.max("taken").alias("last_at")).withColumn("day", F.date_trunc("day", "minute"))
-    by_day = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
-    days = minutes.groupBy("day").agg(F.max("last_at").alias("day_last"))
+    at, taken = F.col("at"), F.col("taken")
+    cut = lambda c, unit: F.date_trunc(unit, c).cast("timestamp_ntz")
+    times = snapshots.select(F.col("taken_at").alias("taken")).filter(taken.isNotNull()).distinct()
+    second = times.groupBy(cut(taken, "second").alias("second")).agg(F.array_sort(F.collect_list("taken")).alias("in_second"), F.max("taken").alias("last"))
+    second = materialize(second, "seconds")
+    minute = second.groupBy(cut(F.col("second"), "minute").alias("minute")).agg(F.array_sort(F.collect_list("last")).alias("in_minute"), F.max("last").alias("last"))
+    day = minute.groupBy(cut(F.col("minute"), "day").alias("day")).agg(F.array_sort(F.collect_list("last")).alias("in_day"), F.max("last").alias("last"))
+    asked = answers.select(key, F.col("asked_at").alias("at"))
+    asked = asked.withColumns({unit: cut(at, unit) for unit in ("second", "minute", "day")})
     # one row per calendar day meets in this window
-    earlier = days.select("day", F.last("day_last", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("day_carry"))
-    carry = minutes.join(F.broadcast(earlier), "day").select(
-        "minute", F.coalesce(F.last("last_at", ignorenulls=True).over(by_day), "day_carry").alias("carry")
+    days = day.join(asked.select("day").distinct(), "day", "full_outer").withColumn(
+        "before", F.last("last", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     )
-    found = seen.filter(F.col(key).isNotNull()).join(carry, "minute").withColumn("snapshot_at", F.coalesce("here", "carry"))
+    found = (
+        asked.join(second.select("second", "in_second"), "second", "left").join(minute.select("minute", "in_minute"), "minute", "left")
+        .join(days.select("day", "in_day", "before"), "day", "left")
+    )
+    latest = lambda c, limit: F.array_max(F.filter(c, lambda x: limit(x)))
+    found = found.withColumn("snapshot_at", F.coalesce(
+        latest("in_second", lambda x: x <= F.col("at")), latest("in_minute", lambda x: x < F.col("second")),
+        latest("in_day", lambda x: x < F.col("minute")), "before",
+    ))
     return found.select(
         key, F.col("at").alias("asked_at"), "snapshot_at",
         (F.col("snapshot_at") < F.col("at") - F.expr(f"INTERVAL {ttl_seconds} SECONDS")).alias("stale"),

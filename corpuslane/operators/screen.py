@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import bind, col, find_all, one_line, spans, sub, unroll, ws_trim
+from corpuslane.functions.text import bind, col, find_all, longest, one_line, spans, sub, unroll, ws_trim
 
 # Cheap tests every match must pass: they run before the costly patterns.
 PHONE_GATE = "[0-9]{4}"
@@ -108,18 +108,44 @@ def redact_blocked(df: DataFrame, text: str, role: str) -> DataFrame:
     )
 
 
+PERSON = "<person>"
+GRAM = 3
+
+
+def names_met(df: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """``_text, _names``: by hash of a text, the names that stand in it, longest first.
+
+    A name's longest blank-free piece lies inside one blank-free word of a text. Pieces meet the distinct words of all
+    texts on their first three characters, words meet texts, and only hashes and words travel. Hashes of
+    different texts may agree: that adds names which the text does not hold, and replaces nothing.
+    """
+    piece = longest(F.filter(F.split("name", rf"{L.WS}+", -1), lambda x: x != ""))
+    anchors = names.filter(F.col("name") != "").select("name").distinct().withColumn("piece", piece).filter(F.col("piece").isNotNull())
+    anchors = anchors.withColumn("size", F.least(F.char_length("piece"), F.lit(GRAM))).withColumn("gram", F.substr("piece", F.lit(1), F.col("size")))
+    words = F.array_distinct(F.split(F.col(text), rf"{L.WS}+", -1))
+    held = unroll(df.filter(F.col(text).isNotNull()), [F.xxhash64(text).alias("_text")], words, "_i", "word").drop("_i").filter(F.col("word") != "")
+    # at most three sizes
+    sizes = anchors.select("size").distinct()
+    places = held.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("at"))
+    grams = places.join(F.broadcast(sizes)).withColumn("gram", F.substr("word", F.col("at"), F.col("size")))
+    named = grams.join(anchors.drop("size"), "gram").filter(F.contains("word", "piece")).select("word", "name").distinct()
+    longer = F.struct((-F.char_length("name")).alias("n"), "name")
+    return held.join(named, "word").groupBy("_text").agg(F.transform(F.array_sort(F.collect_set(longer)), lambda x: x["name"]).alias("_names"))
+
+
 def redact_names(df: DataFrame, names: DataFrame, text: str) -> DataFrame:
-    """Replace every directory name, longest first, case-sensitive.
+    """Replace every directory name, longest first, case-sensitive, also inside longer words.
 
-    The names of a directory are one sorted array, folded over each text in one expression.
+    Each text is folded over the names that were met in it, and over those few that stand inside the
+    replacement itself, which later names may cut again.
     """
-    dictionary = names.filter(F.col("name") != "").select("name").distinct().agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.char_length("name")).alias("n"), "name"))), lambda x: x["name"]
-        ).alias("_names")
-    )
-    redacted = F.aggregate("_names", F.col(text), lambda acc, n: F.replace(acc, n, F.lit("<person>")))
-    return df.join(dictionary).withColumn(text, redacted).drop("_names")
+    inner = names.filter((F.col("name") != "") & F.contains(F.lit(PERSON), F.col("name"))).select("name").distinct().agg(F.collect_set("name").alias("_inner"))
+    met = names_met(df, names, text).join(F.broadcast(inner))
+    order = F.transform(F.array_union("_names", "_inner"), lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("name")))
+    met = met.select("_text", F.transform(F.array_sort(order), lambda x: x["name"]).alias("_names"))
+    redacted = F.aggregate("_names", F.col(text), lambda acc, n: F.replace(acc, n, F.lit(PERSON)))
+    joined = df.withColumn("_text", F.xxhash64(text)).join(met, "_text", "left")
+    return joined.withColumn(text, F.when(F.col("_names").isNull(), F.col(text)).otherwise(redacted)).drop("_names", "_text")
 
 
 def staff_names(people: DataFrame) -> DataFrame:
