@@ -95,18 +95,19 @@ def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX_RESULTS) -> DataFrame:
-    """BM25 over an inverted index restricted to the words the queries use.
+LEVELS_A_UNIT = 64
+#: Bounds are compared with room for rounding.
+SLACK = 1e-5
 
-    ``queries(query_id, query)``, ``chunks(chunk_id, text)``. In ``and`` mode a chunk must
-    hold every distinct query word. Postings are counted map-side, so only
-    (chunk, query word, count) rows are shuffled.
-    """
-    terms = (
-        queries.select("query_id", F.array_distinct(words_of("query")).alias("words"))
-        .select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    )
-    terms = terms
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, n_words, word`` of each distinct word of a query."""
+    words = queries.select("query_id", F.array_distinct(words_of("query")).alias("words"))
+    return words.select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
+
+
+def contributions(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk_id, word, w``: what each word of the queries adds to the BM25 score of each chunk that holds it."""
     # every chunk also lists the empty word once, so sizes come out of the same single pass
     vocabulary = terms.select("word").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word")))
     sized = chunks.select("chunk_id", words_of("text").alias("words"))
@@ -127,11 +128,57 @@ def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX
         F.col("idf") * F.col("tf") * (BM25_K1 + 1)
         / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
     )
-    scored = (
-        postings.join(idf, "word")
-        .join(terms, "word")
-        .groupBy("query_id", "chunk_id", "n_words")
-        .agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("hit"))
+    return postings.join(idf, "word").select("chunk_id", "word", weight.alias("w"))
+
+
+def opening_words(terms: DataFrame, adds: DataFrame, mode: str, n: int) -> DataFrame:
+    """``terms`` with ``open``, whether a word brings chunks in, and ``rest``, the most that a query's other words add together.
+
+    ``and``: the rarest word opens, since every hit holds it. ``or``: a word's ``n``-th largest contribution, read off a histogram
+    from below, is a score that the ``n``-th best hit reaches at least. Words by their largest contribution, smallest
+    first, cannot reach it together until the running sum does; chunks that hold only those are out.
+    """
+    query = Window.partitionBy("query_id")
+    if mode == "and":
+        held = terms.join(adds.groupBy("word").agg(F.count("*").alias("df"), F.max("w").alias("most")), "word", "left")
+        held = held.withColumn("rank", F.row_number().over(query.orderBy(F.coalesce("df", F.lit(0)), "word")))
+        marked = held.withColumn("open", F.col("rank") == 1)
+    else:
+        level = F.floor(F.col("w") * LEVELS_A_UNIT)
+        # a contribution is at most idf times a constant, so a word has few levels
+        counts = adds.groupBy("word", level.alias("level")).agg(F.count("*").alias("m"), F.max("w").alias("most"))
+        counts = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("word").orderBy(F.desc("level"))))
+        words = counts.groupBy("word").agg(F.max("most").alias("most"), F.max(F.when(F.col("upto") >= n, F.col("level"))).alias("nth"))
+        held = terms.join(words, "word").withColumn("least", F.max(F.coalesce(F.col("nth") / LEVELS_A_UNIT, F.lit(0.0))).over(query))
+        reach = F.sum("most").over(query.orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0))
+        marked = held.withColumn("open", reach >= F.col("least") - SLACK)
+    rest = F.sum(F.when(~F.col("open"), F.coalesce("most", F.lit(0.0))).otherwise(0.0)).over(query)
+    return marked.withColumn("rest", rest).select("query_id", "n_words", "word", "open", "rest")
+
+
+def keyword_leg(queries: DataFrame, chunks: DataFrame, mode: str, n: int = L.MAX_RESULTS) -> DataFrame:
+    """BM25 over an inverted index restricted to the words the queries use.
+
+    ``queries(query_id, query)``, ``chunks(chunk_id, text)``. In ``and`` mode a chunk must
+    hold every distinct query word. Only the opening words of a query are joined to their lists. The chunks that they
+    bring in have a partial score, and those that cannot reach the ``n``-th best partial one with all other
+    words are out; what is left is looked up under the query's other words.
+    """
+    terms = query_terms(queries)
+    adds = materialize(contributions(terms, chunks), "contributions")
+    plan = materialize(opening_words(terms, adds, mode, n), "opening-words")
+    keys = ["query_id", "chunk_id"]
+    partial = adds.join(plan.filter("open"), "word").groupBy(*keys, "n_words", "rest").agg(F.sum("w").alias("part"), F.count("*").alias("hits"))
+    if mode == "or":
+        partial = materialize(partial, "partial-scores")
+        nth = Window.partitionBy("query_id").orderBy(F.desc("part"))
+        best = partial.select("query_id", "part").withColumn("_r", F.row_number().over(nth)).filter(F.col("_r") <= n)
+        least = best.groupBy("query_id").agg(F.when(F.count("*") >= n, F.min("part")).otherwise(0.0).alias("least"))
+        partial = partial.join(least, "query_id").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK)
+    others = partial.select(*keys).join(plan.filter("NOT open").select("query_id", "word"), "query_id").join(adds, ["chunk_id", "word"])
+    others = others.groupBy(*keys).agg(F.sum("w").alias("more"), F.count("*").alias("also"))
+    scored = partial.join(others, keys, "left").select(
+        *keys, "n_words", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 6).alias("score"), (F.col("hits") + F.coalesce("also", F.lit(0))).alias("hit")
     )
     if mode == "and":
         scored = scored.filter(F.col("hit") == F.col("n_words"))
