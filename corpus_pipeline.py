@@ -4,7 +4,8 @@ Each stage takes all rows that the one before kept, as Parquet, and calls one op
 
 1. ``language``: naive Bayes over character n-grams, trained on the labelled rows outside the held-out
    third. Documents in no language (no letters), or in none with a probability of at least ``SURE``, go.
-2. ``near_duplicates``: MinHash with tensored banding; the document with the smallest id of each group stays.
+2. ``near_duplicates``: MinHash with tensored banding; the document with the smallest id of each group stays,
+   as one row, also where rows are repeated or have no id.
 3. ``decontamination``: winnowing against ``benchmark``; documents with a shared window go.
 4. ``mixing``: sources are repeated or thinned to their target weights; a document of n copies is n rows.
 5. ``sharding``: every row gets a shard and a slot; shards hold the sources in proportion.
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(docs).where("kept").select(*COLUMNS)
+    return neardup.one_each(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ Defined results: words are runs of non-blank bytes, A-Z lower-cased; a set holds
 shingles, or the whole sequence if shorter. A text without words has an empty set and is linked with nothing; null
 texts likewise. Rows with a null id are linked, but a component's id is the smallest non-null
 one; a component of null ids only has none, and its rows are kept. Rows equal in id are one document: they stay or go together.
+``one_each`` goes by rows: one stays of each component, whatever its ids.
 Empty tables give no rows. Input columns named like an output are replaced.
 """
 
@@ -254,9 +255,9 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = docs.withColumn("_s", struct_udf(_sketches, "n long, d1 long, d2 long, sig binary")(F.col("text")))
     rows = stored(found.select("id", "rk", "_s.*"), "sketches")
     own = F.struct("id", "rk")
-    groups = rows.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("id").alias("min_id"), F.first(own).alias("_own"), F.first("sig").alias("sig"))
+    groups = rows.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("id").alias("min_id"), F.min(_order("id", "rk")).alias("head"), F.first(own).alias("_own"), F.first("sig").alias("sig"))
     # ids are given once: the table is written and only then read
-    numbered = groups.select(F.monotonically_increasing_id().alias("node"), "_own.id", "_own.rk", "n", "d1", "d2", "min_id", "sig")
+    numbered = groups.select(F.monotonically_increasing_id().alias("node"), "_own.id", "_own.rk", "n", "d1", "d2", "min_id", "head", "sig")
     return rows, stored(numbered, "classes")
 
 
@@ -307,17 +308,40 @@ def _mixed(key: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_shingles``, ``component_id`` and ``kept`` (true for one id of each component)."""
+    """``docs`` with ``n_shingles``, ``component_id`` and ``kept`` (true for one id of each component).
+
+    ``first`` is true for one document of each component, null ids and differing texts of one id included, and
+    ``copies`` counts its repeated rows.
+    """
+    outputs = ("n_shingles", "component_id", "kept", "first", "copies")
     ready(docs.sparkSession)
     key = row_key(F.col(doc_id), F.col(text))
     slim = docs.select(F.col(doc_id).alias("id"), key.alias("rk"), F.col(text).alias("text"))
     rows, classes = classes_of(slim)
     linked = links(slim, classes)
-    named = classes.select("node", "d1", "d2", "min_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    named = named.join(roots, "component").select("d1", "d2", "component_id")
-    found = rows.select("id", "rk", "n", "d1", "d2").distinct().join(named, ["d1", "d2"], "left")
-    found = found.select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    keyed = docs.select(row_of(docs, "n_shingles", "component_id", "kept"), F.col(doc_id).alias("_doc"), key.alias("_key"))
+    named = classes.select("node", "d1", "d2", "min_id", "head").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = named.groupBy("component").agg(F.min("min_id").alias("component_id"), F.min("head").alias("head"))
+    named = named.drop("head").join(roots, "component").select("d1", "d2", "component_id", "head")
+    found = rows.groupBy("id", "rk", "n", "d1", "d2").agg(F.count("*").alias("copies")).join(named, ["d1", "d2"], "left")
+    some = F.col("n") > 0
+    found = found.select(
+        F.col("id").alias("_id"), F.col("rk").alias("_rk"), F.col("n").alias("n_shingles"), "copies",
+        F.when(some, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        (~some | (F.col("head") == _order("id", "rk"))).alias("first"),
+    )
+    keyed = docs.select(row_of(docs, *outputs), F.col(doc_id).alias("_doc"), key.alias("_key"))
     out = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")))
-    return out.select("_row.*", "n_shingles", "component_id", F.col("_doc").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("_row.*", "n_shingles", "component_id", F.col("_doc").eqNullSafe(F.col("component_id")).alias("kept"), "first", "copies")
+
+
+def _order(doc_id: str, key: str) -> Column:
+    """Rows of a component in order: by id, null last, then by key."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("rk"))
+
+
+def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, and of each document without words; repeated rows count as one."""
+    found = near_duplicates(docs, doc_id, text).where("first")
+    # rows that stand more than once are few; the others are not shuffled again
+    single = found.where("copies = 1")
+    return single.unionByName(found.where("copies > 1").dropDuplicates([doc_id, text])).select(*docs.columns)

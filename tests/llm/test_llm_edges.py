@@ -112,6 +112,18 @@ def test_sharding_keeps_the_mixture_of_many_buckets(spark):
     assert all(len(v) == 7 and max(v) - min(v) <= 3 for v in sizes.values())
 
 
+def test_one_row_of_each_component(spark, none):
+    """A third of all rows are one repeated row, others copy it without an id, and one id has two texts."""
+    same, other = prose(5, 40), prose(6, 40)
+    rows = [(7, same)] * 40 + [(None, same)] * 10 + [(9, same + " end"), (9, other), (8, other)] + [(None, prose(7, 30))] * 5 + [(1, None), (1, None), (2, ""), (None, None)]
+    rows += [(100 + i, prose(100 + i, 20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("copies", F.lit("x")).withColumn("first", F.lit(1))
+    got = sorted(((r.doc_id, r.text) for r in neardup.one_each(df.repartition(4)).collect()), key=str)
+    want = [(7, same), (8, other), (None, prose(7, 30)), (1, None), (2, ""), (None, None)] + [(100 + i, prose(100 + i, 20)) for i in range(60)]
+    assert got == sorted(want, key=str) and neardup.one_each(df).columns == df.columns
+    assert neardup.one_each(none).count() == 0
+
+
 def test_near_duplicates(spark, plain, odd, none):
     want = brute.near_duplicates([(r[0], r[1]) for r in ROWS])
     assert pairs(neardup.near_duplicates(plain), "n_shingles", "component_id", "kept") == want
