@@ -1,7 +1,7 @@
 """Registered queries: directories, owner matching and routing consistency.
 
-People of the routing checks are the suppliers: their work is the part of the same key, their
-department the nation, their routing department the region. Owner matching uses one entry
+People of the routing checks are one for each part: their work is the part, their department and routing
+department the nation and region of a supplier, and the suppliers take turns. Owner matching uses one entry
 per document source, with every whole document of the source as a responsibility line.
 """
 
@@ -112,11 +112,11 @@ def best_reason(t: Tables) -> DataFrame:
 
 
 @query("owner_lines", "P35",
-       """SELECT s_suppkey AS person, CAST(i AS BIGINT) AS line_no, line, i > 0 AS route FROM (SELECT s_suppkey, unnest([p_name, 'ask about ' || p_type, 'unsure ' || p_brand]) AS line, generate_subscripts([1, 2, 3], 1) - 1 AS i
-          FROM supplier JOIN part ON p_partkey = s_suppkey)""")
+       """SELECT p_partkey AS person, CAST(i AS BIGINT) AS line_no, line, i > 0 AS route FROM (SELECT p_partkey, unnest([p_name, 'ask about ' || p_type, 'unsure ' || p_brand]) AS line, generate_subscripts([1, 2, 3], 1) - 1 AS i
+          FROM part)""")
 def owner_lines(t: Tables) -> DataFrame:
-    p = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(
-        F.col("s_suppkey").alias("person"), F.array("p_name").alias("owns"),
+    p = t.part.select(
+        F.col("p_partkey").alias("person"), F.array("p_name").alias("owns"),
         F.concat(F.lit("ask  about "), "p_type", F.lit(" ;; unsure "), "p_brand", F.lit(";")).alias("route_when"),
     )
     return O.owner_lines(p)
@@ -138,11 +138,13 @@ def cut_to_ceiling(t: Tables) -> DataFrame:
 
 
 def v_people_base(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
+    k = F.col("p_partkey")
     place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    total = t.supplier.agg(F.count("*").alias("total"))
+    # one-row counts
+    total, suppliers = t.part.agg(F.count("*").alias("total")), t.supplier.agg(F.count("*").alias("suppliers"))
+    parts = t.part.join(F.broadcast(total)).join(F.broadcast(suppliers)).withColumn("s_suppkey", F.pmod(k, F.col("suppliers")))
     return (
-        t.supplier.join(t.part, F.col("p_partkey") == k).join(place, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(total))
+        parts.join(t.supplier, "s_suppkey").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             k.alias("person"),
             F.when(F.col("s_acctbal") < 1000, F.concat(F.lit("Dr. Ng"), k.cast("string"))).otherwise(F.concat(F.lit("Ana"), k.cast("string"), F.lit(" Ruiz"), F.col("s_nationkey").cast("string"))).alias("name"),
@@ -170,9 +172,9 @@ def v_pages(t: Tables) -> DataFrame:
     )
 
 
-SQL_PEOPLE = """pb AS (SELECT s_suppkey AS person, p_name, p_type, p_brand, n_name, CASE WHEN p_size > 30 THEN 'P0' WHEN p_size > 15 THEN 'P1' ELSE 'P2' END AS priority,
-   'Ana' || ((s_suppkey + 1) % (SELECT count(*) FROM supplier)) || CASE WHEN p_size > 25 THEN ' (days)' ELSE '' END AS backup, p_size, n_regionkey
-   FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
+SQL_PEOPLE = """pb AS (SELECT p_partkey AS person, p_name, p_type, p_brand, n_name, CASE WHEN p_size > 30 THEN 'P0' WHEN p_size > 15 THEN 'P1' ELSE 'P2' END AS priority,
+   'Ana' || ((p_partkey + 1) % (SELECT count(*) FROM part)) || CASE WHEN p_size > 25 THEN ' (days)' ELSE '' END AS backup, p_size, n_regionkey
+   FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 @query(
