@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import (
-    bigrams, bind, chain, col, display_line, display_title, match_key, spans, sub, title_stem, tokens, unroll, ws_trim,
+    bigrams, bind, chain, col, display_line, display_title, match_key, sub, title_stem, tokens, unroll, ws_trim,
 )
 from corpuslane.operators.answers import clean_head, drop_identity_question
 from corpuslane.session import materialize
 
-TOKEN = r"[\p{L}\p{N}](?:[“”‘’\"']*[\p{L}\p{N}])*[“”‘’\"']*"
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z“\"(])"
+# the same words, and the breaks between sentences, in Python's terms
+_WORD = re.compile("[^\\W_](?:[“”‘’\"']*[^\\W_])*[“”‘’\"']*")
+_STOP = re.compile("(?<=[.!?])[ \\t\\n\\x0b\\f\\r]+(?=[A-Z“\"(])")
 # --- notes of unmatched and unknown citations (fixed values) ---
 UNVERIFIED = "Not found word for word in this SOP. Open it to check the wording:"
 UNKNOWN = "Not one of the SOPs found for this answer, so it could not be checked."
@@ -239,37 +240,36 @@ def best_title(matches: DataFrame, keys: list[str]) -> DataFrame:
 # --- expansion -----------------------------------------------------------------------
 
 
-def expand_quote(display: Column | str, from_tok: Column | str, to_tok: Column | str, quoted: Column | str, table: Column | str) -> Column:
-    """The quotation shown for a hit: the whole line, or the sentences it covers, capped at a word."""
-    def covered(d: Column) -> Column:
-        """First and last character of the tokens."""
-        return bind(spans(d, TOKEN), lambda toks: F.struct(
-            F.coalesce(F.get(toks, col(from_tok).cast("int"))["start"], F.lit(0)).alias("start"),
-            F.greatest(F.coalesce(F.get(toks, col(to_tok).cast("int"))["end"], F.char_length(d)) - 1, F.lit(0)).alias("end"),
-        ))
-
-    def sentences(x: Column) -> Column:
-        open_at = F.coalesce(F.array_max(F.transform(F.filter(x["breaks"], lambda b: b["end"] <= x["at"]["start"]), lambda b: b["end"])), F.lit(0))
-        close_at = F.coalesce(F.array_min(F.transform(F.filter(x["breaks"], lambda b: b["start"] > x["at"]["end"]), lambda b: b["start"])), F.char_length(x["d"]))
-        return bind(F.struct(open_at.alias("a"), close_at.alias("b")), lambda y: ws_trim(F.substr(x["d"], y["a"] + 1, y["b"] - y["a"])))
+@F.arrow_udf(T.StringType())
+def covering_sentences(displays: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    """The sentences of each line that hold its tokens from first to last, in time linear in the line."""
+    out = []
+    for line, first, last in zip(displays.to_pylist(), firsts.to_pylist(), lasts.to_pylist()):
+        if line is not None:
+            words = [m.span() for m in _WORD.finditer(line)]
+            start = words[first][0] if first is not None and 0 <= first < len(words) else 0
+            end = max((words[last][1] if last is not None and 0 <= last < len(words) else len(line)) - 1, 0)
+            breaks = [m.span() for m in _STOP.finditer(line)]
+            line = line[max((b for _, b in breaks if b <= start), default=0) : min((a for a, _ in breaks if a > end), default=len(line))]
+        out.append(line)
+    return pa.array(out, pa.string())
 
-    def run(d: Column) -> Column:
-        return bind(F.struct(d.alias("d"), covered(d).alias("at"), spans(d, SENTENCE_BREAK).alias("breaks")), sentences)
 
+def expand_quote(display: Column | str, from_tok: Column | str, to_tok: Column | str, quoted: Column | str, table: Column | str) -> Column:
+    """The quotation shown for a hit: the whole line, or the sentences it covers, capped at a word."""
     def cap(s: Column) -> Column:
         cut = F.left(s, F.lit(L.QUOTE_MAX_CHARS - 1))
         at_word = F.when(cut.rlike(r"^[\s\S]+ "), sub(cut, r" [^ ]*$")).otherwise(cut)
         return F.when(F.char_length(s) <= L.QUOTE_MAX_CHARS, s).otherwise(F.concat(sub(at_word, rf"{L.WS}+$"), F.lit("…")))
 
     d = col(display)
-    shown = F.when(~col(quoted) & ~col(table) & (F.char_length(d) <= L.QUOTE_MAX_CHARS), d).otherwise(bind(d, run))
+    shown = F.when(~col(quoted) & ~col(table) & (F.char_length(d) <= L.QUOTE_MAX_CHARS), d).otherwise(ws_trim(covering_sentences(d, col(from_tok).cast("int"), col(to_tok).cast("int"))))
     return sub(bind(shown, cap), "[\"“”]", "'")
 
 
 # --- resolution -------------------------------------------------------------------------
 
 
-_WORD = re.compile("[^\\W_](?:[“”‘’\"']*[^\\W_])*[“”‘’\"']*")
 _QUOTATION = str.maketrans("", "", "“”‘’\"'")
 
 

@@ -2,15 +2,18 @@
 
 Input rows are ``(conv_id, turn, attempt, seq, delta, tokens)``; a non-null ``tokens`` marks the
 last delta. State is one small record per attempt, kept in the RocksDB store; rows are put
-in order by ``seq`` and gaps wait in the state.
+in order by ``seq`` and gaps wait in the state. An attempt that gets no delta for ``ATTEMPT_TTL_MS`` of processing
+time is forgotten, finished or not, so state holds what was active lately; deltas that come later start anew.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -26,10 +29,14 @@ PART = (
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+ATTEMPT_TTL_MS = 6 * 3600 * 1000
+
+
 class Ordered(StatefulProcessor):
     """Delivers each key's deltas in ``seq`` order, holding back what arrives early."""
 
-    ttl_ms: int | None = None
+    def __init__(self, ttl_ms: int = ATTEMPT_TTL_MS) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
         self._state = handle.getValueState("answer", "body string", ttlDurationMs=self.ttl_ms)
@@ -157,19 +164,24 @@ class GateAndHold(Gate):
         return out
 
 
+# the worker that starts a processor gets no files of the session, so these modules travel with it
+for _module in (sys.modules[__name__], D, L):
+    cloudpickle.register_pickle_by_value(_module)
+
+
 def _stateful(deltas: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     return deltas.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
-def sniff_stream(deltas: DataFrame) -> DataFrame:
-    return _stateful(deltas, Sniff(), SNIFFED)
+def sniff_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+    return _stateful(deltas, Sniff(ttl_ms), SNIFFED)
 
 
-def gate_stream(deltas: DataFrame) -> DataFrame:
-    return _stateful(deltas, Gate(), PART)
+def gate_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+    return _stateful(deltas, Gate(ttl_ms), PART)
 
 
-def answer_parts_stream(deltas: DataFrame) -> DataFrame:
-    return _stateful(deltas, GateAndHold(), PART)
+def answer_parts_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+    return _stateful(deltas, GateAndHold(ttl_ms), PART)
