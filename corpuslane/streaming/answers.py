@@ -2,8 +2,9 @@
 
 Input rows are ``(conv_id, turn, attempt, seq, delta, tokens)``; a non-null ``tokens`` marks the
 last delta. State is one small record per attempt, kept in the RocksDB store; rows are put
-in order by ``seq`` and gaps wait in the state. An attempt that gets no delta for ``ATTEMPT_TTL_MS`` of processing
-time is forgotten, finished or not, so state holds what was active lately; deltas that come later start anew.
+in order by ``seq`` and gaps wait in the state. With ``ttl_ms`` an attempt that gets no delta for so long in processing
+time is forgotten, finished or not, so state holds what was active lately; deltas that come later start anew. Spark
+then also runs batches without data, so such a stream needs a trigger that ends or waits (``availableNow`` or an interval).
 """
 
 from __future__ import annotations
@@ -29,13 +30,10 @@ PART = (
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-ATTEMPT_TTL_MS = 6 * 3600 * 1000
-
-
 class Ordered(StatefulProcessor):
     """Delivers each key's deltas in ``seq`` order, holding back what arrives early."""
 
-    def __init__(self, ttl_ms: int = ATTEMPT_TTL_MS) -> None:
+    def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
@@ -169,19 +167,20 @@ for _module in (sys.modules[__name__], D, L):
     cloudpickle.register_pickle_by_value(_module)
 
 
-def _stateful(deltas: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _stateful(deltas: DataFrame, processor: Ordered, schema: str) -> DataFrame:
+    mode = "ProcessingTime" if processor.ttl_ms else "None"
     return deltas.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
-def sniff_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+def sniff_stream(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return _stateful(deltas, Sniff(ttl_ms), SNIFFED)
 
 
-def gate_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+def gate_stream(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return _stateful(deltas, Gate(ttl_ms), PART)
 
 
-def answer_parts_stream(deltas: DataFrame, ttl_ms: int = ATTEMPT_TTL_MS) -> DataFrame:
+def answer_parts_stream(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return _stateful(deltas, GateAndHold(ttl_ms), PART)
