@@ -4,7 +4,7 @@ Input rows are ``(conv_id, turn, attempt, seq, delta, tokens)``; a non-null ``to
 last delta. State is one small record per attempt, kept in the RocksDB store; rows are put
 in order by ``seq`` and gaps wait in the state. With ``ttl_ms`` an attempt that gets no delta for so long in processing
 time is forgotten, finished or not, so state holds what was active lately; deltas that come later start anew. Spark
-then also runs batches without data, so such a stream needs a trigger that ends or waits (``availableNow`` or an interval).
+then also runs batches without data and never ends by itself, so such a stream needs an interval trigger and a stop.
 """
 
 from __future__ import annotations

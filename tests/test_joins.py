@@ -1,4 +1,4 @@
-"""Joins by handles and bounds against brute force, and streams that forget."""
+"""Joins by handles and bounds against brute force, and workers that find the package."""
 
 import datetime
 import os
@@ -16,7 +16,6 @@ from corpuslane.operators import cite as Q
 from corpuslane.operators import owners as O
 from corpuslane.operators import retrieve as R
 from corpuslane.operators import screen as S
-from corpuslane.streaming import answers as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -122,24 +121,6 @@ def test_owner_sums_above_the_floor(spark):
     assert listed(some) == listed(every) and listed(some)
 
 
-def test_abandoned_attempts_leave_no_state(spark, tmp_path):
-    schema = "conv_id long, turn long, attempt int, seq long, delta string, tokens long"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", T.ROCKSDB)
-    source = tmp_path / "in"
-    seen = []
-    for k in range(3):
-        spark.createDataFrame([(k, 0, 1, 0, "begun but never ended ", None)], schema).coalesce(1).write.mode("append").json(str(source))
-        deltas = spark.readStream.schema(schema).json(str(source))
-        query = (
-            T.sniff_stream(deltas, ttl_ms=1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination(120)
-        seen.append(query.lastProgress["stateOperators"][0]["customMetrics"].get("numValuesRemovedDueToTTLExpiry", 0))
-        time.sleep(0.2)
-    # what the runs before left has expired
-    assert sum(seen[1:]) >= 1
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
 def test_python_workers_find_the_package_from_any_directory(tmp_path):
     code = (
