@@ -10,15 +10,18 @@ from corpuslane.functions.text import bind, chars, col, is_blank, unroll, ws_tri
 from corpuslane.operators.retrieve import section_of, strip_header
 
 
+def last_window(text: Column | str, size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> Column:
+    """Number of the last window of a text, from 0."""
+    n = F.char_length(col(text))
+    return F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(float(size - overlap)))).cast("int")
+
+
 def window_array(text: Column | str, size: int = L.SCREEN_WINDOW, overlap: int = L.SCREEN_OVERLAP) -> Column:
     """Overlapping windows that together cover the whole text."""
     step = size - overlap
 
     def cut(t: Column) -> Column:
-        last = F.when(F.char_length(t) <= size, F.lit(0)).otherwise(
-            F.ceil((F.char_length(t) - size) / F.lit(float(step)))
-        ).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(t, k * step + 1, F.lit(size)))
+        return F.transform(F.sequence(F.lit(0), last_window(t, size, overlap)), lambda k: F.substr(t, k * step + 1, F.lit(size)))
 
     return bind(col(text), cut)
 

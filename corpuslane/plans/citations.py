@@ -12,7 +12,7 @@ from corpuslane.operators import lines as N
 from corpuslane.operators import retrieve as R
 from corpuslane.plans.conversations import sql_display, sql_key
 from corpuslane.plans.registry import query
-from corpuslane.plans.retrieval import SQL_RANKED, SQL_VECTOR, v_hits
+from corpuslane.plans.retrieval import SQL_RANKED, v_hits
 from corpuslane.session import Tables, materialize, spread
 
 
@@ -142,19 +142,22 @@ def v_titles(t: Tables) -> DataFrame:
 @query(
     "resolve_titles", "J18",
     rf"""WITH t AS (SELECT file, list_transform(list_filter(string_split({sql_key(sql_display("CASE WHEN d = '' THEN title ELSE d END"))}, ' '), lambda x: x <> ''), lambda x: CASE WHEN length(x) >= 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END) AS w
-         FROM (SELECT file, title, trim(regexp_replace(title, '^[^\p{{L}}\p{{N}}]+', '')) AS d FROM (SELECT doc_id AS file, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:5], ' ') AS title FROM documents))),
+         FROM (SELECT file, title, trim(regexp_replace(title, '^[^\p{{L}}\p{{N}}]+', '')) AS d FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS title FROM documents))),
     h AS (SELECT item_id AS head_id, ' ' || array_to_string(list_transform(list_filter(string_split({sql_key(sql_display('text'))}, ' '), lambda x: x <> ''), lambda x: CASE WHEN length(x) >= 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END), ' ') || ' ' AS h FROM benchmark),
-    p AS (SELECT file, unnest(range(CASE WHEN len(w) = 1 THEN 1 ELSE 2 END, len(w) + 1)) AS k, w FROM t WHERE len(w) > 0)
-    SELECT head_id, file, max(k) AS length FROM h JOIN p ON contains(h, ' ' || array_to_string(w[1:k], ' ') || ' ') GROUP BY 1, 2""",
+    p AS (SELECT *, CASE WHEN len(w) = 1 THEN 1 ELSE 2 END AS least FROM t WHERE len(w) > 0)
+    SELECT head_id, file, max(list_max(list_filter(range(least, len(w) + 1), lambda k: contains(h, ' ' || array_to_string(w[1:k], ' ') || ' ')))) AS length
+    FROM h JOIN p ON contains(h, ' ' || array_to_string(w[1:least], ' ') || ' ') GROUP BY 1, 2""",
 )
 def resolve_titles(t: Tables) -> DataFrame:
+    """Every line of a document is one of its titles, every whole item a head."""
     heads = t.benchmark.select(F.col("item_id").alias("head_id"), F.col("text").alias("head"))
-    return Q.resolve_titles(heads, v_titles(t)).select("head_id", "file", "length")
+    docs = spread(t.documents.select(F.col("doc_id").alias("file"), "text"))
+    titles = X.unroll(docs, ["file"], X.lines_of("text"), "rank", "title")
+    return Q.resolve_titles(heads, titles).groupBy("head_id", "file").agg(F.max("length").alias("length"))
 
 
 def v_citations(t: Tables) -> DataFrame:
-    labels = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "label")
-    return v_hits(t).join(labels, "chunk_id").filter(F.col("label") >= 2).select(
+    return v_hits(t).join(t.embeddings.select("vec_id", "label"), "vec_id").filter(F.col("label") >= 2).select(
         "query_id", "file", F.col("pos").alias("ord"), (F.col("label") < 5).alias("verified"),
         F.when(F.col("label") != 3, F.concat(F.lit("q"), F.col("chunk_id").cast("string"))).alias("quote"),
     )
@@ -163,7 +166,7 @@ def v_citations(t: Tables) -> DataFrame:
 @query(
     "mark_cited", "J20",
     f"""WITH {SQL_RANKED}, c AS (SELECT query_id, file, pos AS ord, label < 5 AS verified, CASE WHEN label <> 3 THEN 'q' || chunk_id END AS quote
-          FROM hits JOIN embeddings ON vec_id = chunk_id WHERE label >= 2),
+          FROM hits JOIN embeddings USING (vec_id) WHERE label >= 2),
     f AS (SELECT query_id, file, arg_min(quote, ord) FILTER (verified AND quote IS NOT NULL) AS quote FROM c GROUP BY 1, 2)
     SELECT query_id, file, rank, f.file IS NOT NULL AS cited, quote FROM ranked LEFT JOIN f USING (query_id, file)""",
 )
@@ -190,11 +193,12 @@ def audit_quotes(t: Tables) -> DataFrame:
 
 
 def v_dictionary(t: Tables) -> DataFrame:
-    """Each benchmark item is a linked source titled by its first three words."""
-    title = F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 3), " ")
+    """Each benchmark item is a linked source with every one of its sentences as a title."""
+    sentences = F.filter(F.transform(F.split("text", r"[.\n]+"), X.ws_trim), lambda x: x != "")
+    titled = X.unroll(t.benchmark, ["item_id"], sentences, "_i", "sentence")
     return Q.mention_dictionary(
-        t.benchmark.select(
-            F.concat(F.lit("** "), title, F.lit(" (DRAFT)")).alias("title"),
+        titled.select(
+            F.concat(F.lit("** "), "sentence", F.lit(" (DRAFT)")).alias("title"),
             F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".md")).alias("file"),
             F.concat(F.lit("https://hub.example.com/"), F.col("item_id").cast("string")).alias("source_url"),
         )
@@ -203,12 +207,12 @@ def v_dictionary(t: Tables) -> DataFrame:
 
 @query(
     "mention_table", "J19",
-    rf"""WITH d AS (SELECT array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') AS short, item_id FROM benchmark),
+    r"""WITH d AS (SELECT short, item_id FROM (SELECT trim(unnest(regexp_split_to_array(text, '[.\n]+'))) AS short, item_id FROM benchmark) WHERE short <> ''),
     m AS (SELECT short || ' (DRAFT)' AS clean, 'https://hub.example.com/' || item_id AS url, NULL AS label FROM d
           UNION ALL SELECT short, 'https://hub.example.com/' || item_id, NULL FROM d WHERE length(short) >= 4
           UNION ALL SELECT 'item-' || item_id || '.md', 'https://hub.example.com/' || item_id, short || ' (DRAFT)' FROM d),
-    k AS (SELECT *, trim(regexp_replace(lower(clean), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS mkey FROM m),
-    w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS padded FROM documents)
+    k AS (SELECT *, trim(regexp_replace(lower(clean), '[^\p{L}\p{N}]+', ' ', 'g')) AS mkey FROM m),
+    w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS padded FROM documents)
     SELECT doc_id, clean, url, label FROM w JOIN k ON contains(padded, ' ' || mkey || ' ')""",
 )
 def mention_table(t: Tables) -> DataFrame:

@@ -75,11 +75,11 @@ def v_expected(t: Tables) -> DataFrame:
     label = F.col("label").cast("bigint")
     return t.benchmark.join(t.embeddings, F.col("vec_id") == F.col("item_id")).select(
         F.col("item_id").alias("query_id"),
-        F.when(label > 0, F.array(label * 3, F.expr("item_id DIV 4") + label - 1)).otherwise(F.array().cast("array<bigint>")).alias("expected"),
+        F.when(label > 0, F.array(label * 3, F.col("item_id") + label - 1)).otherwise(F.array().cast("array<bigint>")).alias("expected"),
     )
 
 
-SQL_EXPECTED = f"""{SQL_RANKED}, ex AS (SELECT item_id AS query_id, CASE WHEN label > 0 THEN [CAST(label * 3 AS BIGINT), item_id // 4 + label - 1] ELSE [] END AS expected FROM benchmark JOIN embeddings ON vec_id = item_id),
+SQL_EXPECTED = f"""{SQL_RANKED}, ex AS (SELECT item_id AS query_id, CASE WHEN label > 0 THEN [CAST(label * 3 AS BIGINT), item_id + label - 1] ELSE [] END AS expected FROM benchmark JOIN embeddings ON vec_id = item_id),
 ro AS (SELECT ex.query_id, min(rank) AS rank, arg_min(file, rank) AS matched FROM ex LEFT JOIN ranked r ON r.query_id = ex.query_id AND list_contains(expected, r.file) GROUP BY 1)"""
 
 
@@ -90,13 +90,12 @@ def rank_of(t: Tables) -> DataFrame:
 
 @query(
     "keyword_rank_of", "A18",
-    f"""WITH {SQL_EXPECTED}, kh AS (SELECT h.*, CASE WHEN e.label < 5 THEN h.pos END AS keyword_rank FROM hits h JOIN embeddings e ON e.vec_id = h.chunk_id),
+    f"""WITH {SQL_EXPECTED}, kh AS (SELECT h.*, CASE WHEN e.label < 5 THEN h.pos END AS keyword_rank FROM hits h JOIN embeddings e ON e.vec_id = h.vec_id),
     b AS (SELECT query_id, keyword_rank FROM (SELECT kh.*, row_number() OVER (PARTITION BY kh.query_id ORDER BY score DESC, pos) AS r FROM kh JOIN ro ON ro.query_id = kh.query_id AND ro.matched = kh.file) WHERE r = 1)
     SELECT query_id, keyword_rank FROM ro LEFT JOIN b USING (query_id)""",
 )
 def keyword_rank_of(t: Tables) -> DataFrame:
-    labels = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "label")
-    hits = v_hits(t).join(labels, "chunk_id").withColumn("keyword_rank", F.when(F.col("label") < 5, F.col("pos")))
+    hits = v_hits(t).join(t.embeddings.select("vec_id", "label"), "vec_id").withColumn("keyword_rank", F.when(F.col("label") < 5, F.col("pos")))
     return E.keyword_rank_of(hits, E.rank_of(R.rank_files(v_hits(t)), v_expected(t)))
 
 

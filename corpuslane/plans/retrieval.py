@@ -1,8 +1,8 @@
 """Registered queries: hybrid retrieval, ranking and context packing.
 
 Queries are the ``benchmark`` items, each with the embedding of the same id; chunks are the
-``embeddings`` rows (vector leg) and whole ``documents`` (keyword leg). Four consecutive
-chunk ids make one file.
+``embeddings`` rows (vector leg) and whole ``documents`` (keyword leg). The hits of the ranking
+queries are windows that together cover every document; a window takes one of the embeddings in turn.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
+from corpuslane.functions import text as X
 from corpuslane.operators import context as C
 from corpuslane.operators import retrieve as R
 from corpuslane.plans.registry import query
@@ -41,9 +42,29 @@ def v_vector(t: Tables) -> DataFrame:
     return R.vector_leg(v_query_vectors(t), v_chunk_vectors(t))
 
 
+#: A window's chunk id is its document's id times this, plus its number: no text has as many windows.
+WINDOW_IDS = 1 << 20
+
+
+def v_embedded(t: Tables, at: DataFrame) -> DataFrame:
+    """``at(file, part)`` with the embedding that the window takes in turn."""
+    n = t.embeddings.agg(F.count("*").alias("n"))  # one row
+    return at.join(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col("file") + 7 * F.col("part"), F.col("n"))).drop("n")
+
+
+def v_windows(t: Tables) -> DataFrame:
+    """Every window of every document; only lengths are read from the texts."""
+    docs = t.documents.select(F.col("doc_id").alias("file"), "text")
+    return v_embedded(t, X.unroll(docs, ["file"], F.sequence(F.lit(0), C.last_window("text")), "_i", "part"))
+
+
 def v_hits(t: Tables) -> DataFrame:
-    return v_vector(t).select(
-        "query_id", F.col("rank").alias("pos"), "chunk_id", F.expr("chunk_id DIV 4").alias("file"), "score",
+    vectors = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    chunk = (F.col("file") * WINDOW_IDS + F.col("part")).alias("chunk_id")
+    found = R.vector_leg(v_query_vectors(t), v_windows(t).join(vectors, "vec_id").select(chunk, "vector"))
+    placed = found.withColumns({"file": F.expr(f"chunk_id DIV {WINDOW_IDS}"), "part": F.col("chunk_id") % WINDOW_IDS})
+    return v_embedded(t, placed).select(
+        "query_id", F.col("rank").alias("pos"), "chunk_id", "file", "part", "vec_id", "score",
         F.round(1 - F.col("rank") / 100.0, 4).alias("rerank"),
     )
 
@@ -62,8 +83,15 @@ scored AS (SELECT query_id, vec_id AS chunk_id,
                   round(list_cosine_similarity(qvec, CAST(embedding AS DOUBLE[])), 6) AS score
            FROM qv, embeddings),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-                       FROM scored WHERE score >= 0.01) WHERE rank <= 50),
-hits AS (SELECT query_id, rank AS pos, chunk_id, chunk_id // 4 AS file, score, round(1 - rank / 100.0, 4) AS rerank FROM vec)
+                       FROM scored WHERE score >= 0.01) WHERE rank <= 50)
+"""
+
+SQL_HITS = f"""{SQL_VECTOR},
+windows AS (SELECT file, part, file * {WINDOW_IDS} + part AS chunk_id, (file + 7 * part) % (SELECT count(*) FROM embeddings) AS vec_id FROM (
+    SELECT doc_id AS file, unnest(range(CAST(CASE WHEN length(text) <= 2000 THEN 0 ELSE ceil((length(text) - 2000) / 1800.0) END AS BIGINT) + 1)) AS part FROM documents)),
+hits AS (SELECT query_id, pos, chunk_id, file, part, vec_id, score, round(1 - pos / 100.0, 4) AS rerank FROM (
+    SELECT query_id, w.*, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, w.chunk_id) AS pos
+    FROM scored JOIN windows w ON w.vec_id = scored.chunk_id WHERE score >= 0.01) WHERE pos <= 50)
 """
 
 
@@ -144,13 +172,13 @@ def vector_fallback(t: Tables) -> DataFrame:
 
 @query(
     "best_by_file", "A1",
-    f"WITH {SQL_VECTOR} SELECT query_id, file, max(coalesce(score, 0)) AS best, min(pos) AS first_pos FROM hits WHERE file IS NOT NULL GROUP BY 1, 2",
+    f"WITH {SQL_HITS} SELECT query_id, file, max(coalesce(score, 0)) AS best, min(pos) AS first_pos FROM hits WHERE file IS NOT NULL GROUP BY 1, 2",
 )
 def best_by_file(t: Tables) -> DataFrame:
     return R.best_by_file(v_hits(t))
 
 
-SQL_RANKED = f"""{SQL_VECTOR},
+SQL_RANKED = f"""{SQL_HITS},
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first_pos) AS rank FROM (
     SELECT query_id, file, max(score) AS best, min(pos) AS first_pos FROM hits GROUP BY 1, 2)) WHERE rank <= 5)
 """
@@ -163,7 +191,7 @@ def rank_files(t: Tables) -> DataFrame:
 
 @query(
     "attach_meta", "J3",
-    f"""WITH {SQL_VECTOR}, meta AS (SELECT doc_id AS file, source AS title, lang AS category FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    f"""WITH {SQL_HITS}, meta AS (SELECT doc_id AS file, source AS title, lang AS category FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
     SELECT query_id, pos, file, coalesce(title, CAST(file AS VARCHAR)) AS title, coalesce(category, 'uncategorized') AS category
     FROM hits LEFT JOIN meta USING (file)""",
 )
@@ -171,7 +199,7 @@ def attach_meta(t: Tables) -> DataFrame:
     return R.attach_meta(v_hits(t), v_meta(t)).select("query_id", "pos", "file", "title", "category")
 
 
-@query("distinct_keys", "X5", f"WITH {SQL_VECTOR} SELECT DISTINCT file FROM hits")
+@query("distinct_keys", "X5", f"WITH {SQL_HITS} SELECT DISTINCT file FROM hits")
 def distinct_keys(t: Tables) -> DataFrame:
     return v_hits(t).select("file").distinct()
 
@@ -183,10 +211,9 @@ whole AS (SELECT * FROM (SELECT query_id, file, title, 'full' AS kind, body AS t
                  sum(length(body)) OVER (PARTITION BY query_id ORDER BY rank) AS used
           FROM ranked JOIN meta USING (file) WHERE rank <= 3 AND body <> '') WHERE used <= 26000),
 chunk AS (SELECT h.query_id, h.file, coalesce(m.title, 'Untitled SOP') AS title, 'chunk' AS kind,
-                 regexp_replace(substr(m.text, 1 + 1800 * CAST(h.chunk_id % 4 AS BIGINT), 2000), '^\s+|\s+$', '', 'g') AS text, m.status = 'draft' AS draft, h.pos AS ord, 1 AS phase
+                 regexp_replace(substr(m.text, 1 + 1800 * CAST(h.part AS BIGINT), 2000), '^\s+|\s+$', '', 'g') AS text, m.status = 'draft' AS draft, h.pos AS ord, 1 AS phase
           FROM hits h LEFT JOIN meta m USING (file)
-          WHERE (h.chunk_id % 4 = 0 OR 1800 * (h.chunk_id % 4 - 1) + 2000 < length(m.text))
-            AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.query_id = h.query_id AND w.file = h.file)),
+          WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.query_id = h.query_id AND w.file = h.file)),
 both_phases AS (SELECT query_id, file, title, kind, chars, draft, ord, phase FROM whole
          UNION ALL SELECT query_id, file, title, kind, length(text), draft, ord, phase FROM chunk WHERE text <> ''),
 packed AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY phase, ord) AS used FROM both_phases)
@@ -204,7 +231,7 @@ def v_packed(t: Tables) -> DataFrame:
     # the bounded hit list meets the documents first, so only windows that were hit are cut
     texts = t.documents.select(F.col("doc_id").alias("file"), "text")
     chunk_hits = hits.join(texts, "file").withColumn(
-        "chunk_text", C.window_at("text", F.pmod(F.col("chunk_id"), F.lit(4)))
+        "chunk_text", C.window_at("text", "part")
     ).drop("text")
     return C.pack_context(R.rank_files(hits), chunk_hits, meta)
 
@@ -267,7 +294,7 @@ def passage_budget(t: Tables) -> DataFrame:
 
 @query(
     "retrieval_stats", "A13",
-    rf"""WITH {SQL_VECTOR},
+    rf"""WITH {SQL_HITS},
     files AS (SELECT query_id, file, max(score) AS best, min(pos) AS first_pos, arg_min(rerank, -score * 1000000000 + pos) AS rerank FROM hits GROUP BY 1, 2),
     top AS (SELECT query_id, string_agg(CAST(file AS VARCHAR), ',' ORDER BY r) AS top_files, max(CASE WHEN r = 1 THEN rerank END) AS top_rerank FROM (
               SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first_pos) AS r FROM files) WHERE r <= 5 GROUP BY 1),
