@@ -42,6 +42,7 @@ OWNER_PICKS = 2
 PRODUCT_WEIGHT = 0.3
 FOLLOW_UP_WORDS = 4
 OWNER_BLOCK_CHARS = 800
+REASON_CHARS = 110
 DIRECTORY_CHARS = 9_000
 TEAM_STRUCTURE_CHARS = 5_500
 MATCH_THRESHOLD = 0.01
@@ -193,3 +194,9 @@ DO_NOT = (
     rf"(?i){W0}(?:do not|don['’]t){W1}(?!\s+(?:need|require|have to|worry|hesitate|yet|"
     r"automatically|currently|always|come to))"
 )
+
+# fixed values: opening lines of the owner block and of a team structure's closing parts
+OWNER_HEADING = "Team directory match for this message (computed from the team directory; see hard rule 17):"
+NO_OWNER = "Team directory match for this message: no entry's Owns line names this work. Name no person."
+HANDOFFS_HEADING = "Handoffs (criteria, not timelines; crossing one involves both teams):"
+OUTSIDE_HEADING = "Outside Operations (say so, and name the Operations function that coordinates):"

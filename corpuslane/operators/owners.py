@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import chain, col, one_line, owner_word_rows, owner_words, sub, unroll, ws_trim
+from corpuslane.functions.text import bind, chain, col, one_line, owner_word_rows, owner_words, sub, unroll, ws_trim
+from corpuslane.functions.text import reach as reach_text
 from corpuslane.session import materialize
 
 
@@ -192,6 +193,40 @@ def best_reason(mwords: DataFrame, picks: DataFrame, people: DataFrame, lines: D
     )
 
 
+def clip(c: Column | str, size: int = L.REASON_CHARS) -> Column:
+    """A text on one line, cut to ``size`` characters with an ellipsis."""
+    return bind(one_line(c), lambda x: F.when(F.char_length(x) <= size, x).otherwise(F.concat(F.rtrim(F.left(x, F.lit(size - 1))), F.lit("…"))))
+
+
+def owner_block(messages: DataFrame, picks: DataFrame, people: DataFrame, reasons: DataFrame, lines: DataFrame, ceiling: int = L.OWNER_BLOCK_CHARS) -> DataFrame:
+    """``msg_id, block, owners`` for every message: its picked owners, each with reach, backup and the reason.
+
+    ``people`` also has ``department, slack, dashboard, backup``; ``reasons`` is the result of ``best_reason``; ``picks``
+    may have ``redirect``, which speaks where no line matched. Nobody picked gives the fixed line, an empty directory
+    an empty block. Owners that do not fit the ceiling leave from the end, the first is cut.
+    """
+    redirect = F.col("redirect") if "redirect" in picks.columns else F.lit(None).cast("string")
+    told = reasons.join(lines.select("person", "line_no", "line"), ["person", "line_no"]).select("msg_id", "person", "route", "line")
+    named = picks.select("msg_id", "person", "place", redirect.alias("redirect")).join(people, "person").join(told, ["msg_id", "person"], "left")
+    quoted = lambda lead, c, tail: F.concat(F.lit(lead + '"'), clip(c), F.lit('"' + tail))
+    why = (
+        F.when(F.col("line").isNotNull() & ~F.col("route"), quoted("Owns ", "line", ".")).when(F.col("line").isNotNull(), quoted("Route when ", "line", "."))
+        .when(F.col("redirect").isNotNull(), quoted("Another entry's Out of scope line sends ", "redirect", " here.")).otherwise("Title matches.")
+    )
+    optional = lambda label, c: F.when(c != "", F.concat(F.lit(f" {label}: "), c, F.lit("."))).otherwise("")
+    entry = F.concat(
+        F.col("place").cast("string"), F.lit(". "), one_line("name"), F.lit(", "), one_line("title"), F.lit(" ("), one_line("department"), F.lit(")."),
+        optional("Reach", reach_text("slack", "dashboard")), optional("Backup", clip(F.coalesce("backup", F.lit("")))), F.lit(" "), why,
+    )
+    per = named.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", entry.alias("e")))), lambda x: x["e"]).alias("_e"))
+    grown = lambda n: F.array_join(F.concat(F.array(F.lit(L.OWNER_HEADING)), F.slice("_e", F.lit(1), n)), "\n")
+    fits = F.array_max(F.filter(F.sequence(F.lit(1), F.size("_e")), lambda n: (n == 1) | (F.char_length(grown(n)) <= ceiling)))
+    someone = people.agg((F.count("*") > 0).alias("_someone"))  # one row
+    out = messages.select("msg_id").join(per, "msg_id", "left").join(F.broadcast(someone)).withColumn("owners", F.coalesce(fits, F.lit(0)))
+    block = F.when(~F.col("_someone"), "").when(F.col("_e").isNull(), L.NO_OWNER).otherwise(F.left(grown(F.col("owners")), F.lit(ceiling)))
+    return out.select("msg_id", block.alias("block"), F.col("owners").cast("bigint").alias("owners"))
+
+
 def render_person(name: Column, title: Column, department: Column, owns: Column, systems: Column, scope: Column, backup: Column, escalates: Column, reach: Column) -> Column:
     """Canonical text of one directory entry."""
     joined = lambda a, s: F.array_join(F.transform(a, one_line), s)

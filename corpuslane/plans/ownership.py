@@ -32,7 +32,11 @@ def v_entries(t: Tables) -> DataFrame:
         F.regexp_extract("source", r"([0-9]+)$", 1).cast("bigint").alias("person"), F.col("source").alias("name"), "title",
         F.when(F.col("longest") > 20000, "P0").when(F.col("longest") > 5000, "P1").otherwise("P2").alias("priority"),
         F.regexp_extract("source", r"([0-9]+)$", 1).cast("bigint").alias("ord"),
-    )
+    ).withColumns({
+        "department": F.concat(F.lit("Desk "), "priority"), "slack": F.when(F.col("priority") == "P0", F.concat(F.lit("#"), "name")).otherwise(""),
+        "dashboard": F.when(F.col("priority") == "P1", F.concat("name", F.lit(" (unverified)"))).otherwise(""),
+        "backup": F.when(F.col("person") % 3 == 0, F.concat(F.lit("whoever  "), F.repeat(F.lit("covers the desk next to it and then "), (F.col("person") % 4).cast("int")), F.lit("answers"))).otherwise(""),
+    })
 
 
 def v_owner_lines(t: Tables) -> DataFrame:
@@ -51,7 +55,7 @@ def v_messages(t: Tables) -> DataFrame:
     return owner_query_of(turns).select(F.col("conv_id").alias("msg_id"), F.col("query").alias("text"))
 
 
-SQL_OWNERS = f"""people AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS person, source AS name, string_agg(DISTINCT lang, ' ' ORDER BY lang) AS title,
+SQL_INDEX = f"""people AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS person, source AS name, string_agg(DISTINCT lang, ' ' ORDER BY lang) AS title,
      CASE WHEN max(n_chars) > 20000 THEN 'P0' WHEN max(n_chars) > 5000 THEN 'P1' ELSE 'P2' END AS priority FROM documents GROUP BY source),
 names AS (SELECT DISTINCT unnest({sql_words('name')}) AS word FROM people),
 lw AS (SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS person, doc_id AS line_no, lang <> 'en' AS route, unnest({sql_words('text')}) AS word FROM documents),
@@ -61,17 +65,21 @@ both_ AS (SELECT * FROM owned UNION ALL SELECT * FROM titled),
 products AS (SELECT DISTINCT unnest({sql_words('token')}) AS word FROM (SELECT unnest(regexp_split_to_array(string_split(text, chr(10))[1], '\\s+')) AS token FROM benchmark) WHERE regexp_matches(token, '^[A-Z]')),
 n AS (SELECT count(*) AS n FROM people),
 weights AS (SELECT word, count(DISTINCT person) AS df, ln(1 + max(n) / (count(DISTINCT person) + 1)) / ln(1 + max(n) / 2) * CASE WHEN word IN (SELECT word FROM products) THEN 0.3 ELSE 1.0 END AS weight
-            FROM both_, n GROUP BY word),
-u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'),
+            FROM both_, n GROUP BY word)"""
+
+SQL_MESSAGES = f"""u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'),
 two AS (SELECT conv_id, max(CASE WHEN r = 1 THEN text END) AS latest, max(CASE WHEN r = 2 THEN text END) AS previous FROM u WHERE r <= 2 GROUP BY 1),
-msgs AS (SELECT conv_id AS msg_id, CASE WHEN previous IS NOT NULL AND len({sql_words('latest')}) < 4 THEN previous || chr(10) || latest ELSE latest END AS text FROM two),
-mw AS (SELECT DISTINCT msg_id, unnest({sql_words('text')}) AS word FROM msgs),
+msgs AS (SELECT conv_id AS msg_id, CASE WHEN previous IS NOT NULL AND len({sql_words('latest')}) < 4 THEN previous || chr(10) || latest ELSE latest END AS text FROM two)"""
+
+SQL_PICKED = f"""mw AS (SELECT DISTINCT msg_id, unnest({sql_words('text')}) AS word FROM msgs),
 base AS (SELECT msg_id, person, sum(weight) AS score FROM mw JOIN both_ USING (word) JOIN weights USING (word) GROUP BY 1, 2),
 over_ AS (SELECT b.*, p.priority, round(score, 9) AS s FROM base b JOIN people p USING (person) WHERE round(score, 9) >= 0.8),
 placed AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY s DESC, priority, person) AS place FROM over_),
 picks AS (SELECT *, max(s) OVER (PARTITION BY msg_id) AS top FROM placed WHERE place <= 2),
 picked AS (SELECT msg_id, person, score, place FROM picks WHERE place = 1 OR s >= top * 0.6)"""
 
+SQL_OWNERS = f"{SQL_INDEX}, {SQL_MESSAGES}, {SQL_PICKED}"
+
 
 def v_index(t: Tables):
     people = materialize(v_entries(t), "owners")
@@ -99,16 +107,52 @@ def pick_owners(t: Tables) -> DataFrame:
     return picks.select("msg_id", "person", "place", F.round("score", 6).alias("score"))
 
 
-@query(
-    "best_reason", "W15",
-    f"""WITH {SQL_OWNERS}, ls AS (SELECT p.msg_id, p.person, l.line_no, l.route, round(sum(weight), 9) AS s FROM picked p JOIN mw USING (msg_id) JOIN lw l ON l.person = p.person AND l.word = mw.word JOIN weights w ON w.word = mw.word
-          WHERE mw.word NOT IN (SELECT word FROM names) GROUP BY 1, 2, 3, 4)
-    SELECT msg_id, person, line_no, route, round(CAST(s AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, person ORDER BY s DESC, route, line_no) AS r FROM ls) WHERE r = 1""",
-)
-def best_reason(t: Tables) -> DataFrame:
+# each picked owner's best line
+SQL_REASON = """ls AS (SELECT p.msg_id, p.person, l.line_no, l.route, round(sum(weight), 9) AS s FROM picked p JOIN mw USING (msg_id) JOIN lw l ON l.person = p.person AND l.word = mw.word JOIN weights w ON w.word = mw.word
+          WHERE mw.word NOT IN (SELECT word FROM names) GROUP BY 1, 2, 3, 4),
+why AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id, person ORDER BY s DESC, route, line_no) AS r FROM ls) WHERE r = 1)"""
+
+
+def sql_clip(x: str) -> str:
+    line = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({line}) <= {L.REASON_CHARS} THEN {line} ELSE rtrim(left({line}, {L.REASON_CHARS - 1})) || '…' END"
+
+
+_NO_OWNER = L.NO_OWNER.replace("'", "''")
+SQL_BLOCK = f"""{SQL_REASON},
+entry AS (SELECT msg_id, place, place || '. ' || p.name || ', ' || p.title || ' (Desk ' || p.priority || ').'
+            || CASE p.priority WHEN 'P0' THEN ' Reach: Slack #' || p.name || '.' WHEN 'P1' THEN ' Reach: Dashboard ' || p.name || '.' ELSE '' END
+            || CASE WHEN p.person % 3 = 0 THEN ' Backup: ' || {sql_clip("'whoever ' || repeat('covers the desk next to it and then ', CAST(p.person % 4 AS INT)) || 'answers'")} || '.' ELSE '' END || ' '
+            || CASE WHEN d.text IS NULL THEN 'Title matches.' WHEN why.route THEN 'Route when "' || {sql_clip('d.text')} || '".' ELSE 'Owns "' || {sql_clip('d.text')} || '".' END AS e
+          FROM picked JOIN people p USING (person) LEFT JOIN why USING (msg_id, person) LEFT JOIN documents d ON d.doc_id = why.line_no),
+pair AS (SELECT msg_id, '{L.OWNER_HEADING}' || chr(10) || max(e) FILTER (place = 1) AS one, max(e) FILTER (place = 2) AS two FROM entry GROUP BY 1),
+blocks AS (SELECT msg_id, CASE WHEN one IS NULL THEN '{_NO_OWNER}' WHEN length(one || chr(10) || two) <= {L.OWNER_BLOCK_CHARS} THEN one || chr(10) || two ELSE left(one, {L.OWNER_BLOCK_CHARS}) END AS block,
+             CASE WHEN one IS NULL THEN 0 WHEN length(one || chr(10) || two) <= {L.OWNER_BLOCK_CHARS} THEN 2 ELSE 1 END AS owners FROM msgs LEFT JOIN pair USING (msg_id))"""
+
+
+def v_reasons(t: Tables, messages: DataFrame | None = None):
+    """Picked owners of each message, the best line of each, and the directory."""
     people, entries, weights, mwords = v_index(t)
-    picks = O.pick_owners(O.match_owners(mwords, entries, weights, L.OWNER_MIN_SCORE), people)
-    return O.best_reason(mwords, picks, people, v_owner_lines(t), weights).select("msg_id", "person", "line_no", "route", F.round("score", 6).alias("score"))
+    if messages is not None:
+        mwords = O.message_words(messages)
+    picks = materialize(O.pick_owners(O.match_owners(mwords, entries, weights, L.OWNER_MIN_SCORE), people), "picks")
+    return picks, O.best_reason(mwords, picks, people, v_owner_lines(t), weights), people
+
+
+@query("best_reason", "W15", f"WITH {SQL_OWNERS}, {SQL_REASON} SELECT msg_id, person, line_no, route, round(CAST(s AS DOUBLE), 6) AS score FROM why")
+def best_reason(t: Tables) -> DataFrame:
+    return v_reasons(t)[1].select("msg_id", "person", "line_no", "route", F.round("score", 6).alias("score"))
+
+
+def v_owner_blocks(t: Tables, messages: DataFrame) -> DataFrame:
+    picks, reasons, people = v_reasons(t, messages)
+    return O.owner_block(messages, picks, people, reasons, v_owner_lines(t))
+
+
+@query("owner_block", "A19 W14 W15", f"WITH {SQL_OWNERS}, {SQL_BLOCK} SELECT msg_id, md5(block) AS digest, CAST(owners AS BIGINT) AS owners FROM blocks")
+def owner_block(t: Tables) -> DataFrame:
+    """What every conversation's request says about its owners."""
+    return v_owner_blocks(t, v_messages(t)).select("msg_id", F.md5("block").alias("digest"), "owners")
 
 
 @query("owner_lines", "P35",
