@@ -200,3 +200,9 @@ OWNER_HEADING = "Team directory match for this message (computed from the team d
 NO_OWNER = "Team directory match for this message: no entry's Owns line names this work. Name no person."
 HANDOFFS_HEADING = "Handoffs (criteria, not timelines; crossing one involves both teams):"
 OUTSIDE_HEADING = "Outside Operations (say so, and name the Operations function that coordinates):"
+
+# fixed values: what a blocked answer shows in place of its text
+BLOCKED_LINES = {
+    "none": "No SOP directly covers this. The closest SOPs are below — check those, then ask your team lead if they do not answer it.",
+    "unconfirmed": "SOP coverage for this request could not be confirmed. The closest SOPs are below; ask your team lead if they do not answer it.",
+}

@@ -121,6 +121,29 @@ def gap_count(text: Column | str) -> Column:
     return F.coalesce(F.size(gaps), F.lit(0)).cast("bigint")
 
 
+def delivery_stats(df: DataFrame, raw: str, tail: str | None = None) -> DataFrame:
+    """Per answer, what was generated against what was delivered: steps, gaps and characters.
+
+    A blocked answer delivers its fixed line only. An admitted one delivers its body; ``tail`` names a column with the
+    rebuilt citation tail, null where none was rebuilt, that stands in for the held one. ``none_with_steps`` marks an
+    answer that declared no coverage and gave steps all the same.
+    """
+    gated = gate_coverage(df, raw)
+    body = F.col("body")
+    if tail:
+        gated = hold_tail(gated, "body")
+        body = F.when(F.col("held").isNull() | F.col(tail).isNull(), body).otherwise(F.concat("shown", tail))
+    notice = F.create_map(*[F.lit(x) for kv in L.BLOCKED_LINES.items() for x in kv])
+    gated = gated.withColumn("_sent", F.when(F.col("blocked").isNotNull(), notice[F.col("blocked")]).otherwise(body))
+    counts = {}
+    for side, c in (("generated", raw), ("delivered", "_sent")):
+        counts |= {f"{side}_steps": step_count(c), f"{side}_gaps": gap_count(c), f"{side}_chars": F.char_length(c).cast("bigint")}
+    out = gated.withColumns(counts)
+    declared = ~F.coalesce(F.col("reason").isin("missing", "invalid"), F.lit(False))
+    contradicts = F.coalesce(F.col("reason") == "none", F.lit(False)) & (F.col("generated_steps") > 0)
+    return out.withColumns({"coverage_line": declared, "none_with_steps": contradicts}).drop("_sent")
+
+
 def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per known heading; text before the first is dropped, empty bodies are kept.
 

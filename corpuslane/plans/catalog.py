@@ -6,7 +6,7 @@ import importlib
 
 from corpuslane.plans.registry import ENTRIES, runner
 
-MODULES = ["retrieval", "screening", "conversations", "snapshots", "citations", "ownership", "rulebook", "evaluation", "streams"]
+MODULES = ["retrieval", "screening", "conversations", "snapshots", "citations", "ownership", "rulebook", "evaluation", "streams", "requests"]
 
 for _m in MODULES:
     importlib.import_module(f"corpuslane.plans.{_m}")

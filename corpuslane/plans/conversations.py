@@ -263,6 +263,28 @@ def coverage_report(t: Tables) -> DataFrame:
     )
 
 
+_COUNTS = ", ".join(
+    rf"""len(list_filter(coalesce({s}l[1:coalesce(list_position(list_transform({s}l, lambda x: regexp_matches(x, '(?i)^[\s#*]*what the sops say([^A-Za-z0-9_]|$)')), true), len({s}l) + 1) - 1], []), lambda x: regexp_matches(x, '^\s*[0-9]+\.\s'))) AS {side}_steps,
+    len(list_filter(coalesce({s}l[list_position(list_transform({s}l, lambda x: regexp_matches(x, '(?i)^[\s#*]*not covered by the sops([^A-Za-z0-9_]|$)')), true) + 1:], []), lambda x: regexp_matches(x, '^\s*-\s'))) AS {side}_gaps,
+    length({c}) AS {side}_chars"""
+    for side, s, c in (("generated", "a", "answer"), ("delivered", "s", "sent"))
+)
+
+
+@query(
+    "delivery_stats", "A3 A4 ST4",
+    f"""WITH {SQL_GATE}, d AS (SELECT *, CASE blocked WHEN 'none' THEN '{L.BLOCKED_LINES["none"]}' WHEN 'unconfirmed' THEN '{L.BLOCKED_LINES["unconfirmed"]}' ELSE body END AS sent FROM gated),
+    l AS (SELECT *, string_split(answer, chr(10)) AS al, string_split(sent, chr(10)) AS sl FROM d), c AS (SELECT *, {_COUNTS} FROM l)
+    SELECT conv_id, turn, coverage, reason, generated_steps, delivered_steps, generated_gaps, delivered_gaps, generated_chars, delivered_chars,
+        coalesce(reason NOT IN ('missing', 'invalid'), true) AS coverage_line, coalesce(reason = 'none', false) AND generated_steps > 0 AS none_with_steps FROM c""",
+)
+def delivery_stats(t: Tables) -> DataFrame:
+    return A.delivery_stats(v_answers(t), "answer").select(
+        "conv_id", "turn", "coverage", "reason", *[f"{side}_{c}" for c in ("steps", "gaps", "chars") for side in ("generated", "delivered")],
+        "coverage_line", "none_with_steps",
+    )
+
+
 @query(
     "split_sections", "W12",
     f"""WITH {SQL_ANSWERS}, l AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS raw, generate_subscripts(string_split(answer, chr(10)), 1) AS line FROM ans),
@@ -313,13 +335,55 @@ def grade_answers(t: Tables) -> DataFrame:
     return A.grade_answers(cases, "case", "answer", "scored").select("conv_id", "turn", "scored", "one_question", "gap_gate", "timeframe")
 
 
-@query("answer_steps", "P23")
+@query(
+    "answer_steps", "P23",
+    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS step FROM conversations)
+    SELECT conv_id, turn, CAST(step AS BIGINT) AS step, md5(trim(line)) AS digest FROM l""",
+)
 def answer_steps(t: Tables) -> DataFrame:
     return X.unroll(A.answer_parts(v_answers(t), "answer"), ["conv_id", "turn"], A.steps_of("head"), "step", "text").select(
         "conv_id", "turn", F.col("step").cast("bigint").alias("step"), F.md5("text").alias("digest")
     )
 
 
+#: What a step of a coded answer starts with, by the turn and the step's place.
+CODED = (
+    "Select the correct code. ", "Ask the provider for the diagnosis code: ", "Do not change the code. ", "The prescriber chooses; enter it. ",
+    "Note the visit. Then pick a code. ", "Add the required ICD-10 code ", "Confirm the date. ",
+)
+
+
+def v_coded_answers(t: Tables) -> DataFrame:
+    """Answers whose steps handle codes in every way the grades tell apart; each turn has its own run of ways."""
+    ways = F.array(*[F.lit(w) for w in CODED])
+    step = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.get(ways, F.pmod(F.col("conv_id") + F.col("turn") * 3 + i, F.lit(len(CODED))).cast("int")), x)
+    answer = F.concat(
+        F.lit("Do now\n"), F.array_join(F.transform(X.lines_of("text"), step), "\n"), F.lit("\n**What the SOPs say:**\nSelect the code.\nNot covered by the SOPs\n- "),
+        F.when(F.col("turn") % 2 == 0, "the specific steps for codes").otherwise("opening hours"),
+    )
+    return spread(t.conversations).select("conv_id", "turn", answer.alias("answer"))
+
+
+@query(
+    "grade_codes", "P23",
+    rf"""WITH w AS (SELECT [{", ".join(f"'{w}'" for w in CODED)}] AS ways),
+    l AS (SELECT conv_id, turn, i, ways[(conv_id + turn * 3 + i) % {len(CODED)} + 1] || x AS step FROM w, (
+        SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations)),
+    c AS (SELECT *, regexp_replace(regexp_replace(step, '([.!?])\s', '\1' || chr(1)), chr(1) || '[\s\S]*$', '') AS clause FROM l),
+    g AS (SELECT *, regexp_matches(step, '(?i)\b(icd-?10|diagnosis code|code)\b') AS coded,
+        regexp_matches(clause, '(?i)\b(route|ask|send|flag|notify|never|do not|don''t)\b') AS handed,
+        regexp_matches(clause, '(?i)\b(add|change|select|choose|determine|enter|pick|apply|update|use)\s+((a|an|the|correct|clinically|appropriate|medicare-covered|required|diagnosis|icd-?10)\s+){{0,6}}(code|it)\b') AS chooses,
+        regexp_matches(step, '(?i)\b(route|ask|send|flag|notify)\b[^.
+]{{0,150}}\b(provider|prescriber)\b|\b(provider|prescriber)\b[^.
+]{{0,80}}\b(selects|chooses|decides)\b') AS routed FROM c)
+    SELECT conv_id, turn, NOT bool_or(coded) OR bool_and(handed OR NOT chooses) AS reserve, bool_or(routed) AS routing, turn % 2 <> 0 AS gap_gate, count(*) AS steps FROM g GROUP BY conv_id, turn""",
+)
+def grade_codes(t: Tables) -> DataFrame:
+    """Who settles a code, and whether the work is handed on, for answers that do it in all ways."""
+    cases = v_coded_answers(t).withColumns({"case": F.lit("A1"), "scored": F.lit(True)})
+    return A.grade_answers(cases, "case", "answer", "scored").select("conv_id", "turn", "reserve", "routing", "gap_gate", "steps")
+
+
 @query(
     "reason_for", "P28",
     f"""WITH {SQL_ANSWERS} SELECT conv_id, turn, nullif(regexp_extract(substr(answer, strpos(answer, 'What the SOPs say') - 1 + strpos(substr(lower(answer), strpos(answer, 'What the SOPs say')), 'guide'), 600), '"([^"]{{10,450}})"', 1), '') AS reason FROM ans""",

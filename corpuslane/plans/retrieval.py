@@ -204,7 +204,7 @@ def distinct_keys(t: Tables) -> DataFrame:
     return v_hits(t).select("file").distinct()
 
 
-SQL_PACK = rf"""{SQL_RANKED},
+SQL_PACKED = rf"""{SQL_RANKED},
 meta AS (SELECT doc_id AS file, source AS title, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body,
                 CASE WHEN lang = 'de' THEN 'draft' END AS status, text FROM documents),
 whole AS (SELECT * FROM (SELECT query_id, file, title, 'full' AS kind, body AS text, length(body) AS chars, status = 'draft' AS draft, rank AS ord, 0 AS phase,
@@ -214,11 +214,10 @@ chunk AS (SELECT h.query_id, h.file, coalesce(m.title, 'Untitled SOP') AS title,
                  regexp_replace(substr(m.text, 1 + 1800 * CAST(h.part AS BIGINT), 2000), '^\s+|\s+$', '', 'g') AS text, m.status = 'draft' AS draft, h.pos AS ord, 1 AS phase
           FROM hits h LEFT JOIN meta m USING (file)
           WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.query_id = h.query_id AND w.file = h.file)),
-both_phases AS (SELECT query_id, file, title, kind, chars, draft, ord, phase FROM whole
-         UNION ALL SELECT query_id, file, title, kind, length(text), draft, ord, phase FROM chunk WHERE text <> ''),
-packed AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY phase, ord) AS used FROM both_phases)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY phase, ord) AS label, file, title, kind, CAST(chars AS BIGINT) AS chars,
-       coalesce(draft, false) AS draft, CAST(used AS BIGINT) AS used FROM packed WHERE used <= 26000
+both_phases AS (SELECT query_id, file, title, kind, text, chars, draft, ord, phase FROM whole
+         UNION ALL SELECT query_id, file, title, kind, text, length(text), draft, ord, phase FROM chunk WHERE text <> ''),
+packed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, ord) AS label FROM (
+    SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY phase, ord) AS used FROM both_phases) WHERE used <= 26000)
 """
 
 
@@ -236,20 +235,14 @@ def v_packed(t: Tables) -> DataFrame:
     return C.pack_context(R.rank_files(hits), chunk_hits, meta)
 
 
-@query("pack_context", "W2", f"WITH {SQL_PACK}")
+@query(
+    "pack_context", "W2",
+    f"WITH {SQL_PACKED} SELECT query_id, label, file, title, kind, CAST(chars AS BIGINT) AS chars, coalesce(draft, false) AS draft, CAST(used AS BIGINT) AS used FROM packed",
+)
 def pack_context(t: Tables) -> DataFrame:
     return v_packed(t).select("query_id", "label", "file", "title", "kind", "chars", F.coalesce("draft", F.lit(False)).alias("draft"), "used")
 
 
-@query("context_request", "A19 S9")
-def context_request(t: Tables) -> DataFrame:
-    requests = v_queries(t).select(
-        "query_id", F.col("query").alias("message"), F.lit("").alias("rules_block"), F.lit("").alias("owner_block")
-    )
-    out = C.request_text(v_packed(t), requests)
-    return out.select("query_id", F.char_length("request").cast("bigint").alias("chars"), F.md5("request").alias("digest"))
-
-
 @query(
     "ordered_assembly", "A19 W17",
     f"""WITH e AS (SELECT l_orderkey, l_linenumber, '[' || l_linenumber || '] ' || l_partkey || ' ' || l_returnflag AS line FROM lineitem),
