@@ -221,6 +221,64 @@ SQL_PEOPLE = """pb AS (SELECT p_partkey AS person, p_name, p_type, p_brand, n_na
    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+def sql_topic(text: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in L.TOPIC_STOPWORDS)
+    return rf"""list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(lower({text}), '[^a-z0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')),
+      lambda x: length(x) >= 3 AND x NOT IN ({stops})), lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END))"""
+
+
+def sql_ref(x: str) -> str:
+    """How a reference to a person is looked up."""
+    return rf"regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), '\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g')), '^dr\.\s*', 'dr ')"
+
+
+def sql_named(text: str) -> str:
+    """Whether a text names the ``phrase`` of a department."""
+    return rf"contains(' ' || trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || phrase || ' ')"
+
+
+# the directory as a table, then references, issues and entries as text
+SQL_DIRECTORY = rf"""dir AS (SELECT p_partkey AS person, CASE WHEN s_acctbal < 1000 THEN 'Dr. Ng' || p_partkey ELSE 'Ana' || p_partkey || ' Ruiz' || s_nationkey END AS name,
+        CASE WHEN s_acctbal > 9500 THEN '' ELSE p_type || ' lead' END AS title, n_name AS department, CASE WHEN p_size <= 45 THEN r_name END AS own,
+        CASE WHEN p_size > 30 THEN 'P0' WHEN p_size > 15 THEN 'P1' ELSE 'P2' END AS priority, [p_name || ' orders', p_type || ' returns'] AS owns, p_brand, p_name || ' repair' AS topic,
+        'Ana' || ((p_partkey + 1) % (SELECT count(*) FROM part)) || CASE WHEN p_size > 25 THEN ' (days)' ELSE '' END AS backup,
+        CASE WHEN p_size > 40 THEN 'Ana' || ((p_partkey + 1) % (SELECT count(*) FROM part)) WHEN p_size > 20 THEN 'Zone ' || ((n_regionkey + 1) % 5) ELSE 'nobody here' END AS target
+        FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    sent AS (SELECT person, topic, unnest([target, 'desk']) AS target FROM dir),
+    excl AS (SELECT r_name AS department, n_nationkey AS excl, p_name || ' repair' AS topic, 'Zone ' || ((n_nationkey + 2) % 5) AS target FROM region JOIN nation ON n_regionkey = r_regionkey JOIN part ON p_partkey = n_nationkey
+             UNION ALL SELECT r_name, 1000000, 'loose ends', '' FROM region),
+    phrases AS (SELECT r_name AS named, unnest([lower(r_name), 'zone ' || r_regionkey, 'area ' || r_regionkey]) AS phrase FROM region),
+    keys AS (SELECT DISTINCT person, unnest([lower(name), regexp_replace(lower(name), '^dr\.\s*', 'dr '), CASE WHEN NOT starts_with(name, 'Dr.') THEN split_part(lower(name), ' ', 1) END]) AS key FROM dir)"""
+
+SQL_ISSUES = rf"""{SQL_DIRECTORY},
+    et AS (SELECT *, {sql_topic('topic')} AS w FROM excl),
+    lost AS (SELECT person, topic FROM sent WHERE topic IS NOT NULL GROUP BY ALL HAVING count(*) FILTER ({sql_ref('target')} IN (SELECT key FROM keys) OR target LIKE 'Zone %') = 0),
+    refs AS (SELECT person, 'Backup matches no one in the directory and no department' AS message FROM dir WHERE {sql_ref('backup')} NOT IN (SELECT key FROM keys WHERE key IS NOT NULL)
+             UNION ALL SELECT person, 'Out of Scope "' || topic || '" routes to no one in the directory and no department' FROM lost),
+    held AS (SELECT person, own AS department, 'owns "' || topic || '", but ' AS lead, {sql_topic('topic')} AS w FROM (SELECT person, own, unnest(owns) AS topic FROM dir) WHERE own IS NOT NULL
+             UNION ALL
+             SELECT s.person, d.own, 'sends "' || s.topic || '" to ' || CASE WHEN d.title = '' THEN 'untitled row' ELSE d.title END || ' (' || d.department || '), but ', {sql_topic('s.topic')}
+             FROM sent s JOIN keys ON keys.key = {sql_ref('s.target')} JOIN dir d ON d.person = keys.person WHERE d.own IS NOT NULL),
+    conflicts AS (SELECT h.person, lead || h.department || ' excludes "' || e.topic || '"' || CASE WHEN e.target <> '' THEN ' (' || e.target || ')' ELSE '' END AS message
+             FROM held h JOIN et e USING (department) WHERE len(list_intersect(h.w, e.w)) >= 2 OR (len(list_intersect(h.w, e.w)) >= 1 AND least(len(h.w), len(e.w)) <= 2)),
+    en AS (SELECT e.*, named FROM et e JOIN phrases ON {sql_named("CASE WHEN e.target <> '' THEN e.target ELSE e.topic END")}),
+    mine AS (SELECT d.person, d.topic AS said, en.* FROM dir d JOIN en ON en.department = d.own WHERE en.named <> d.own),
+    goes AS (SELECT person, named FROM sent JOIN phrases ON {sql_named('target')} UNION SELECT s.person, d.own FROM sent s JOIN keys ON keys.key = {sql_ref('s.target')} JOIN dir d ON d.person = keys.person),
+    saidw AS (SELECT person, {sql_topic('topic')} AS w FROM (SELECT person, topic FROM dir UNION ALL SELECT person, 'billing' FROM dir)),
+    gaps AS (SELECT person, department || ' excludes "' || topic || '" (' || string_agg(DISTINCT named, ' or ' ORDER BY named) || '), but Out of Scope never sends it on' AS message FROM mine m
+             WHERE NOT EXISTS (SELECT 1 FROM goes g JOIN mine o ON o.person = g.person AND o.named = g.named WHERE o.person = m.person AND o.excl = m.excl)
+               AND NOT EXISTS (SELECT 1 FROM saidw s WHERE s.person = m.person AND (len(list_intersect(s.w, m.w)) >= 2 OR (len(list_intersect(s.w, m.w)) >= 1 AND least(len(s.w), len(m.w)) <= 2)))
+             GROUP BY person, department, excl, topic)"""
+
+SQL_LISTED = f"""{SQL_ISSUES}, listed AS (
+    SELECT person, 'error' AS level, 'left out: no Title' AS message, 1 AS severity FROM dir WHERE title = '' UNION ALL SELECT person, 'reference', message, 2 FROM refs
+    UNION ALL SELECT person, 'conflict', message, 3 FROM conflicts UNION ALL SELECT person, 'gap', message, 4 FROM gaps
+    UNION ALL SELECT person, 'note', 'no Routing Department, so the routing-map cross-check is skipped', 5 FROM dir WHERE own IS NULL)"""
+
+SQL_RENDERED = """rendered AS (SELECT person, department, priority, title, name || ': ' || title || ' (' || department || ')' || chr(10) || '- Owns: ' || array_to_string(owns, '; ') || chr(10) || '- Systems: ' || p_brand || ', Ledger'
+        || chr(10) || '- Out of scope: ' || topic || ' → ' || target || ' / desk; billing' || chr(10) || '- Backup: ' || backup || chr(10) || '- Escalates to: Head' || chr(10) || '- Reach: Slack #' || department AS text FROM dir)"""
+
+
 @query(
     "parse_directory", "P33",
     f"""WITH {SQL_PEOPLE} SELECT person, priority, p_name || ' orders|' || p_type || ' returns' AS owns, p_brand || '|Ledger' AS systems, p_name || ' repair' AS topic,
@@ -273,7 +331,12 @@ def v_directory(t: Tables) -> tuple[DataFrame, DataFrame]:
     return people, departments
 
 
-@query("resolve_targets", "J7")
+@query(
+    "resolve_targets", "J7",
+    f"""WITH {SQL_DIRECTORY}, firsts AS (SELECT lower(own) AS key, min(person) AS person FROM dir WHERE own IS NOT NULL GROUP BY 1),
+    named AS (SELECT key, person FROM keys WHERE key NOT LIKE 'dr.%' UNION ALL SELECT key, person FROM firsts WHERE key NOT IN (SELECT key FROM keys WHERE key IS NOT NULL))
+    SELECT s.person, CAST(0 AS BIGINT) AS entry, s.target, n.person AS target_person FROM sent s JOIN named n ON n.key = {sql_ref('s.target')}""",
+)
 def resolve_targets(t: Tables) -> DataFrame:
     people, _ = v_directory(t)
     aliases = O.alias_table(people.withColumn("ord", F.col("person")))
@@ -309,12 +372,6 @@ def departments_named(t: Tables) -> DataFrame:
     return G.departments_named(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text", departments)
 
 
-def sql_topic(text: str) -> str:
-    stops = ", ".join(f"'{w}'" for w in L.TOPIC_STOPWORDS)
-    return rf"""list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(lower({text}), '[^a-z0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')),
-      lambda x: length(x) >= 3 AND x NOT IN ({stops})), lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END))"""
-
-
 @query(
     "topic_overlap", "J9",
     f"""WITH a AS (SELECT item_id AS a_id, {sql_topic("string_split(text, chr(10))[1]")} AS w FROM benchmark), b AS (SELECT doc_id AS b_id, {sql_topic("string_split(text, chr(10))[1]")} AS w FROM documents),
@@ -327,22 +384,35 @@ def topic_overlap(t: Tables) -> DataFrame:
     return G.topic_overlap(a, b).select("a_id", "b_id", "shared")
 
 
-@query("routing_conflicts", "J10")
+@query(
+    "routing_conflicts", "J10",
+    f"WITH {SQL_ISSUES} SELECT person, 'conflict' AS level, message FROM conflicts",
+)
 def routing_conflicts(t: Tables) -> DataFrame:
     return G.routing_conflicts(*v_directory(t))
 
 
-@query("routing_gaps", "J11")
+@query(
+    "routing_gaps", "J11",
+    f"WITH {SQL_ISSUES} SELECT person, 'gap' AS level, message FROM gaps",
+)
 def routing_gaps(t: Tables) -> DataFrame:
     return G.routing_gaps(*v_directory(t))
 
 
-@query("dangling_refs", "J12")
+@query(
+    "dangling_refs", "J12",
+    f"WITH {SQL_ISSUES} SELECT person, 'reference' AS level, message FROM refs",
+)
 def dangling_refs(t: Tables) -> DataFrame:
     return G.dangling_refs(*v_directory(t))
 
 
-@query("expand_backups", "J13")
+@query(
+    "expand_backups", "J13",
+    f"""WITH {SQL_DIRECTORY}, n AS (SELECT d.person, d.backup, count(k.person) AS n, min(k.person) AS named FROM dir d LEFT JOIN keys k ON k.key = {sql_ref('d.backup')} GROUP BY 1, 2)
+    SELECT n.person, CASE WHEN n = 1 AND named <> n.person THEN f.name || CASE WHEN contains(n.backup, '(') THEN ' (days)' ELSE '' END ELSE n.backup END AS backup FROM n LEFT JOIN dir f ON f.person = named""",
+)
 def expand_backups(t: Tables) -> DataFrame:
     return G.expand_backups(v_directory(t)[0]).select("person", "backup")
 
@@ -354,7 +424,13 @@ def v_rendered(people: DataFrame) -> DataFrame:
     )
 
 
-@query("issue_summary", "A11 T3")
+@query(
+    "issue_summary", "A11 T3",
+    f"""WITH {SQL_LISTED}, {SQL_RENDERED}, c AS (SELECT {", ".join(f"count(*) FILTER (level = '{v}') AS {v}s" for v in L.LEVELS)} FROM listed),
+    r AS (SELECT count(*) AS usable, CAST(greatest(sum(length(text) + 2) - 2, 0) AS BIGINT) AS chars FROM rendered WHERE title <> '')
+    SELECT *, CASE WHEN usable = 0 THEN 'no usable Live rows' WHEN chars > {L.DIRECTORY_CHARS}
+        THEN 'the directory renders to ' || chars || ' characters, over the {L.DIRECTORY_CHARS} ceiling; shorten Core Responsibilities or Out of Scope lines' END AS blocked FROM c, r""",
+)
 def issue_summary(t: Tables) -> DataFrame:
     people, departments = v_directory(t)
     issues = materialize(G.check_directory(people, departments), "issues")
@@ -363,12 +439,20 @@ def issue_summary(t: Tables) -> DataFrame:
     return G.issue_summary(issues, people, sized)
 
 
-@query("issue_listing", "T3")
+@query(
+    "issue_listing", "T3",
+    f"""WITH {SQL_LISTED} SELECT l.person, level, message, CASE WHEN title = '' THEN 'untitled row' ELSE title END || ' (' || department || ')' AS row, CAST(severity AS BIGINT) AS severity
+    FROM listed l JOIN dir USING (person)""",
+)
 def issue_listing(t: Tables) -> DataFrame:
     return G.check_directory(*v_directory(t)).orderBy("severity", "person", "message")
 
 
-@query("render_directory", "A19 W17")
+@query(
+    "render_directory", "A19 W17",
+    f"""WITH {SQL_DIRECTORY}, {SQL_RENDERED}, u AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY department ORDER BY priority, person ROWS UNBOUNDED PRECEDING) - 2 AS used FROM rendered)
+    SELECT department, string_agg(text, chr(10) || chr(10) ORDER BY priority, person) AS directory FROM u WHERE used <= {L.DIRECTORY_CHARS} GROUP BY 1""",
+)
 def render_directory(t: Tables) -> DataFrame:
     """Directory text per department: whole entries, P0 first, within the ceiling."""
     people, _ = v_directory(t)
