@@ -344,7 +344,29 @@ def resolve_targets(t: Tables) -> DataFrame:
     return O.resolve_targets(scope, aliases).select("person", F.col("entry").cast("bigint").alias("entry"), "target", "target_person")
 
 
-@query("redirect_effects", "A7")
+@query(
+    "redirect_effects", "A7",
+    f"""WITH {SQL_DIRECTORY},
+    names AS (SELECT DISTINCT unnest({sql_words('name')}) AS word FROM dir),
+    owned AS (SELECT DISTINCT d.person, word FROM (SELECT person, unnest({sql_words('line')}) AS word FROM (
+        SELECT person, unnest(list_append(owns, 'first ' || replace(topic, ' repair', '') || ' second')) AS line FROM dir)) d WHERE word NOT IN (SELECT word FROM names)),
+    entries AS (SELECT person, word FROM owned UNION ALL SELECT * FROM (SELECT DISTINCT person, unnest({sql_words('title')}) AS word FROM dir)),
+    products AS (SELECT DISTINCT unnest({sql_words('token')}) AS word FROM (SELECT unnest([p_brand, 'Ledger']) AS token FROM dir)),
+    n AS (SELECT count(*) AS n FROM dir),
+    weights AS (SELECT word, ln(1 + max(n) / (count(DISTINCT person) + 1)) / ln(1 + max(n) / 2) * CASE WHEN word IN (SELECT word FROM products) THEN 0.3 ELSE 1.0 END AS weight FROM entries, n GROUP BY word),
+    mw AS (SELECT DISTINCT msg_id, unnest({sql_words('text')}) AS word FROM (SELECT p_partkey AS msg_id, p_name || ' repair ' || p_type AS text FROM part)),
+    base AS (SELECT msg_id, person, sum(weight) AS score FROM mw JOIN entries USING (word) JOIN weights USING (word) GROUP BY 1, 2),
+    tw AS (SELECT person, entry, topic, list_distinct({sql_words('topic')}) AS w FROM (SELECT person, 0 AS entry, topic FROM dir UNION ALL SELECT person, 1, 'billing' FROM dir)),
+    scored AS (SELECT msg_id, person, entry, topic, sum(weight) AS score, count(*) * 1.0 / max(size) AS covered
+        FROM mw JOIN (SELECT person, entry, topic, len(w) AS size, unnest(w) AS word FROM tw) USING (word) LEFT JOIN weights USING (word) GROUP BY 1, 2, 3, 4 HAVING sum(weight) > 0),
+    penalty AS (SELECT msg_id, person, max(score * covered) AS penalty FROM scored GROUP BY 1, 2),
+    pointed AS (SELECT DISTINCT s.person, 0 AS entry, k.person AS target FROM sent s JOIN keys k ON k.key = {sql_ref('s.target')} WHERE k.person <> s.person),
+    gain AS (SELECT msg_id, target AS person, max(score) AS gain, max_by(topic, round(score, 9)) AS redirect FROM scored JOIN pointed USING (person, entry) GROUP BY 1, 2),
+    total AS (SELECT msg_id, person, coalesce(score, 0) + coalesce(gain, 0) - coalesce(penalty, 0) AS score, redirect
+        FROM base FULL JOIN penalty USING (msg_id, person) FULL JOIN gain USING (msg_id, person)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY s DESC, priority, person) AS place FROM (SELECT t.*, round(score, 9) AS s, priority FROM total t JOIN dir USING (person)) WHERE s >= 0.8)
+    SELECT msg_id, person, place, round(CAST(score AS DOUBLE), 6) AS score, redirect FROM (SELECT *, max(s) OVER (PARTITION BY msg_id) AS top FROM placed WHERE place <= 2) WHERE place = 1 OR s >= top * 0.6""",
+)
 def redirect_effects(t: Tables) -> DataFrame:
     """Orders ask about parts by name; owners redirect repairs of their own part."""
     people, _ = v_directory(t)
