@@ -117,27 +117,42 @@ def resolve_targets(scope: DataFrame, aliases: DataFrame) -> DataFrame:
     return t.join(named, "key").drop("key")
 
 
-def redirect_effects(mwords: DataFrame, scope: DataFrame, resolved: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per (message, person): ``gain`` from lines pointing here, ``penalty`` for own lines.
-
-    The penalty is the line's score scaled by how much of the topic the message covers.
-    """
+def _topic_words(scope: DataFrame, weights: DataFrame) -> DataFrame:
     topic = scope.select("person", "entry", "topic", F.array_distinct(owner_words("topic")).alias("_w")).withColumn("size", F.size("_w"))
-    words = topic.select("person", "entry", "topic", "size", F.explode("_w").alias("word")).join(weights.select("word", "weight"), "word", "left")
-    scored = (
-        mwords.join(words, "word")
-        .groupBy("msg_id", "person", "entry", "topic", "size")
-        .agg(F.sum("weight").alias("score"), F.count("*").alias("covered"))
-        .filter(F.col("score") > 0)
-    )
-    penalty = scored.groupBy("msg_id", "person").agg(F.max(F.col("score") * F.col("covered") / F.col("size")).alias("penalty"))
-    pointed = resolved.filter(F.col("target_person") != F.col("person")).select("person", "entry", "target_person").distinct()
-    gain = (
+    return topic.select("person", "entry", "topic", "size", F.explode("_w").alias("word")).join(weights.select("word", "weight"), "word", "left")
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    """Out-of-scope lines that share weighty words with a message, with the shared weight and the number of words."""
+    return (
+        met.groupBy("msg_id", "person", "entry", "topic", "size")
+        .agg(F.sum("weight").alias("score"), F.count("*").alias("covered")).filter(F.col("score") > 0)
+    )
+
+
+def _penalty(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("msg_id", "person").agg(F.max(F.col("score") * F.col("covered") / F.col("size")).alias("penalty"))
+
+
+def _pointed(resolved: DataFrame) -> DataFrame:
+    return resolved.filter(F.col("target_person") != F.col("person")).select("person", "entry", "target_person").distinct()
+
+
+def _gain(scored: DataFrame, pointed: DataFrame) -> DataFrame:
+    return (
         scored.join(pointed, ["person", "entry"])
         .groupBy("msg_id", F.col("target_person").alias("person"))
         .agg(F.max("score").alias("gain"), F.max_by("topic", F.struct("score", -F.col("person"), -F.col("entry"))).alias("redirect"))
     )
-    return penalty.join(gain, ["msg_id", "person"], "full_outer").select(
+
+
+def redirect_effects(mwords: DataFrame, scope: DataFrame, resolved: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per (message, person): ``gain`` from lines pointing here, ``penalty`` for own lines.
+
+    The penalty is the line's score scaled by how much of the topic the message covers.
+    """
+    scored = _scored(mwords.join(_topic_words(scope, weights), "word"))
+    return _penalty(scored).join(_gain(scored, _pointed(resolved)), ["msg_id", "person"], "full_outer").select(
         "msg_id", "person", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"), "redirect"
     )
 
@@ -150,6 +165,30 @@ def total_scores(base: DataFrame, effects: DataFrame) -> DataFrame:
     )
 
 
+def redirected_scores(mwords: DataFrame, entries: DataFrame, weights: DataFrame, scope: DataFrame, resolved: DataFrame, floor: float = L.OWNER_MIN_SCORE) -> DataFrame:
+    """``total_scores`` of the pairs that can reach ``floor``.
+
+    A penalty only lowers, so a pair reaches it by its own words or with a gain. The first are opened by heavy words
+    (``match_owners``), the others are the persons that lines point to; sums and penalties are taken for these pairs only.
+    """
+    key = ["msg_id", "person"]
+    words = materialize(_topic_words(scope, weights), "topic-words")
+    pointed = _pointed(resolved)
+    pointing = words.join(pointed.select("person", "entry").distinct(), ["person", "entry"], "left_semi")
+    gain = materialize(_gain(_scored(mwords.join(pointing, "word")), pointed), "gains")
+    opened = materialize(match_owners(mwords, entries, weights, floor), "opened")
+    index = entries.groupBy("word", "person").agg(F.count("*").alias("times")).join(weights, "word")
+    lifted = gain.select(*key).join(opened, key, "left_anti")
+    summed = (
+        lifted.join(mwords, "msg_id").join(index.select("word", "person", (F.col("times") * F.col("weight")).alias("w")), ["word", "person"])
+        .groupBy(*key).agg(F.sum("w").alias("score"))
+    )
+    base = opened.unionByName(lifted.join(summed, key, "left"))
+    base = materialize(base.join(gain, key, "left").filter(F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)), 9) >= floor), "base")
+    own = base.select(*key).join(words, "person").join(mwords, ["msg_id", "word"])
+    return total_scores(base.select(*key, "score"), base.select(*key, "gain", "redirect").join(_penalty(_scored(own)), key, "left"))
+
+
 def pick_owners(scores: DataFrame, people: DataFrame) -> DataFrame:
     """The top owner over the floor, and the second only when close enough behind."""
     rank = F.array_position(F.array(*[F.lit(p) for p in L.PRIORITIES]), F.col("priority"))

@@ -378,8 +378,8 @@ def redirect_effects(t: Tables) -> DataFrame:
     scope = X.unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", "entry", "s.topic", "s.targets")
     messages = t.part.select(F.col("p_partkey").alias("msg_id"), F.concat("p_name", F.lit(" repair "), "p_type").alias("text"))
     mwords = O.message_words(messages)
-    effects = O.redirect_effects(mwords, scope, O.resolve_targets(scope, O.alias_table(people)), weights)
-    total = O.total_scores(O.match_owners(mwords, entries, weights), effects)
+    entries, weights, mwords = (materialize(df, name) for df, name in ((entries, "entries"), (weights, "weights"), (mwords, "heard-words")))
+    total = O.redirected_scores(mwords, entries, weights, scope, O.resolve_targets(scope, O.alias_table(people)))
     picks = O.pick_owners(total, people)
     return picks.select("msg_id", "person", "place", F.round("score", 6).alias("score"), "redirect")
 
