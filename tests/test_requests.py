@@ -87,3 +87,30 @@ def test_delivery_counts(spark):
     assert (pair(4, "steps"), pair(4, "gaps")) == ((2, 2), (2, 1))
     assert got[2]["delivered_chars"] == len(L.BLOCKED_LINES["none"])
     assert got[5]["reason"] == "missing" and pair(5, "steps") == (0, 0)
+
+
+def test_redirected_scores_pick_what_all_pairs_pick(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    vocabulary = [f"work{c}" for c in "abcdefghijkl"]
+    say = lambda n: " ".join(rng.sample(vocabulary, n))
+    people = spark.createDataFrame([(p, f"Person{p} Last{p}", say(1), f"P{p % 3}", p) for p in range(25)], "person bigint, name string, title string, priority string, ord bigint")
+    lines = spark.createDataFrame([(p, n, say(2), False) for p in range(25) for n in range(2)], "person bigint, line_no bigint, line string, route boolean")
+    scope = spark.createDataFrame([(p, e, say(2)) for p in range(25) for e in range(2)], "person bigint, entry int, topic string")
+    resolved = spark.createDataFrame([(p, 0, rng.randrange(25)) for p in range(0, 25, 3)], "person bigint, entry int, target_person bigint")
+    messages = spark.createDataFrame([(m, say(3)) for m in range(40)], "msg_id bigint, text string")
+    entries = O.entry_words(people, lines)
+    weights = O.word_weights(entries, spark.createDataFrame([(0, "Workb")], "person bigint, system string"), people.agg(F.count("*").alias("n")))
+    heard = O.message_words(messages)
+    rows = lambda scores: sorted(
+        (r["msg_id"], r["person"], r["place"], round(r["score"], 6), r["redirect"]) for r in O.pick_owners(scores, people).collect()
+    )
+    every = O.total_scores(O.match_owners(heard, entries, weights), O.redirect_effects(heard, scope, resolved, weights))
+    want = rows(every)
+    assert want and any(r[4] for r in want)
+    got = rows(O.redirected_scores(heard, entries, weights, scope, resolved))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [bool(r[4]) for r in got] == [bool(r[4]) for r in want]
