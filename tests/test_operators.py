@@ -375,3 +375,19 @@ def test_hold_is_lossless(spark):
         cut = T.heading_cut(r["t"], True)
         want = r["t"][cut:] if cut is not None else ("" if T.ends_on_heading(r["t"]) else None)
         assert r["held"] == want, r["t"]
+
+
+def test_directory_pages_are_dealt_out_and_read_once(spark, tmp_path):
+    """A directory that one scan task holds is read by as many tasks as there are cores."""
+    page = "# Top\r\n## Core Responsibilities (v1)\n- old\n## core  responsibilities\n- **orders**\n## Out of Scope\n- repair (route to Ana / Bo — later)\n- x\n## Escalation path\n- Backup: Cy\n## Route when\na\n- b\n"
+    rows = [(i, "Ana", "Lead", "Ops", ["R"], "p1 x", "spare", "Dashboard main", "kept", page if i % 2 else "") for i in range(64)]
+    schema = "person bigint, name string, title string, department string, routing_departments array<string>, priority string, backup string, slack_channel string, route_when string, markdown string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "pages"))
+    people = D.parse_directory(spark.read.parquet(str(tmp_path / "pages")))
+    assert people.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = {r["person"]: r for r in people.collect()}
+    assert len(found) == 64
+    one, none = found[1], found[0]
+    assert (one["owns"], one["backup"], one["route_when"], one["slack"], one["dashboard"]) == (["orders"], "Cy", "a b", "", "main")
+    assert [(s["topic"], s["targets"]) for s in one["out_of_scope"]] == [("repair", ["Ana", "Bo"]), ("x", [])]
+    assert (none["owns"], none["out_of_scope"], none["backup"], none["route_when"]) == ([], [], "spare", "kept")
