@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslane.functions import lexicon as L
 from corpuslane.functions.text import bigrams, chain, col, sub, topic_words, unroll, ws_trim
 from corpuslane.operators.screen import redact_names, staff_names
+from corpuslane.session import materialize
 
 
 def _words(c: Column | str) -> Column:
@@ -80,6 +81,12 @@ def topic_overlap(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> Da
     return out[0].select(*keep, "shared").unionByName(out[1].select(*keep, "shared")).unionByName(out[2].select(*keep, "shared"))
 
 
+def shared_topics(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """``topic_overlap`` where many rows of ``a`` say the same: each distinct topic of a key is compared once."""
+    said = a.select(*on, F.col("a_topic").alias("a_id"), "a_topic").distinct()
+    return a.join(materialize(topic_overlap(said, b, on), "shared-topics").drop("a_id"), [*on, "a_topic"])
+
+
 # --- people references --------------------------------------------------------------
 
 
@@ -188,7 +195,7 @@ def routing_conflicts(people: DataFrame, departments: DataFrame) -> DataFrame:
     conflict = lambda df, lead: df.select(
         F.col("a_id.person").alias("person"), F.lit("conflict").alias("level"), F.concat(lead, said).alias("message")
     )
-    owns = conflict(topic_overlap(owned, excl, ["department"]), F.concat(F.lit('owns "'), F.col("a_topic"), F.lit('", but ')))
+    owns = conflict(shared_topics(owned, excl, ["department"]), F.concat(F.lit('owns "'), F.col("a_topic"), F.lit('", but ')))
     sent = named_people(_targets(people), "target", person_keys(people))
     row = F.concat(
         F.coalesce(F.nullif(ws_trim("title"), F.lit("")), F.lit("untitled row")), F.lit(" ("),
@@ -199,7 +206,7 @@ def routing_conflicts(people: DataFrame, departments: DataFrame) -> DataFrame:
         "department", F.struct("person", "entry", "t_no", "row").alias("a_id"), F.col("topic").alias("a_topic")
     )
     sends = conflict(
-        topic_overlap(to_dept, excl, ["department"]),
+        shared_topics(to_dept, excl, ["department"]),
         F.concat(F.lit('sends "'), F.col("a_topic"), F.lit('" to '), F.col("a_id.row"), F.lit(", but ")),
     )
     return owns.unionByName(sends)
@@ -218,10 +225,10 @@ def routing_gaps(people: DataFrame, departments: DataFrame) -> DataFrame:
     outside = mine.join(named, ["department", "excl"]).join(
         own.withColumnRenamed("department", "target_dept"), ["person", "target_dept"], "left_anti"
     ).select(*pk, "excl_topic", "target_dept").distinct()
-    scope = unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", "entry", F.col("s.topic").alias("a_topic"))
-    by_topic = topic_overlap(
-        scope.select("person", F.col("entry").alias("a_id"), "a_topic"),
-        mine.select("person", F.struct("department", "excl").alias("b_id"), F.col("excl_topic").alias("b_topic")), ["person"],
+    scope = unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", F.col("s.topic").alias("a_topic"))
+    # a person's exclusions are those of the own departments, so topics meet by department
+    by_topic = shared_topics(
+        scope.join(own, "person"), excl.select("department", F.struct("department", "excl").alias("b_id"), F.col("excl_topic").alias("b_topic")), ["department"],
     ).select("person", "b_id.department", "b_id.excl").distinct()
     t = _targets(people)
     to_dept = departments_named(t.withColumn("id", F.struct("person", "entry", "t_no")), "id", "target", departments).select(
@@ -253,8 +260,11 @@ def check_directory(people: DataFrame, departments: DataFrame) -> DataFrame:
     )
     named = lambda c, none: F.coalesce(F.nullif(ws_trim(c), F.lit("")), F.lit(none))
     row = F.concat(named("title", "untitled row"), F.lit(" ("), named("department", "no department"), F.lit(")"))
-    placed = issues.join(people.select("person", row.alias("row")), "person")
-    return redact_names(placed, staff_names(people), "message").withColumn("severity", level_rank("level"))
+    # many people have the same issue: each message is searched for names once
+    issues = materialize(issues, "issues")
+    said = materialize(redact_names(issues.select("message", F.col("message").alias("safe")).distinct(), staff_names(people), "safe"), "messages")
+    placed = issues.join(said, "message").join(people.select("person", row.alias("row")), "person")
+    return placed.select("person", "level", F.col("safe").alias("message"), "row").withColumn("severity", level_rank("level"))
 
 
 def level_rank(level: Column | str) -> Column:
