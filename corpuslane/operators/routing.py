@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions import lexicon as L
-from corpuslane.functions.text import bigrams, chain, col, sub, topic_words, unroll, ws_trim
+from corpuslane.functions.text import WS_RUN, bigrams, chain, col, sub, topic_words, unroll, ws_trim
 from corpuslane.operators.screen import redact_names, staff_names
 from corpuslane.session import materialize
 
 
 def _words(c: Column | str) -> Column:
-    return F.array_remove(F.split(F.lower(col(c)), "[^a-z0-9]+", -1), "")
+    return F.array_remove(F.split(F.lower(col(c)), r"\P{Alnum}+", -1), "")
 
 
 def department_phrases(departments: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def shared_topics(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _bare(c: Column | str) -> Column:
-    return F.lower(ws_trim(chain(c, (r"\([^)]*\)", " "), (rf"{L.WS}+", " "))))
+    return F.lower(ws_trim(chain(c, (r"\([^)]*\)", " "), (WS_RUN, " "))))
 
 
 def person_keys(people: DataFrame) -> DataFrame:
