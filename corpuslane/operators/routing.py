@@ -167,7 +167,9 @@ def dangling_refs(people: DataFrame, departments: DataFrame) -> DataFrame:
     ek = ["person", "entry"]
     t_named = named_people(t, "target", keys)
     t_self = t_named.filter(F.col("named") == F.col("person")).select(*ek, "topic").distinct()
-    t_dept = departments_named(t.withColumn("id", F.struct(*ek, "t_no")), "id", "target", departments).select("id.person", "id.entry").distinct()
+    # many lines send to the same place: each distinct target is searched once
+    d_named = departments_named(t.select("target").distinct(), "target", "target", departments).select("target").distinct()
+    t_dept = t.join(d_named, "target").select(*ek).distinct()
     t_lost = t.select(*ek, "topic").distinct().join(t_named.select(*ek).distinct(), ek, "left_anti").join(t_dept, ek, "left_anti")
     own_lost = _own(people).join(departments.select("department"), "department", "left_anti")
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
