@@ -8,8 +8,9 @@ cumulative sums, an Acero full outer join of both sides on (word, end) gives the
 which is one overlapping pair of token occurrences, and a segment where both sides end closes a group.
 
 Counts of an id pair (documents that hold it linked) are partial sums by ``Table.group_by`` for each block of
-texts, merged by Spark. Then each block gets back the counts of its own pairs only, as one list, and
-weighs its documents' pairs with it; the table of all pairs is never broadcast.
+texts, merged by Spark. Then each block's documents meet the counts of its own pairs only and
+are weighed with them; the table of all pairs is never broadcast. Stored rows are single documents and parts of a
+block's pair list: readers and writers take many rows at once, so a whole block is never one row.
 
 Defined results: a text that is null, empty, or not reproduced byte by byte by both tokenizers has zeros
 and an empty digest, and counts nowhere. Every row is a document of its own, repeated rows and null ids
@@ -39,6 +40,8 @@ FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 UNIT = 4 << 20
 BLOCK = 8 << 20
 ENCODED = 1 << 14
+PART = 1 << 14
+ROW_GROUP = 16 << 20
 LOW_BITS = 15
 BLANK = "▁"
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
@@ -233,7 +236,7 @@ def parts(text: pa.Array, limit: int) -> Iterator[pa.Array]:
 
 @dataclass
 class Block:
-    """Rows of one block: its documents, the pairs of each and the documents of each pair."""
+    """Rows of one block: its documents and the pairs of each."""
 
     rows: list[tuple] = field(default_factory=list)
     keys: list[pa.Array] = field(default_factory=list)
@@ -246,22 +249,23 @@ class Block:
         self.rows += zip(*[sums[n].tolist() for n in SUMS], digests)
         self.keys.append(keys)
 
-    def batch(self, number: int) -> pa.RecordBatch:
+    def batches(self, number: int, part: int) -> Iterator[pa.RecordBatch]:
+        """A row for each document with its pairs, then the pairs of the block, ``part`` of them a row."""
         own = pa.concat_tables(self.pairs).sort_by([("doc", "ascending")]).combine_chunks()
-        docs = own.group_by("pair", use_threads=False).aggregate([([], "count_all")])
         counts = np.bincount(own.column("doc").to_numpy(), minlength=len(self.rows))
         columns = list(zip(*self.rows))
-        fields = [pa.concat_arrays(self.keys), *[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.string()), pa.array(counts, pa.int64())]
-        rows = pa.StructArray.from_arrays(fields, ["key", *SUMS, "groups_sha256", "n_pairs"])
+        fields = [pa.concat_arrays(self.keys), *[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.string())]
+        docs = pa.StructArray.from_arrays(fields, ["key", *SUMS, "groups_sha256"])
+        pair, times = (_lists(counts, own.column(c).combine_chunks()) for c in ("pair", "count_all"))
+        yield self._rows(number, docs, pair, times, *[pa.nulls(len(docs), pa.list_(pa.int64()))] * 2)
+        held = own.group_by("pair", use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        sizes = np.diff([*range(0, held.num_rows, part), held.num_rows])
+        kind, n_docs = (_lists(sizes, held.column(c).combine_chunks()) for c in ("pair", "count_all"))
+        yield self._rows(number, pa.nulls(len(sizes), docs.type), *[pa.nulls(len(sizes), pa.list_(pa.int64()))] * 2, kind, n_docs)
 
-        def one(values) -> pa.Array:
-            values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-            return _lists(np.array([len(values)]), values)
-
-        return pa.record_batch(
-            [pa.array([number], pa.int64()), one(rows), one(own.column("pair")), one(own.column("count_all")), one(docs.column("pair")), one(docs.column("count_all"))],
-            ["block", "docs", "pair", "times", "kind", "n_docs"],
-        )
+    @staticmethod
+    def _rows(number: int, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(columns[0]), number)), *columns], ["block", "doc", "pair", "times", "kind", "n_docs"])
 
 
 _NO_PAIRS = pa.table({"doc": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()), "count_all": pa.array([], pa.int64())})
@@ -313,7 +317,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return found.rename_columns([c.replace("count_all_sum", "count_all") for c in found.column_names]).select(["doc", "pair", "count_all"])
 
 
-def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, unit: int = UNIT, block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, unit: int = UNIT, block: int = BLOCK, part: int = PART) -> DataFrame:
     """One row per document: the key, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256``, ``n_best``, ``count_sum``.
 
     ``n_best`` and ``count_sum`` weigh links by the corpus-wide counts of their pairs.
@@ -330,41 +334,33 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
             for piece in pieces(batch, "text", unit):
                 _add(now, piece, pair, unit)
                 if now.size >= block:
-                    yield now.batch(number)
+                    yield from now.batches(number, part)
                     now, number = Block(), number + 1
         if now.rows:
-            yield now.batch(number)
+            yield from now.batches(number, part)
 
-    rows = f"array<struct<key:{kind},n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,n_pairs:long>>"
-    blocks = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"block long, docs {rows}, pair array<long>, times array<long>, kind array<long>, n_docs array<long>"
+    doc = f"struct<key:{kind},n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>"
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        run, f"block long, doc {doc}, pair array<long>, times array<long>, kind array<long>, n_docs array<long>"
     )
-    blocks = stored(blocks, "aligned")
-    counts = (
-        blocks.select(F.explode(F.arrays_zip("kind", "n_docs")).alias("_k")).select("_k.*")
-        .groupBy("kind").agg(F.sum("n_docs").alias("n"))
-    )
-    counts = stored(counts, "pairs")
+    # lists are read back by the row group, so row groups are small
+    rows = stored(rows, "aligned", **{"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 10})
+    held = rows.where("kind IS NOT NULL").select(F.col("block").alias("own"), F.inline(F.arrays_zip("kind", "n_docs")))
+    counts = stored(held.groupBy("kind").agg(F.sum("n_docs").alias("n")), "pairs")
     left = F.shiftright("kind", LOW_BITS)
     top = counts.groupBy(left.alias("left")).agg(F.max("n").alias("top"))
     weighed = counts.withColumn("left", left).join(top, "left").select("kind", "n", (F.col("n") == F.col("top")).alias("best"))
     # each block is sent the counts of its own pairs
-    sent = blocks.select("block", F.explode("kind").alias("kind")).join(weighed, "kind")
-    sent = sent.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "best"))).alias("known"))
-    met = blocks.select("block", "docs", "pair", "times").join(sent, "block", "left").select("docs", "pair", "times", "known")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                docs, pair, times, known = (batch.column(k).slice(i, 1).flatten() for k in range(4))
-                fields = dict(zip((f.name for f in docs.type), docs.flatten()))
-                at = _offsets(np.asarray(fields.pop("n_pairs")))
-                k, n, best = (np.asarray(c) for c in known.flatten())
-                place = np.searchsorted(k, np.asarray(pair)) if len(k) else np.empty(0, np.int64)
-                times = np.asarray(times)
-                yield pa.record_batch(
-                    [*fields.values(), pa.array(_sums(times * best[place], at), pa.int64()), pa.array(_sums(times * n[place], at), pa.int64())],
-                    [key, *list(fields)[1:], "n_best", "count_sum"],
-                )
-
-    return met.mapInArrow(weigh, f"`{key}` {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
+    sent = held.select("own", "kind").join(weighed, "kind")
+    met = rows.where("doc IS NOT NULL").select("block", "doc", "pair", "times").groupBy("block").cogroup(sent.groupBy("own"))
+
+    def weigh(docs: pa.Table, known: pa.Table) -> pa.Table:
+        docs, known = docs.combine_chunks(), known.sort_by("kind")
+        doc, pair, times = (docs.column(c).combine_chunks() for c in ("doc", "pair", "times"))
+        at = _offsets(np.asarray(pc.list_value_length(pair)))
+        times = np.asarray(pc.list_flatten(times))
+        place = np.searchsorted(known.column("kind").to_numpy(), np.asarray(pc.list_flatten(pair)))
+        sums = [pa.array(_sums(times * known.column(c).to_numpy()[place], at), pa.int64()) for c in ("best", "n")]
+        return pa.table([*doc.flatten(), *sums], [key, *SUMS, "groups_sha256", "n_best", "count_sum"])
+
+    return met.applyInArrow(weigh, f"`{key}` {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
