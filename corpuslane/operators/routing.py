@@ -6,6 +6,8 @@ out_of_scope)``, ``departments(department, aliases, exclusions)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,12 @@ def shared_topics(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 # --- people references --------------------------------------------------------------
 
 
+def matched(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with columns of a written table that grows with the directory. Its file is a small part of its rows' size, so that
+    the optimizer would take the rows for few and send them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _bare(c: Column | str) -> Column:
     return F.lower(ws_trim(chain(c, (r"\([^)]*\)", " "), (WS_RUN, " "))))
 
@@ -107,7 +115,7 @@ def person_keys(people: DataFrame) -> DataFrame:
 def named_people(refs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """References joined to every person they name, as ``named``."""
     key = sub(_bare(text), r"^dr\.\s*", "dr ")
-    return refs.withColumn("key", key).join(keys.withColumnRenamed("person", "named"), "key").drop("key")
+    return matched(refs.withColumn("key", key), keys.withColumnRenamed("person", "named"), "key").drop("key")
 
 
 def expand_backups(people: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def expand_backups(people: DataFrame) -> DataFrame:
         .filter((F.col("n") == 1) & (F.col("named") != F.col("person")))
     )
     full = people.select(F.col("person").alias("named"), ws_trim("name").alias("full"))
-    expanded = one.join(full, "named").filter(F.col("full") != F.col("short")).select(
+    expanded = matched(one, full, "named").filter(F.col("full") != F.col("short")).select(
         "person", F.when(F.col("note") != "", F.concat_ws(" ", "full", "note")).otherwise(F.col("full")).alias("expanded")
     )
     return people.join(expanded, "person", "left").withColumn("backup", F.coalesce("expanded", "backup")).drop("expanded")
@@ -169,8 +177,8 @@ def dangling_refs(people: DataFrame, departments: DataFrame) -> DataFrame:
     t_self = t_named.filter(F.col("named") == F.col("person")).select(*ek, "topic").distinct()
     # many lines send to the same place: each distinct target is searched once
     d_named = departments_named(t.select("target").distinct(), "target", "target", departments).select("target").distinct()
-    t_dept = t.join(d_named, "target").select(*ek).distinct()
-    t_lost = t.select(*ek, "topic").distinct().join(t_named.select(*ek).distinct(), ek, "left_anti").join(t_dept, ek, "left_anti")
+    t_dept = t.join(d_named, "target", "left_semi").select(*ek).distinct()
+    t_lost = matched(t.select(*ek, "topic").distinct().join(t_named.select(*ek).distinct(), ek, "left_anti"), t_dept, ek, "left_anti")
     own_lost = _own(people).join(departments.select("department"), "department", "left_anti")
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     return (
@@ -187,7 +195,7 @@ def routing_conflicts(people: DataFrame, departments: DataFrame) -> DataFrame:
     excl = _exclusions(departments).select(
         "department", F.struct("excl", "excl_topic", "excl_target").alias("b_id"), F.col("excl_topic").alias("b_topic")
     )
-    owned = unroll(people, ["person"], "owns", "n", "a_topic").join(_own(people), "person").select(
+    owned = matched(unroll(people, ["person"], "owns", "n", "a_topic"), _own(people), "person").select(
         "department", F.struct("person", "n").alias("a_id"), "a_topic"
     )
     said = F.concat(
@@ -204,7 +212,7 @@ def routing_conflicts(people: DataFrame, departments: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(ws_trim("department"), F.lit("")), F.lit("no department")), F.lit(")"),
     )
     labels = people.select(F.col("person").alias("named"), row.alias("row"))
-    to_dept = sent.join(_own(people).withColumnRenamed("person", "named"), "named").join(labels, "named").select(
+    to_dept = matched(matched(sent, _own(people).withColumnRenamed("person", "named"), "named"), labels, "named").select(
         "department", F.struct("person", "entry", "t_no", "row").alias("a_id"), F.col("topic").alias("a_topic")
     )
     sends = conflict(
@@ -224,20 +232,20 @@ def routing_gaps(people: DataFrame, departments: DataFrame) -> DataFrame:
     ).select(F.col("id.department").alias("department"), "id.excl", F.col("department").alias("target_dept"))
     mine = own.join(excl, "department")
     pk = ["person", "department", "excl"]
-    outside = mine.join(named, ["department", "excl"]).join(
-        own.withColumnRenamed("department", "target_dept"), ["person", "target_dept"], "left_anti"
+    outside = matched(
+        mine.join(named, ["department", "excl"]), own.withColumnRenamed("department", "target_dept"), ["person", "target_dept"], "left_anti"
     ).select(*pk, "excl_topic", "target_dept").distinct()
     scope = unroll(people, ["person"], "out_of_scope", "entry", "s").select("person", F.col("s.topic").alias("a_topic"))
     # a person's exclusions are those of the own departments, so topics meet by department
     by_topic = shared_topics(
-        scope.join(own, "person"), excl.select("department", F.struct("department", "excl").alias("b_id"), F.col("excl_topic").alias("b_topic")), ["department"],
+        matched(scope, own, "person"), excl.select("department", F.struct("department", "excl").alias("b_id"), F.col("excl_topic").alias("b_topic")), ["department"],
     ).select("person", "b_id.department", "b_id.excl").distinct()
     t = _targets(people)
     to_dept = departments_named(t.withColumn("id", F.struct("person", "entry", "t_no")), "id", "target", departments).select(
         "id.person", F.col("department").alias("target_dept")
     )
-    to_person = named_people(t, "target", person_keys(people)).join(
-        own.select(F.col("person").alias("named"), F.col("department").alias("target_dept")), "named"
+    to_person = matched(
+        named_people(t, "target", person_keys(people)), own.select(F.col("person").alias("named"), F.col("department").alias("target_dept")), "named"
     ).select("person", "target_dept")
     by_target = outside.join(to_dept.unionByName(to_person).distinct(), ["person", "target_dept"], "left_semi").select(*pk)
     open_ = outside.join(by_topic.unionByName(by_target).distinct(), pk, "left_anti")
@@ -256,16 +264,17 @@ def routing_notes(people: DataFrame) -> DataFrame:
 
 def check_directory(people: DataFrame, departments: DataFrame) -> DataFrame:
     """All issues, by severity, each with its ``row`` named by title and department; no message holds a name."""
-    issues = (
-        missing_fields(people).unionByName(dangling_refs(people, departments)).unionByName(routing_conflicts(people, departments))
-        .unionByName(routing_gaps(people, departments)).unionByName(routing_notes(people))
-    )
+    # written kind by kind: the driver holds the stages and small tables of one kind at a time
+    kinds = [missing_fields(people).unionByName(routing_notes(people)), dangling_refs(people, departments)]
+    kinds = [materialize(k, "issues") for k in kinds]
+    kinds += [materialize(check(people, departments), "issues") for check in (routing_conflicts, routing_gaps)]
+    issues = reduce(DataFrame.unionByName, kinds)
     named = lambda c, none: F.coalesce(F.nullif(ws_trim(c), F.lit("")), F.lit(none))
     row = F.concat(named("title", "untitled row"), F.lit(" ("), named("department", "no department"), F.lit(")"))
     # many people have the same issue: each message is searched for names once
-    issues = materialize(issues, "issues")
-    said = materialize(redact_names(issues.select("message", F.col("message").alias("safe")).distinct(), staff_names(people), "safe"), "messages")
-    placed = issues.join(said, "message").join(people.select("person", row.alias("row")), "person")
+    distinct = materialize(issues.select("message", F.col("message").alias("safe")).distinct(), "said")
+    said = materialize(redact_names(distinct, materialize(staff_names(people), "staff"), "safe"), "messages")
+    placed = matched(matched(issues, said, "message"), people.select("person", row.alias("row")), "person")
     return placed.select("person", "level", F.col("safe").alias("message"), "row").withColumn("severity", level_rank("level"))
 
 
