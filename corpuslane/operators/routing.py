@@ -289,7 +289,7 @@ def issue_summary(issues: DataFrame, people: DataFrame, rendered_chars: DataFram
     """
     counts = issues.agg(*[F.count_if(F.col("level") == lv).alias(f"{lv}s") for lv in L.LEVELS])
     excluded = issues.filter(F.col("level") == "error").select("person").distinct()
-    usable = people.join(excluded, "person", "left_anti").agg(F.count("*").alias("usable"))
+    usable = matched(people, excluded, "person", "left_anti").agg(F.count("*").alias("usable"))
     blocked = F.when(F.col("usable") == 0, "no usable Live rows").when(
         F.col("chars") > ceiling,
         F.concat(F.lit("the directory renders to "), F.col("chars").cast("string"), F.lit(f" characters, over the {ceiling} ceiling; shorten Core Responsibilities or Out of Scope lines")),
